@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import media, simhash, substrings
+from ledgerlark.llm import chat, media, packing, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +30,25 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 2048 tokens and their places in sequences of 2048."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that imitates control strings, formatted and read back."""
+    hard = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    both = turns.unionByName(spark.createDataFrame(hard, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.format_conversations(both))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op3_simhash": op3_simhash,
     "op5_substrings": op5_substrings,
+    "op6_packing": op6_packing,
+    "op8_chat": op8_chat,
 }
 
 SQL: dict[str, str] = {}
