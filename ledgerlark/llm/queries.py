@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import chat, media, packing, simhash, substrings
+from ledgerlark.llm import chat, media, packing, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every 20th vector with all others."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without windows of 50 words that start in an earlier one too."""
     found = substrings.without_repeats(_table(spark, sf_dir, "documents"))
@@ -46,9 +51,26 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media": op1_media,
     "op3_simhash": op3_simhash,
+    "op4_topk": op4_topk,
     "op5_substrings": op5_substrings,
     "op6_packing": op6_packing,
     "op8_chat": op8_chat,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_topk": """
+        WITH kept AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM kept q JOIN kept c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
