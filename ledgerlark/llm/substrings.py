@@ -143,34 +143,38 @@ def prefix_groups(counts: np.ndarray, group_windows: int) -> tuple[np.ndarray, n
 def _block_rows(block: int, ids: list[int], tags: list[int], texts: list[bytes], window: int, first: np.ndarray, split: np.ndarray, parts: int):
     """The rows that one block of documents sends on."""
     order = np.argsort(np.array(ids, np.int64), kind="stable")
-    found = [texts[i].split() for i in order]
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
     id_of, tag_of = np.array(ids, np.int64)[order], np.array(tags, np.int64)[order]
-    words = np.fromiter((h for x in found for h in map(xxhash.xxh64_intdigest, x)), np.uint64, int(lengths.sum()))
-    sym = np.concatenate([symbols(texts[i]) for i in order]).astype(np.int64)
+    hashed = [np.fromiter(map(xxhash.xxh64_intdigest, texts[i].split()), np.uint64) for i in order]
+    lengths = np.fromiter(map(len, hashed), np.int64, len(hashed))
+    words = np.concatenate(hashed)
+    del hashed
+    sym = np.concatenate([symbols(texts[i]) for i in order])
+    texts.clear()
     ends = np.cumsum(lengths)
     starts = ends - lengths
     usable = np.maximum(lengths - window + 1, 0)
-    doc = np.repeat(np.arange(len(found)), usable)
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), usable)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(usable) - usable, usable) + starts[doc]
     label = path_labels(words, window)[place]
+    del words
     by_label = np.argsort(label, kind="stable")  # places ascend with doc_id, so each node's first leaf has the least
     sorted_labels, leaf_id = label[by_label], id_of[doc[by_label]]
-    repeats = _beyond_least(sorted_labels, leaf_id)
     gone = np.zeros(len(label), bool)
-    gone[by_label[repeats]] = True
+    gone[by_label[_beyond_least(sorted_labels, leaf_id)]] = True
+    del by_label, sorted_labels, leaf_id
     out = [(block % parts, block, _TABLE, np.stack([id_of, tag_of, starts]).astype("<i8").tobytes(), b"", b"")]
     if gone.any():
         out.append((block % parts, block, _SETTLED, b"", b"", _planes(place[gone])))
     place, label, doc = place[~gone], label[~gone], doc[~gone]
-    at = lambda k: sym[np.minimum(place + k, len(sym) - 1)]
-    cell = (sym[place] << 8) + (at(1) if window > 1 else 0)
-    group = first[cell].astype(np.int64)
-    several = split[cell] > 1
-    if several.any():  # the prefix is lengthened; under 4 words, by the label itself
-        longer = (((at(2) << 8) + at(3)) if window > 3 else (label >> np.uint64(48)).astype(np.int64))[several]
-        spread = (longer * 40503 + (longer >> 5)) & 0xFFFF
-        group[several] += spread * split[cell][several] >> 16
+    at = lambda k, of: sym[np.minimum(place[of] + k, len(sym) - 1)].astype(np.int32)
+    cell = (at(0, slice(None)) << 8) + (at(1, slice(None)) if window > 1 else 0)
+    group = first[cell]
+    several = np.flatnonzero(split[cell] > 1)
+    if len(several):  # the prefix is lengthened; under 4 words, by the label itself
+        longer = (at(2, several) << 8) + at(3, several) if window > 3 else (label[several] >> np.uint64(48)).astype(np.int32)
+        spread = (longer.astype(np.int64) * 40503 + (longer >> 5)) & 0xFFFF
+        group[several] += (spread * split[cell[several]] >> 16).astype(np.int32)
+    del cell, sym
     by_group = np.argsort(group, kind="stable")
     group, place, label, doc = group[by_group], place[by_group], label[by_group], doc[by_group]
     cuts = np.flatnonzero(np.diff(group, prepend=-1))
@@ -201,9 +205,10 @@ def _send(docs: DataFrame, window: int, first: np.ndarray, split: np.ndarray, pa
                 rows = _block_rows(block, ids, tags, texts, window, first, split, parts)
                 for i in range(0, len(rows), 16):
                     yield _rows(rows[i : i + 16])
+                del rows
             block, ids, tags, texts, size = block + 1, [], [], [], 0
 
-        for b in batches:
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             for i, tag, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), strict=True):
                 if i is not None and x and len(x) >= 2 * window - 1:
                     ids.append(i)
@@ -318,7 +323,7 @@ def kept_text(text: bytes, cover: bytes | None) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
-def repeated_cover(docs: DataFrame, window: int = 50, group_windows: int = 2_000_000, block_bytes: int = 12_000_000) -> DataFrame:
+def repeated_cover(docs: DataFrame, window: int = 50, group_windows: int = 1_000_000, block_bytes: int = 8_000_000) -> DataFrame:
     """docs: doc_id long, tag long (tells rows with one doc_id apart), text. Returns (doc_id, tag, cover) for each
     document that loses words, as a table in the shared folder."""
     counts = _windows_by_prefix(docs, window)
