@@ -332,6 +332,7 @@ def repeated_cover(docs: DataFrame, window: int = 50, group_windows: int = 1_000
     sent = _send(docs, window, first, split, parts, block_bytes).repartition(parts, "part").sortWithinPartitions("part")
     grown = _grow(sent).repartition(parts, "block").sortWithinPartitions("block")
     out = materialise(_cover(grown, window))
+    del sent, grown
     release_shuffles(docs.sparkSession)
     return out
 
@@ -339,7 +340,8 @@ def repeated_cover(docs: DataFrame, window: int = 50, group_windows: int = 1_000
 def without_repeats(docs: DataFrame, window: int = 50, **sizes) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row of docs: kept holds the words left, joined by one space."""
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    joined = own.join(repeated_cover(own, window, **sizes), ["doc_id", "tag"], "left").select("doc_id", "text", "cover")
+    # the same plan at every size: texts are dealt out once, and Spark can split a sort-merge join's partitions
+    joined = own.join(repeated_cover(own, window, **sizes).hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "text", "cover")
     names = ["doc_id", "n_words", "n_removed", "kept"]
 
     def run(batches):
