@@ -5,8 +5,10 @@ thresholds t_0 < ... < t_(K-2) cut its score: P(grade <= k) = sigmoid(t_k - scor
 sum of P(grade > k)) and the tail probability P(grade >= wanted), by which documents are selected.
 
 Features of a text (all of it; words are runs without ASCII white space): the presence of each word, lower-cased in
-A-Z and without leading and trailing ASCII punctuation; shares of words by shape (case, last bytes that are no letters) and of
-words that repeat the one before; all hashed into 2^bits slots. Shares are independent of a text's length.
+A-Z and without leading and trailing ASCII punctuation, and of its stems of 4 and 5 bytes; shares of words by shape
+(case, last bytes that are no letters) and of words that repeat the one before; all hashed into 2^bits slots. Shares do
+not depend on a text's length. Presence counts only in slots that tell grades apart by several standard errors, as
+rare words would else be learned by heart.
 
 Training takes at most `sample` labelled documents (those with the least hash of doc_id, a documented bound: their
 features are what goes to the driver), in full-batch steps with Adam from fixed zeros, so equal tables give equal
@@ -30,41 +32,57 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm._shared import as_bytes
 
-BITS, SAMPLE, SHARE_SCALE = 18, 6000, 6.0
+BITS, SAMPLE, SHARE_SCALE, LEAST = 18, 6000, 6.0, 0.5
 _PUNCTUATION = string.punctuation.encode()
 
 
 class WordSlots(dict):
-    """word -> (slot of its bare form, slot of its shape), kept for up to `held` words."""
+    """word -> row of `table` with its slots: bare form, two stems, shape. Known words are kept up to `held`."""
 
-    def __init__(self, bits: int, held: int = 200_000):
+    def __init__(self, bits: int, held: int = 300_000):
         super().__init__()
         self.bits, self.held = bits, held
+        self.table = np.empty((1024, 4), np.int32)
 
     def __missing__(self, word: bytes) -> int:
-        mask = (1 << self.bits) - 1
         bare = word.strip(_PUNCTUATION)
         tail = word[len(word.rstrip(_PUNCTUATION)) :][-2:] if bare else word[:2]
         case = b"U" if len(bare) > 1 and bare.isupper() else b"t" if bare[:1].isupper() else b"l"
-        packed = (xxhash.xxh32_intdigest(bare.lower(), 1) & mask) | (xxhash.xxh32_intdigest(case + b"\0" + tail, 2) & mask) << 32
-        if len(self) < self.held:
-            self[word] = packed
-        return packed
+        bare = bare.lower()
+        at = self[word] = len(self)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        keys = (b"w" + bare, b"4" + bare[:4], b"5" + bare[:5], b"s" + case + tail)
+        self.table[at] = [xxhash.xxh32_intdigest(k) & ((1 << self.bits) - 1) for k in keys]
+        return at
 
 
-def features(text: bytes, slots: WordSlots) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, values) of a text."""
+def features(text: bytes, slots: WordSlots) -> tuple[np.ndarray, np.ndarray, int]:
+    """(slots, values, how many of them stand for presence; the others are shares)."""
     words = text.split()
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
-    packed = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
-    mask = (1 << slots.bits) - 1
-    bare = packed & 0xFFFFFFFF
-    seen = np.unique(bare)
-    shape, n = np.unique(packed >> 32, return_counts=True)
-    repeats = np.array([xxhash.xxh32_intdigest(b"repeats", 3) & mask])
-    share = np.append(n / len(words), (bare[1:] == bare[:-1]).mean() if len(words) > 1 else 0.0)
-    return np.concatenate([seen, shape, repeats]), np.concatenate([np.ones(len(seen)), SHARE_SCALE * share]).astype(np.float32)
+        return np.empty(0, np.int64), np.empty(0, np.float32), 0
+    if len(slots) > slots.held:
+        slots.clear()
+    at = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
+    distinct, n = np.unique(at, return_counts=True)
+    rows = slots.table[distinct]
+    seen = np.unique(rows[:, :3])
+    shape, of = np.unique(rows[:, 3], return_inverse=True)
+    repeats = xxhash.xxh32_intdigest(b"repeats") & ((1 << slots.bits) - 1)
+    share = np.append(np.bincount(of, n) / len(words), (at[1:] == at[:-1]).mean() if len(words) > 1 else 0.0)
+    return np.concatenate([seen, shape, [repeats]]).astype(np.int64), np.concatenate([np.ones(len(seen)), SHARE_SCALE * share]).astype(np.float32), len(seen)
+
+
+def telling(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: np.ndarray, bits: int, least: float = 5.0) -> np.ndarray:
+    """Which slots to use: those whose texts' mean grade differs from the overall mean by `least` standard errors
+    (presence), and all that hold shares."""
+    seen, of = np.concatenate([r[0][: r[2]] for r in rows]), np.repeat(np.arange(len(rows)), [r[2] for r in rows])
+    n = np.bincount(seen, minlength=1 << bits)
+    drift = np.bincount(seen, weights=(grades - grades.mean())[of], minlength=1 << bits)
+    out = np.abs(drift) > least * max(grades.std(), 1e-9) * np.sqrt(np.maximum(n, 1))
+    out[np.concatenate([r[0][r[2] :] for r in rows])] = True
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -84,22 +102,24 @@ class OrdinalModel:
     def score(self, texts: list[bytes], slots: WordSlots) -> np.ndarray:
         out = np.empty(len(texts))
         for i, x in enumerate(texts):
-            at, value = features(x, slots)
+            at, value, _ = features(x, slots)
             out[i] = float((self.weights[at] * value).sum(dtype=np.float64))
         return out
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, classes: int, bits: int = BITS, steps: int = 150, rate: float = 0.05, decay: float = 2e-4) -> OrdinalModel:
-    """Maximum likelihood with a ridge. rows: (slots, values) of each text; grades: 0 to classes - 1."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: np.ndarray, classes: int, bits: int = BITS, steps: int = 300, rate: float = 0.05, decay: float = 2e-4) -> OrdinalModel:
+    """Maximum likelihood with a ridge. rows: features() of each text; grades: 0 to classes - 1."""
     grades = np.asarray(grades, np.int64)
     shares = np.array([(grades > k).mean() if len(grades) else 1.0 for k in range(classes - 1)])
     thresholds = np.maximum.accumulate(-np.log(np.clip(shares, 1e-6, 1 - 1e-6) / np.clip(1 - shares, 1e-6, 1)) + 1e-3 * np.arange(classes - 1))
     weights = np.zeros(1 << bits)
     if len(np.unique(grades)) < 2:
         return OrdinalModel(weights.astype(np.float32), thresholds, bits)
+    use = telling(rows, grades, bits)
     flat, value = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64)
+    of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])[use[flat]]
+    flat, value = flat[use[flat]], value[use[flat]]
     used, flat = np.unique(flat, return_inverse=True)
-    of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     balance = (len(grades) / (classes * np.maximum(1, np.bincount(grades, minlength=classes))))[grades]
     cuts = np.concatenate([thresholds[:1], np.log(np.maximum(np.diff(thresholds), 1e-3))])  # first, then logs of the gaps
     theta = np.concatenate([np.zeros(len(used)), cuts])
@@ -140,11 +160,11 @@ def train(docs: DataFrame, grades: DataFrame, classes: int = 3, sample: int = SA
         slots = WordSlots(bits)
         for b in batches:
             got = [features(x or b"", slots) for x in as_bytes(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], ["doc_id", "grade", "slots", "vals"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.int32())], ["doc_id", "grade", "slots", "vals", "seen"])
 
-    rows = joined.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, slots binary, vals binary").collect()
+    rows = joined.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, slots binary, vals binary, seen int").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["grade"], bytes(r["slots"]), bytes(r["vals"])))
-    return fit([(np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["vals"], np.float32)) for r in rows], np.array([r["grade"] for r in rows]), classes, bits, **how)
+    return fit([(np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["vals"], np.float32), r["seen"]) for r in rows], np.array([r["grade"] for r in rows]), classes, bits, **how)
 
 
 def rated(docs: DataFrame, model: OrdinalModel, wanted: int = 2) -> DataFrame:
@@ -161,7 +181,7 @@ def rated(docs: DataFrame, model: OrdinalModel, wanted: int = 2) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double")
 
 
-def selected(docs: DataFrame, model: OrdinalModel, wanted: int = 2, least: float = 0.5) -> DataFrame:
+def selected(docs: DataFrame, model: OrdinalModel, wanted: int = 2, least: float = LEAST) -> DataFrame:
     """The rows of docs whose tail probability is at least `least`, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import chat, media, packing, simhash, substrings, topk
+from ledgerlark.llm import chat, media, packing, quality, simhash, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document, and whether it is kept."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.graded(_table(spark, sf_dir, "labels")))
+    found = quality.rated(docs, model)
+    return found.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail_probability", 6).alias("tail_probability"), (F.col("tail_probability") >= quality.LEAST).alias("keep"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that imitates control strings, formatted and read back."""
     hard = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
@@ -54,6 +62,7 @@ QUERIES = {
     "op4_topk": op4_topk,
     "op5_substrings": op5_substrings,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
     "op8_chat": op8_chat,
 }
 
