@@ -16,8 +16,8 @@ best fit in decreasing order of length.
 Ranks are dealt without sorting everything in one place: tokenising tasks number pieces per length, one row per task
 and length is summed up over tasks, and base plus own number is the rank.
 
-Token ids come from the `tokenizers` library; a file whose pre-tokenizer drops white space is encoded per distinct
-run of non-space characters and the runs' ids are joined (tests hold this against encoding whole texts).
+Token ids come from the `tokenizers` library. With a file whose pre-tokenizer drops white space, distinct runs of
+non-space characters are encoded once and the runs' ids are joined (tests hold this against encoding whole texts).
 
 Null text: an empty document, one piece with only the end id. Rows with null or repeated doc_id are packed like others.
 An empty table gives no rows. Only doc_id and text are read.
@@ -25,7 +25,11 @@ An empty table gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +42,44 @@ from ledgerlark.llm._shared import as_bytes, materialise
 PLAN_ROWS = 4_000_000
 
 
+#: What a file must have for its texts to be encoded run by run: white space only separates.
+_RUN_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_RUN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Runs whose pre-tokens are plain to see: Latin letters that composition leaves alone, then marks that are one pre-token.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([-.,;:!?*#%&$()\"/+=_]*)")
+
+
 class RunEncoder:
-    """ids of a text from the ids of its runs of non-space bytes; known runs (up to `held` of them) are looked up."""
+    """ids of a text from the ids of its runs of non-space bytes. Known runs (up to `held`) are looked up. A new run of
+    letters and closing marks goes straight to the tokenizer's model, as its two pre-tokens; any other run goes through
+    the whole tokenizer. Files of another kind have their texts encoded whole."""
 
-    def __init__(self, path: str, held: int = 200_000, longest: int = 64):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, held: int = 400_000, longest: int = 48):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.held, self.longest = Tokenizer.from_file(path), held, longest
+        parts = json.loads(Path(path).read_text())
+        steps = [x.get("type") for x in (parts.get("normalizer") or {}).get("normalizers", [])]
+        split = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_run = steps == _RUN_NORMALIZER and split.get("pattern", {}).get("Regex") == _RUN_PATTERN and split.get("invert") is True and split.get("behavior") == "Removed"
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: byte_level.pre_tokenize_str(chr(c).lower())[0][0] for c in [*range(65, 91), *range(0xC0, 0x100)]}
         self._clear()
 
     def _clear(self):
         self.known: dict[bytes, int] = {}
         self.flat, self.start, self.used = np.empty(1 << 16, np.uint32), [0], 0
 
+    def _run_ids(self, run: bytes) -> list[int]:
+        text = run.decode()
+        if (m := _PLAIN.fullmatch(text)) and len(run) <= self.longest:
+            found = self.tokenizer.model.tokenize(m[1].translate(self.letters))
+            return [t.id for t in (found + self.tokenizer.model.tokenize(m[2]) if m[2] else found)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _learn(self, runs: list[bytes]) -> None:
-        for run, e in zip(runs, self.tokenizer.encode_batch([r.decode() for r in runs], add_special_tokens=False), strict=True):
-            ids = e.ids
+        for run in runs:
+            ids = self._run_ids(run)
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
             self.flat[self.used : self.used + len(ids)] = ids
@@ -63,6 +89,8 @@ class RunEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
+        if not self.by_run:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         split = [t.split() for t in texts]
         if len(self.known) > self.held:
             self._clear()
@@ -86,13 +114,19 @@ class RunEncoder:
         return out
 
 
+@functools.lru_cache(2)
+def run_encoder(path: str) -> RunEncoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return RunEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, nth): nth counts this task's pieces of that length from 0."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches):
-        encoder, task, seen = RunEncoder(tokenizer), TaskContext.get().partitionId(), [0] * (size + 1)
+        encoder, task, seen = run_encoder(tokenizer), TaskContext.get().partitionId(), [0] * (size + 1)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part, rows = b.slice(i, 256), []
