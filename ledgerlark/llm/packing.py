@@ -29,6 +29,7 @@ import functools
 import json
 import re
 import zlib
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -49,68 +50,63 @@ _RUN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([-.,;:!?*#%&$()\"/+=_]*)")
 
 
-class RunEncoder:
-    """ids of a text from the ids of its runs of non-space bytes. Known runs (up to `held`) are looked up. A new run of
-    letters and closing marks goes straight to the tokenizer's model, as its two pre-tokens; any other run goes through
-    the whole tokenizer. Files of another kind have their texts encoded whole."""
+class RunEncoder(dict):
+    """ids of a text from the ids of its runs of non-space bytes. Known runs (up to `held`) are looked up: the dict has
+    a run's place in `start`. A new run of letters and closing marks goes straight to the tokenizer's model, as its two
+    pre-tokens; any other run goes through the whole tokenizer. Files of another kind have their texts encoded whole."""
 
     def __init__(self, path: str, held: int = 400_000, longest: int = 48):
+        super().__init__()
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.held, self.longest = Tokenizer.from_file(path), held, longest
+        self.model = self.tokenizer.model
         parts = json.loads(Path(path).read_text())
         steps = [x.get("type") for x in (parts.get("normalizer") or {}).get("normalizers", [])]
         split = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_run = steps == _RUN_NORMALIZER and split.get("pattern", {}).get("Regex") == _RUN_PATTERN and split.get("invert") is True and split.get("behavior") == "Removed"
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: byte_level.pre_tokenize_str(chr(c).lower())[0][0] for c in [*range(65, 91), *range(0xC0, 0x100)]}
-        self._clear()
+        self.empty()
 
-    def _clear(self):
-        self.known: dict[bytes, int] = {}
-        self.flat, self.start, self.used = np.empty(1 << 16, np.uint32), [0], 0
+    def empty(self) -> None:
+        self.clear()
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.flat, self.start = array("I"), array("q", [0])
 
-    def _run_ids(self, run: bytes) -> list[int]:
+    def _word(self, word: str) -> tuple[int, ...]:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = tuple(t.id for t in self.model.tokenize(word))
+        return ids
+
+    def __missing__(self, run: bytes) -> int:
         text = run.decode()
-        if (m := _PLAIN.fullmatch(text)) and len(run) <= self.longest:
-            found = self.tokenizer.model.tokenize(m[1].translate(self.letters))
-            return [t.id for t in (found + self.tokenizer.model.tokenize(m[2]) if m[2] else found)]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, runs: list[bytes]) -> None:
-        for run in runs:
-            ids = self._run_ids(run)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known[run] = len(self.start) - 1
-            self.start.append(self.used)
+        if len(run) <= self.longest:
+            at = self[run] = len(self.start) - 1
+            if m := _PLAIN.fullmatch(text):
+                self.flat.extend(self._word(m[1].translate(self.letters)))
+                if m[2]:
+                    self.flat.extend(self._word(m[2]))
+                self.start.append(len(self.flat))
+                return at
+        self.flat.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self.start.append(len(self.flat))
+        return len(self.start) - 2
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         if not self.by_run:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-        split = [t.split() for t in texts]
-        if len(self.known) > self.held:
-            self._clear()
-        new = {r for runs in split for r in runs}.difference(self.known)
-        self._learn(sorted(r for r in new if len(r) <= self.longest))
-        rare = sorted(r for r in new if len(r) > self.longest)  # such runs are hardly met again
-        known = len(self.start), self.used
-        self._learn(rare)
-        start = np.array(self.start, np.int64)
-        out = []
-        for runs in split:
-            at = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+        if len(self) > self.held or len(self.flat) > 16 * self.held:
+            self.empty()
+        places = [np.fromiter(map(self.__getitem__, t.split()), np.int64) for t in texts]
+        start, flat, out = np.array(self.start), np.array(self.flat), []
+        for at in places:
             n = start[at + 1] - start[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.arange(total) + np.repeat(start[at] - ends + n, n)])
-        for r in rare:
-            del self.known[r]
-        del self.start[known[0] :]
-        self.used = known[1]
+            out.append(flat[np.arange(total) + np.repeat(start[at] - ends + n, n)])
         return out
 
 
@@ -128,8 +124,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> D
     def run(batches):
         encoder, task, seen = run_encoder(tokenizer), TaskContext.get().partitionId(), [0] * (size + 1)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part, rows = b.slice(i, 256), []
+            for i in range(0, b.num_rows, 512):
+                part, rows = b.slice(i, 512), []
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([x or b"" for x in as_bytes(part.column(1))]), strict=True):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     for k, at in enumerate(range(0, len(ids), size)):
