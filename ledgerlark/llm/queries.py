@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import chat, media, packing, quality, simhash, substrings, topk
+from ledgerlark.llm import chat, licenses, media, packing, pieces, quality, simhash, substrings, token_counts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.decode_column(media.encode_column(_table(spark, sf_dir, "documents")))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SentencePiece ids: their number and digest, parity with the other library, and the way back."""
+    found = pieces.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "parity", "round_trip")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, links at 2 or fewer bits."""
     found = simhash.near_copies(_table(spark, sf_dir, "documents"))
@@ -56,17 +62,55 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(both))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of every document that states a licence."""
+    return licenses.scan(_table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and tokens of every document."""
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _licence_sql() -> str:
+    """The scan by plain comparison of every line with every template, bigrams as numbered bags."""
+    rows = ", ".join(f"('{n}', '{t}')" for n, t in sorted(licenses.TEMPLATES.items()))
+    normal = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+    bag = "list_transform(range(1, len(b) + 1), lambda i: b[i] || '#' || len(list_filter(b[1:i], lambda x: x = b[i])))"
+    return f"""
+        WITH t AS (
+            SELECT license, {bag} AS bag FROM (SELECT license, {pairs} AS b FROM (SELECT license, string_split({normal.format("notice")}, ' ') AS w FROM (VALUES {rows}) v(license, notice)))
+        ), lines AS (
+            SELECT doc_id, CAST(i AS INTEGER) AS line, x[i] AS passage
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), unnest(range(1, len(x) + 1)) u(i)
+            UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))
+        ), p AS (
+            SELECT doc_id, line, {bag} AS bag
+            FROM (SELECT doc_id, line, {pairs} AS b FROM (SELECT doc_id, line, string_split({normal.format("passage")}, ' ') AS w FROM lines) WHERE len(w) BETWEEN 2 AND 60)
+        ), scored AS (
+            SELECT doc_id, line, license, 2.0 * len(list_intersect(p.bag, t.bag)) / (len(p.bag) + len(t.bag)) AS dice FROM p, t
+        )
+        SELECT doc_id, line, license, round(CAST(dice AS DOUBLE), 6) AS dice FROM scored WHERE dice >= {licenses.THRESHOLD}
+        QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1
+    """
+
+
 QUERIES = {
     "op1_media": op1_media,
+    "op2_pieces": op2_pieces,
     "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
     "op5_substrings": op5_substrings,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_chat": op8_chat,
+    "op9_licenses": op9_licenses,
+    "op10_token_counts": op10_token_counts,
 }
 
 SQL: dict[str, str] = {
+    "op9_licenses": _licence_sql(),
     "op4_topk": """
         WITH kept AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
