@@ -1,9 +1,9 @@
 """Token counts under a unigram vocabulary by dynamic programming shared along a trie of pre-tokens.
 
 A pre-token is the metaspace marker and a run without ASCII white space. The distinct new pre-tokens of a batch are put
-in order, which walks their trie depth first; the walk holds the state of each node on its current path: the best
-forward score and the number of tokens that reaches it, and the vocabulary nodes still open there. A node's scores are
-computed once for all pre-tokens below it; terminal nodes store their count, and documents sum up stored counts.
+in order, which makes their trie: words with a common prefix are neighbours. It is walked level by level in numpy; the
+best forward score of a node, and the number of tokens that reaches it, are computed once from its ancestors' for all
+pre-tokens below it. Terminal nodes store their count, and documents sum up stored counts.
 
 Scores: those of the model file if it is a unigram model; a BPE file only ranks its pieces, which then count by Zipf's
 law, -log(2 + rank), where rank is the place among them by falling score. A character that starts no piece costs 10
@@ -35,69 +35,103 @@ def unigram_scores(model: PieceModel) -> dict[str, float]:
     return {p[0]: p[1] if model.kind == UNIGRAM else -math.log(2 + i) for i, p in enumerate(own)}
 
 
+class PieceTable:
+    """Scores of pieces by polynomial hash, a sorted table for each length."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, scores: dict[str, float]):
+        by_length: dict[int, list[tuple[int, float]]] = {}
+        for piece, score in scores.items():
+            value = 0
+            for c in piece:
+                value = (value * int(self.BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            by_length.setdefault(len(piece), []).append((value, score))
+        self.longest = max(by_length)
+        self.tables = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([s for _, s in sorted(x)])) for n, x in by_length.items()}
+        self.powers = np.array([pow(int(self.BASE), i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
+
+    def find(self, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(which of them are pieces, these pieces' scores)."""
+        known, scores = self.tables[length]
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hit = np.flatnonzero(known[at] == hashes)
+        return hit, scores[at[hit]]
+
+
+def trie_counts(words: list[str], table: PieceTable, unknown: float, byte_fallback: bool) -> np.ndarray:
+    """Tokens of each of the words (in ascending order, distinct). The trie is walked level by level: a node is a
+    distinct prefix, its forward score and count are computed once from its ancestors', all nodes of a level together."""
+    n, wide = len(words), max(map(len, words))
+    chars = np.array(words, f"U{wide}").view(np.uint32).reshape(n, wide)
+    length = np.fromiter(map(len, words), np.int64, n)
+    shared = np.zeros(n, np.int64)  # prefix in common with the word before
+    if n > 1:
+        differs = chars[1:] != chars[:-1]
+        shared[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), wide)
+    node = np.zeros((wide + 1, n), np.int32)  # a word's node at each depth
+    score, count, prefix = [np.zeros(1)], [np.zeros(1, np.int64)], [np.zeros(1, np.uint64)]
+    out = np.zeros(n, np.int64)
+    for depth in range(1, wide + 1):
+        rows = np.flatnonzero(length >= depth)
+        new = shared[rows] < depth
+        new[0] = True
+        node[depth, rows] = np.cumsum(new) - 1
+        heads = rows[new]
+        c = chars[heads, depth - 1]
+        above = node[depth - 1, heads]
+        hashed = prefix[-1][above] * table.BASE + c.astype(np.uint64) + np.uint64(1)
+        size = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000) if byte_fallback else 1
+        best, tokens = score[-1][above] + unknown, count[-1][above] + size
+        for k in range(1, min(depth, table.longest) + 1):
+            if k not in table.tables:
+                continue
+            start = node[depth - k, heads]
+            hit, value = table.find(hashed - prefix[depth - k][start] * table.powers[k], k)
+            reached, after = score[depth - k][start[hit]] + value, count[depth - k][start[hit]] + 1
+            better = (reached > best[hit]) | ((reached == best[hit]) & (after < tokens[hit]))
+            best[hit[better]], tokens[hit[better]] = reached[better], after[better]
+        score.append(best)
+        count.append(tokens)
+        prefix.append(hashed)
+        ends = rows[length[rows] == depth]
+        out[ends] = tokens[node[depth, ends]]  # terminal nodes store their count
+    return out
+
+
 class TrieCounter(dict):
     """pre-token (without its mark) -> tokens."""
 
-    def __init__(self, scores: dict[str, float], byte_fallback: bool = True, held: int = 400_000, longest: int = 64):
+    def __init__(self, scores: dict[str, float], byte_fallback: bool = True, held: int = 400_000, wide: int = 40):
         super().__init__()
-        self.held, self.longest, self.byte_fallback = held, longest, byte_fallback
-        self.unknown = min(scores.values()) - 10
-        self.root: dict = {}
-        for piece, score in scores.items():
-            node = self.root
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = score
-        self.path, self.steps = "", [(0.0, 0, [])]
-        self._extend(MARK)
-        self.first = list(self.steps)
-
-    def _extend(self, chars: str) -> None:
-        """Walk on by these characters."""
-        steps, root, unknown = self.steps, self.root, self.unknown
-        for c in chars:
-            here = len(steps) - 1
-            best = (steps[here][0] + unknown, steps[here][1] - (len(c.encode()) if self.byte_fallback else 1))
-            alone, still = root.get(c), []
-            for start, node in steps[here][2]:
-                if (child := node.get(c)) is not None:
-                    still.append((start, child))
-                    if (score := child.get("")) is not None:
-                        reached = (steps[start][0] + score, steps[start][1] - 1)
-                        if reached > best:
-                            best = reached
-            if alone is not None:
-                still.append((here, alone))
-                if (score := alone.get("")) is not None:
-                    best = max(best, (steps[here][0] + score, steps[here][1] - 1))
-            steps.append((*best, still))  # the count is kept negative: more is better
-
-    def learn(self, words: set[bytes]) -> None:
-        """Store the counts of new pre-tokens."""
-        if len(self) > self.held:
-            self.clear()
-        last, self.steps = "", list(self.first)
-        base = len(self.first)
-        for word in sorted(w.decode() for w in words):
-            shared = 0
-            for a, b in zip(last, word, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            del self.steps[base + shared :]
-            self._extend(word[shared:])
-            self[word.encode()] = -self.steps[-1][1]
-            last = word
+        self.held, self.wide, self.byte_fallback = held, wide, byte_fallback
+        self.scores, self.table, self.unknown = scores, PieceTable(scores), min(scores.values()) - 10
+
+    def _long(self, word: str) -> int:
+        """A word too long for a trie to be worth it."""
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            own = len(word[end - 1].encode()) if self.byte_fallback else 1
+            found = [(best[end - 1][0] + self.unknown, best[end - 1][1] - own)]
+            for start in range(max(0, end - self.table.longest), end):
+                if (score := self.scores.get(word[start:end])) is not None:
+                    found.append((best[start][0] + score, best[start][1] - 1))
+            best.append(max(found))
+        return -best[-1][1]
 
     def count(self, texts: list[bytes]) -> list[tuple[int, int]]:
         """(words, tokens) of each text."""
+        if len(self) > self.held:
+            self.clear()
         split = [t.split() for t in texts]
         new = {w for words in split for w in words}.difference(self)
-        self.learn(new)
+        long = [w for w in new if len(w) > self.wide]
+        if short := sorted(MARK + w.decode() for w in new if len(w) <= self.wide):
+            self.update(zip((w[1:].encode() for w in short), trie_counts(short, self.table, self.unknown, self.byte_fallback).tolist(), strict=True))
+        self.update((w, self._long(MARK + w.decode())) for w in long)
         out = [(len(words), sum(map(self.__getitem__, words))) for words in split]
-        for w in new:
-            if len(w) > self.longest:
-                del self[w]
+        for w in long:  # hardly met again
+            del self[w]
         return out
 
 
