@@ -57,10 +57,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     known = known.selectExpr("license", f"split({_NORMAL.format('notice')}, ' ') words").where("size(words) > 1").selectExpr("license", f"{_bag('words')} bag").collect()
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = [len(r["bag"]) for r in known]
+    least, most = min(sizes, default=1) * low - 1e-9 + 1, max(sizes, default=0) * high + 1e-9 + 1  # in words
+    lines = "transform(split(regexp_replace(lower(text), '[^\\\\p{L}\\\\p{N}\\n]+', ' '), '\\n'), (x, i) -> struct(cast(i + 1 as int) as line, trim(x) as passage))"
+    counted = f"transform({lines}, x -> struct(x.line as line, x.passage as passage, if(x.passage = '', 0, length(x.passage) - length(replace(x.passage, ' ', '')) + 1) as n))"
+    whole = "array_join(transform(filter(x, y -> y.n > 0), y -> y.passage), ' ')"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    lines = "transform(split(text, '\\n'), (x, i) -> struct(cast(i + 1 as int) as line, x as passage))"
-    passages = rows.selectExpr("doc_id", f"explode(if(instr(text, '\\n') > 0, concat({lines}, array(struct(0 as line, text as passage))), {lines})) p").selectExpr("doc_id", "p.line", f"split({_NORMAL.format('p.passage')}, ' ') words")
-    sized = passages.where(f"size(words) - 1 between {min(sizes, default=1) * low - 1e-9} and {max(sizes, default=0) * high + 1e-9}").selectExpr("doc_id", "line", "size(words) - 1 n", f"{_bag('words')} bag")
+    totals = rows.selectExpr("doc_id", f"{counted} x").selectExpr("doc_id", "x", "aggregate(x, 0, (a, y) -> a + y.n) total")
+    within = f"filter(if(size(x) > 1 and total <= {most}, concat(x, array(struct(0 as line, {whole} as passage, total as n))), x), y -> y.n between {least} and {most})"
+    sized = totals.selectExpr("doc_id", f"explode({within}) p").selectExpr("doc_id", "p.line", "p.n - 1 n", "split(p.passage, ' ') words").selectExpr("doc_id", "line", "n", f"{_bag('words')} bag")
     options = [
         F.when((F.col("n") >= len(r["bag"]) * low - 1e-9) & (F.col("n") <= len(r["bag"]) * high + 1e-9), F.struct((F.size(F.array_intersect("bag", F.array(*map(F.lit, r["bag"])))) * 2.0 / (F.col("n") + len(r["bag"]))).alias("dice"), F.lit(r["license"]).alias("license")))
         for r in known
