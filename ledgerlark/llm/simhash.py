@@ -110,3 +110,102 @@ def near_copies(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     in_group = nodes.join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = in_group.groupBy("component").agg(F.min("least").alias("component_id"))
     return own.join(in_group.join(first, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Distinct shingles of a text as 64-bit hashes made of word hashes."""
+    found = np.fromiter(map(xxhash.xxh64_intdigest, text.lower().split()), np.uint64)
+    if not len(found):
+        return found
+    n = max(1, len(found) - words + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(words, len(found))):
+        out = (out ^ (out >> np.uint64(31))) * _STEP + found[i : i + n]
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def _samples(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """A SimHash for each band: of the three shingles that are least under three orders of the band's own."""
+    factors = np.random.default_rng(20240607).integers(1, 1 << 63, 3 * bands, dtype=np.uint64) | np.uint64(1)
+    least = np.array([hashes[((hashes ^ (hashes >> np.uint64(32))) * f).argmin()] for f in factors]).reshape(bands, 3)
+    a, b, c = least.T
+    return (a & b) | (b & c) | (a & c)
+
+
+def _sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
+    """(doc_id, content, fp, samples): content tells word sequences apart, fp is the whole text's fingerprint."""
+
+    def run(batches):
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            content, fps, samples = [], [], []
+            for x in as_bytes(b.column(1)):
+                text = b" ".join((x or b"").lower().split())
+                own = _shingle_set(text, words)
+                content.append(xxhash.xxh128_digest(text))
+                fps.append(fingerprint(own))
+                samples.append(_samples(own, bands).view(np.int64) if len(own) else [])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(content, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(samples, pa.list_(pa.int64()))], ["doc_id", "content", "fp", "samples"]
+            )
+
+    return docs.mapInArrow(run, "doc_id long, content binary, fp long, samples array<long>")
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose shingle sets have at least that Jaccard similarity; sets are compared as 32-bit hashes."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.join(asked.hint("merge"), "doc_id", "left_semi")  # one plan at every size
+
+    def shingle(batches):
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            sets = [np.unique(_shingle_set(x or b"", words).astype("<u4")).tobytes() for x in as_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+    sets = materialise(texts.select("doc_id", "text").mapInArrow(shingle, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")).hint("merge"), "a")
+    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")).hint("merge"), "b").select("a", "b", "of_a", "of_b")
+
+    def verify(batches):
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    keep.append(False)
+                    continue
+                merged = np.sort(np.concatenate([x, y]), kind="stable")
+                common = int((merged[1:] == merged[:-1]).sum())
+                keep.append(common >= similarity * (len(merged) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(verify, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 12) -> DataFrame:
+    """(doc_id, stays): documents that duplicate another one, and the least doc_id of their group.
+
+    Duplicates are texts of one word sequence (A-Z lower-cased), and texts whose sets of `words`-word shingles have at
+    least that Jaccard similarity; groups are components of these. At 0.8 the fingerprints of whole texts differ in up
+    to 15 bits, where no grid is selective. So candidates come from fingerprints within 2 bits, by the grid, and from
+    `bands` further fingerprints a text, each the SimHash of three of its shingles, drawn by min-wise hashing: two texts
+    of similarity s agree on one with s^3, at 0.8 on at least one of 12 with 0.9998. All who agree are compared
+    with three of them (the least and greatest doc_id, and one drawn by hash), not with each other; every candidate pair
+    is verified on the shingle sets themselves.
+
+    Null doc_ids are in no group. Rows that repeat a doc_id are one document. Empty texts are one word sequence."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    sketched = materialise(_sketches(own, words, bands))
+    nodes = materialise(sketched.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("samples").alias("samples")))
+    by_fp = nodes.where("size(samples) > 0").groupBy("fp").agg(F.min("node").alias("node"))
+    met = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("a"), F.col("node").alias("of_a")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("node").alias("of_b")), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    sampled = nodes.select("node", F.posexplode("samples").alias("band", "sample"))
+    drawn = F.xxhash64("node", "band")
+    hubs = sampled.groupBy("band", "sample").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", drawn).alias("some")).where("low <> high")
+    agreed = sampled.join(hubs, ["band", "sample"]).select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("low", "high", "some"))).alias("b"))
+    pairs = met.union(agreed).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    same = connected_components(materialise(_similar(own, materialise(pairs), words, similarity)))
+    of = nodes.select("content", "node").join(same, "node", "left").select("content", F.coalesce("component", "node").alias("stays"))
+    return sketched.select("doc_id", "content").join(of, "content").where("doc_id <> stays").groupBy("doc_id").agg(F.min("stays").alias("stays"))

@@ -353,3 +353,41 @@ def without_repeats(docs: DataFrame, window: int = 50, **sizes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names)
 
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def cut_repeats(docs: DataFrame, window: int = 50, **sizes) -> DataFrame:
+    """docs with all its columns, repeated passages cut out of text (what stays keeps its white space) and n_chars, if
+    there, set anew. Documents that lose every word go."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    cover = repeated_cover(own, window, **sizes).toDF("_of_id", "_of_tag", "_cover").hint("merge")
+    joined = docs.join(cover, (docs["doc_id"].cast("long") == F.col("_of_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_of_tag")), "left").drop("_of_id", "_of_tag")
+    names = docs.columns
+    place, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches):
+        for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+            columns, covers = list(b.columns[:-1]), b.column(len(names)).to_pylist()
+            if any(c is not None for c in covers):
+                texts = [x if c is None else _cut(x, c) for x, c in zip(as_bytes(b.column(place)), covers, strict=True)]
+                kept = pa.array([c is None or bool(x) for x, c in zip(texts, covers, strict=True)], pa.bool_())
+                columns[place] = pa.array(texts, pa.binary()).cast(pa.string()).cast(columns[place].type)
+                if chars is not None:
+                    old = columns[chars].to_pylist()
+                    columns[chars] = pa.array([n if c is None else len(x.decode()) for n, x, c in zip(old, texts, covers, strict=True)], columns[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, names).filter(kept)
+            else:
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
+def _cut(text: bytes, cover: bytes) -> bytes:
+    start, _ = word_spans(text)
+    start = [*start.tolist(), len(text)]
+    kept, at = [], 0
+    for a, b in np.frombuffer(cover, "<i8").reshape(-1, 2).tolist():
+        kept.append(text[at : start[a]])
+        at = start[b]
+    kept.append(text[at:])
+    out = b"".join(kept)
+    return out if out.split() else b""
