@@ -60,26 +60,20 @@ def validated(status: Column, among: Column) -> Column:
     return F.when(F.array_contains(among, status), status).otherwise(F.lit("Error"))
 
 
-def fixes(missing: str, got: str) -> Column:
+def fixes(missing, got) -> Column:
     """May the found row fix the missing one (within a content group)? A verified primary mismatch counts only if the
-    header-stripped hash is verified and mismatches as well. Columns are named by the prefixes."""
+    header-stripped hash is verified and mismatches as well. Rows are functions from a field's name to its column."""
     def clash(kind: str) -> Column:
-        want = F.col(f"{missing}{kind}")
-        return (
-            F.col(f"{got}{kind}_verified")
-            & ~agrees(want, F.col(f"{got}{kind}"))
-            & F.col(f"{got}alt_{kind}_verified")
-            & ~agrees(want, F.col(f"{got}alt_{kind}"))
-        )
+        want = missing(kind)
+        return got(f"{kind}_verified") & ~agrees(want, got(kind)) & got(f"alt_{kind}_verified") & ~agrees(want, got(f"alt_{kind}"))
 
-    headers = agrees(F.col(f"{missing}header_type"), F.col(f"{got}header_type"))
-    return headers & ~F.coalesce(clash("sha1"), F.lit(False)) & ~F.coalesce(clash("md5"), F.lit(False))
+    return agrees(missing("header_type"), got("header_type")) & ~F.coalesce(clash("sha1"), F.lit(False)) & ~F.coalesce(clash("md5"), F.lit(False))
 
 
-def duplicates(a: str, b: str) -> Column:
+def duplicates(a, b) -> Column:
     """Two found rows of a group are the same content unless both hashes are verified and differ."""
     def clash(kind: str) -> Column:
-        return F.col(f"{a}{kind}_verified") & F.col(f"{b}{kind}_verified") & ~agrees(F.col(f"{a}{kind}"), F.col(f"{b}{kind}"))
+        return a(f"{kind}_verified") & b(f"{kind}_verified") & ~agrees(a(kind), b(kind))
 
     return ~F.coalesce(clash("sha1"), F.lit(False)) & ~F.coalesce(clash("md5"), F.lit(False))
 
@@ -87,20 +81,6 @@ def duplicates(a: str, b: str) -> Column:
 _KEYS = ["sha1", "md5", "alt_sha1", "alt_md5", "sha1_verified", "md5_verified", "alt_sha1_verified", "alt_md5_verified", "header_type"]
 
 
-def _profiles(rows: DataFrame, prefix: str, extra: list[str] = ()) -> DataFrame:
-    """The distinct things that predicates read, per group: far fewer rows than members, so no group is compared with
-    itself member by member."""
-    return rows.select("group_id", *extra, *_KEYS).distinct().select(F.col("group_id").alias(f"{prefix}group_id"), *(F.col(c).alias(f"{prefix}{c}") for c in [*extra, *_KEYS]))
-
-
-def _matched(rows: DataFrame, others: DataFrame, prefix: str, test: Column, on: list[str], flag: str) -> DataFrame:
-    """rows with a boolean: does any profile of others, equal on `on`, pass the test? Both sides are profiles."""
-    own = rows.select(*dict.fromkeys([*on, *_KEYS])).distinct()
-    joined = own.join(others, [F.col(c) == F.col(f"{prefix}{c}") for c in on]).where(test).select(*own.columns).distinct().withColumn(flag, F.lit(True))
-    keyed = [rows[c].eqNullSafe(joined[c]) for c in own.columns]
-    return rows.join(joined, keyed, "left").select(rows["*"], F.coalesce(joined[flag], F.lit(False)).alias(flag))
-
-
 def classify(nodes: DataFrame) -> DataFrame:
     """nodes(group_id, parent_id, locked, zero_byte, rep_status, dat_status, allowed, and the hash columns of a group)
     with `new_status`: the zero-byte branch, then steps 1 to 4 and the rename step, each result validated. Every
@@ -110,18 +90,24 @@ def classify(nodes: DataFrame) -> DataFrame:
     corrupt = (s == "Corrupt") & (dat != "InDatCollect")
     unneeded = s.isin("UnNeeded", "Unknown", "IncompleteRemove")
     correct, staging = s == "Correct", s == "InToSort"
-    got = correct | unneeded | staging
-    none = F.lit(False)
-    grouped = nodes.where("group_id is not null and not zero_byte")
-    of = lambda rows, extra=(): _profiles(rows, "o_", list(extra))
-    out = _matched(grouped, of(grouped.where(got)), "o_", fixes("", "o_"), ["group_id"], "has_source")
-    wanted = grouped.where(missing)
-    out = _matched(out, of(wanted), "o_", fixes("o_", ""), ["group_id"], "is_wanted")
-    out = _matched(out, of(wanted.where(~F.col("locked"))), "o_", fixes("o_", ""), ["group_id"], "is_wanted_unlocked")
-    out = _matched(out, of(grouped.where(correct)), "o_", duplicates("", "o_"), ["group_id"], "has_correct")
-    out = _matched(out, of(grouped.where(staging)), "o_", duplicates("", "o_"), ["group_id"], "has_staging")
-    any_got = grouped.where(got).select("group_id").distinct().withColumn("any_got", F.lit(True))
-    out = out.join(any_got, "group_id", "left").withColumn("any_got", F.coalesce("any_got", none))
+    role = F.when(missing, "missing").when(correct, "correct").when(unneeded, "unneeded").when(staging, "staging")
+    grouped = nodes.where("group_id is not null and not zero_byte").withColumn("role", role)
+    # What predicates read of a group's members, each once: members agree on known hashes, so this stays a handful of
+    # profiles however many copies a group has, and nothing compares members in pairs.
+    profile = F.struct("role", "locked", *_KEYS)
+    seen = grouped.where("role is not null").groupBy("group_id").agg(F.collect_set(profile).alias("profiles"))
+    out = grouped.join(seen, "group_id", "left")
+    own = F.col
+    among = lambda test: F.coalesce(F.exists("profiles", test), F.lit(False))
+    flags = {
+        "has_source": lambda p: (p["role"] != "missing") & fixes(own, lambda k: p[k]),
+        "is_wanted": lambda p: (p["role"] == "missing") & fixes(lambda k: p[k], own),
+        "is_wanted_unlocked": lambda p: (p["role"] == "missing") & ~p["locked"] & fixes(lambda k: p[k], own),
+        "has_correct": lambda p: (p["role"] == "correct") & duplicates(own, lambda k: p[k]),
+        "has_staging": lambda p: (p["role"] == "staging") & duplicates(own, lambda k: p[k]),
+        "any_got": lambda p: p["role"] != "missing",
+    }
+    out = out.withColumns({name: among(test) for name, test in flags.items()})
     free = ~F.col("locked")
     first = (
         F.when(missing & free & F.col("has_source"), F.when(s == "Corrupt", F.lit("CorruptCanBeFixed")).otherwise("CanBeFixed"))
@@ -136,8 +122,9 @@ def classify(nodes: DataFrame) -> DataFrame:
         .otherwise(s)
     )
     out = out.withColumn("step", first)
-    siblings = out.where(F.col("step") == "CanBeFixed")
-    out = _matched(out, _profiles(siblings, "o_", ["parent_id"]), "o_", fixes("o_", ""), ["group_id", "parent_id"], "has_sibling")
+    siblings = F.collect_set(F.when(F.col("step") == "CanBeFixed", F.struct(*_KEYS)))
+    beside = out.groupBy("group_id", "parent_id").agg(siblings.alias("siblings"))
+    out = out.join(beside, ["group_id", "parent_id"], "left").withColumn("has_sibling", F.coalesce(F.exists("siblings", lambda p: fixes(lambda k: p[k], own)), F.lit(False)))
     step = F.when((F.col("step") == "NeededForFix") & F.col("has_sibling"), "Rename").otherwise(F.col("step"))
     zero = (
         F.when(F.col("locked"), s)
