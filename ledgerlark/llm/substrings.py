@@ -153,6 +153,8 @@ def _block_rows(block: int, ids: list[int], tags: list[int], texts: list[bytes],
     ends = np.cumsum(lengths)
     starts = ends - lengths
     usable = np.maximum(lengths - window + 1, 0)
+    if not usable.any():
+        return []
     doc = np.repeat(np.arange(len(lengths), dtype=np.int32), usable)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(usable) - usable, usable) + starts[doc]
     label = path_labels(words, window)[place]
@@ -178,7 +180,7 @@ def _block_rows(block: int, ids: list[int], tags: list[int], texts: list[bytes],
     by_group = np.argsort(group, kind="stable")
     group, place, label, doc = group[by_group], place[by_group], label[by_group], doc[by_group]
     cuts = np.flatnonzero(np.diff(group, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(group)], strict=True):
+    for a, b in zip(cuts, np.append(cuts[1:], [len(group)][: len(cuts)]), strict=True):
         seen, runs = np.unique(doc[a:b], return_counts=True)  # documents of ascending places
         table = np.stack([id_of[seen], runs]).astype("<i8").tobytes()
         out.append((int(group[a]), block, _SUFFIXES, zstandard.ZstdCompressor(level=1).compress(table), label[a:b].astype("<u8").tobytes(), _planes(place[a:b])))
@@ -331,7 +333,7 @@ def repeated_cover(docs: DataFrame, window: int = 50, group_windows: int = 1_000
     parts = max(1, groups)
     sent = _send(docs, window, first, split, parts, block_bytes).repartition(parts, "part").sortWithinPartitions("part")
     grown = _grow(sent).repartition(parts, "block").sortWithinPartitions("block")
-    out = materialise(_cover(grown, window))
+    out = materialise(_cover(grown, window).dropDuplicates(["doc_id", "tag"]))  # repeated rows lose the same words
     del sent, grown
     release_shuffles(docs.sparkSession)
     return out
