@@ -100,3 +100,17 @@ def archive_structure(members: DataFrame) -> DataFrame:
         F.when(name.endswith("/") & F.coalesce(F.startswith(F.lead(name).over(order), name), F.lit(False)), 8).otherwise(0).alias("dir"),
     )
     return flags.groupBy("archive").agg((F.bit_or("slash").bitwiseOR(F.bit_or("order")).bitwiseOR(F.bit_or("repeat")).bitwiseOR(F.bit_or("dir"))).alias("flags"), F.count("*").alias("n_members"))
+
+
+def staging_names(moves: DataFrame) -> DataFrame:
+    """moves(node_id, target, name): names in the staging directory; from the second on, _0, _1, ... before the extension."""
+    place = F.row_number().over(Window.partitionBy("target", F.lower("name")).orderBy("node_id")) - 2
+    numbered = F.concat(F.regexp_replace("name", r"\.[^./]*$", ""), F.lit("_"), F.col("n").cast("string"), F.regexp_extract("name", r"(\.[^./]*)$", 1))
+    return moves.withColumn("n", place).withColumn("staged", F.when(F.col("n") >= 0, numbered).otherwise(F.col("name"))).drop("n")
+
+
+def empty_directories(dirs: DataFrame, files: DataFrame) -> DataFrame:
+    """dirs(path) below which no file stays. files(path of the directory); every leading part of it counts as used."""
+    parts = F.split("path", "/")
+    used = files.select("path").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("path")).distinct()
+    return dirs.join(used, "path", "left_anti")

@@ -84,3 +84,10 @@ def test_incremental_refresh(tmp_path, spark):
     for _ in range(2):
         refresh.refresh(refresh.watch(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
+def test_staging_names_and_empty_directories(spark):
+    moves = spark.createDataFrame([(1, "t", "a.bin"), (2, "t", "A.bin"), (3, "t", "a.bin"), (4, "u", "a.bin")], "node_id long, target string, name string")
+    assert [r.staged for r in planning.staging_names(moves).orderBy("node_id").collect()] == ["a.bin", "A_0.bin", "a_1.bin", "a.bin"]
+    dirs = spark.createDataFrame([("a",), ("a/b",), ("c",)], "path string")
+    assert [r.path for r in planning.empty_directories(dirs, spark.createDataFrame([("a/b",)], "path string")).collect()] == ["c"]
