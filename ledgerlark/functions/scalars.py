@@ -70,7 +70,7 @@ def dos_time(packed: Column) -> Column:
 
 def split_list(raw: Column) -> Column:
     """Text with bars to a list of trimmed entries."""
-    return F.transform(F.split(raw, r"\|"), F.trim)
+    return F.transform(F.split(raw, r"\|"), lambda x: F.trim(x))
 
 
 def dat_path(path: Column, root: str = "RomVault", dat_root: str = "DatRoot") -> Column:
@@ -93,3 +93,28 @@ def ignore_regex(patterns: list[str]) -> str:
         else:
             out.append("^" + "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() and c not in " _/" else c for c in p) + "$")
     return "(?i)(?:" + "|".join(f"(?:{p})" for p in out) + ")" if out else "(?!)"
+
+
+def unix_time(seconds: Column) -> Column:
+    """Seconds since 1970 as a timestamp without zone."""
+    return F.timestamp_micros(seconds * 1_000_000).cast("timestamp_ntz")
+
+
+def ntfs_time(ticks: Column) -> Column:
+    """Steps of 100 ns since 1601 as a timestamp without zone."""
+    return F.timestamp_micros(F.floor(ticks / F.lit(10).cast("decimal(2,0)")).cast("long") - 11_644_473_600_000_000).cast("timestamp_ntz")
+
+
+def doscenter_time(raw: Column) -> Column:
+    """Dates in DOSCenter catalogs: yyyy/MM/dd HH:mm:ss, or with dashes; anything else is unknown."""
+    return F.try_to_timestamp(F.replace(F.trim(raw), F.lit("-"), F.lit("/")), F.lit("yyyy/M/d H:m:s")).cast("timestamp_ntz")
+
+
+def join_list(entries: Column) -> Column:
+    """A list to text with bars; blank entries go."""
+    return F.array_join(F.filter(F.transform(entries, lambda x: F.trim(x)), lambda x: x != ""), "|")
+
+
+def null_first(value: Column) -> Column:
+    """Sort key by which what is unknown comes before everything."""
+    return value.asc_nulls_first()

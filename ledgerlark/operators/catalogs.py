@@ -126,18 +126,6 @@ def non_merge_sets(items: DataFrame, refs: DataFrame) -> DataFrame:
     return pulled.join(items.select("cat_id", "set_name", "name", "sha1"), ["cat_id", "set_name", "name", "sha1"], "left_anti")
 
 
-def single_level(items: DataFrame, policy: str = "keep_conflicts") -> DataFrame:
-    """Collapse a catalog's sets into one. Policies: keep_all (name led by the set), keep_conflicts (only names that
-    collide), keep_none (no set, unless a catalog has collisions, then as keep_all), single (as keep_none for sets
-    of one item, else as keep_all)."""
-    clash = F.count("*").over(Window.partitionBy("cat_id", F.lower("name"))) > 1
-    any_clash = F.max(clash).over(Window.partitionBy("cat_id"))
-    alone = F.count("*").over(Window.partitionBy("cat_id", "set_name")) == 1
-    full = F.concat_ws("/", "set_name", "name")
-    lead = {"keep_all": F.lit(True), "keep_conflicts": clash, "keep_none": any_clash, "single": ~alone | any_clash}[policy]
-    return items.withColumn("flat_name", F.when(lead, full).otherwise(F.col("name")))
-
-
 def unneeded_dirs(items: DataFrame) -> DataFrame:
     """Drop 'x/' entries of size 0 that another name of the set extends. The equi-key are the names' parent prefixes."""
     parts = F.split("name", "/")

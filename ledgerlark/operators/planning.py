@@ -114,3 +114,63 @@ def empty_directories(dirs: DataFrame, files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     used = files.select("path").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("path")).distinct()
     return dirs.join(used, "path", "left_anti")
+
+
+# What is done about a file of each status, alone in a directory and in an archive that is rebuilt.
+FILE_ACTIONS = {
+    "UnScanned": "keep", "Missing": "keep", "Incomplete": "keep", "Correct": "check_name", "NotCollected": "keep", "Ignore": "keep", "InToSort": "keep",
+    "Delete": "delete", "MoveToSort": "move_to_staging", "MoveToCorrupt": "move_to_corrupt", "CanBeFixed": "fix", "CorruptCanBeFixed": "fix", "NeededForFix": "keep",
+    "Corrupt": "keep", "Rename": "keep",
+}
+MEMBER_ACTIONS = {
+    "Missing": "leave_out", "NotCollected": "leave_out", "Rename": "leave_out", "Delete": "leave_out", "Incomplete": "leave_out",
+    "Correct": "copy", "InToSort": "copy", "NeededForFix": "copy", "Corrupt": "copy", "CanBeFixed": "fix", "CorruptCanBeFixed": "fix",
+    "MoveToSort": "move_to_staging", "MoveToCorrupt": "move_to_corrupt",
+}
+
+
+def _action(actions: dict[str, str], status: Column) -> Column:
+    pairs = (F.lit(x) for pair in actions.items() for x in pair)
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), status), F.lit("error"))
+
+
+def file_action(status: Column) -> Column:
+    """What is to be done about a plain file; statuses that a file can't have are errors."""
+    return _action(FILE_ACTIONS, status)
+
+
+def member_action(status: Column) -> Column:
+    """What becomes of an archive's member when the archive is rebuilt."""
+    return _action(MEMBER_ACTIONS, status)
+
+
+def archive_actions(members: DataFrame, archives: DataFrame) -> DataFrame:
+    """members(archive, new_status), archives(archive, corrupt, structure, wanted_structure) with `action`: a corrupt
+    archive moves as a whole; one whose members all leave (or aren't there) is staged as a whole; one without anything to
+    keep is deleted; one with something to do, or of another structure than wanted, is rebuilt; the rest stays."""
+    leaves, absent = ["MoveToSort", "Missing", "NotCollected"], ["Missing", "NotCollected", "Incomplete"]
+    busy = [s for s, a in MEMBER_ACTIONS.items() if a not in ("copy", "leave_out")] + ["Delete", "Rename"]
+    sums = members.groupBy("archive").agg(
+        F.bool_and(F.col("new_status").isin(leaves)).alias("all_leave"), F.bool_or(F.col("new_status") == "MoveToSort").alias("any_leaves"),
+        F.bool_and(F.col("new_status").isin([*absent, "Delete"])).alias("none_stays"), F.bool_or(F.col("new_status") == "Delete").alias("any_delete"), F.bool_or(F.col("new_status").isin(busy)).alias("busy"),
+    )
+    joined = archives.join(sums, "archive", "left")
+    known = lambda c: F.coalesce(c, F.lit(False))
+    action = (
+        F.when(known("corrupt"), "move_to_corrupt")
+        .when(known(F.col("all_leave") & F.col("any_leaves")), "move_to_staging")
+        .when(known(F.col("none_stays") & F.col("any_delete")), "delete")
+        .when(known("busy") | restructure(F.col("structure"), F.col("wanted_structure")), "rebuild")
+        .otherwise("keep")
+    )
+    return joined.withColumn("action", action).select(*archives.columns, "action")
+
+
+def restructure(structure: Column, wanted: Column) -> Column:
+    """An archive needs rebuilding when a structure is wanted that it doesn't have."""
+    return F.coalesce((wanted != "None") & ~structure.eqNullSafe(wanted), F.lit(False))
+
+
+def reset_corrupt_time(nodes: DataFrame) -> DataFrame:
+    """Corrupt files lose their time, so that the next scan reads them again."""
+    return nodes.withColumn("mtime", F.when(F.col("got_status") != "Corrupt", F.col("mtime")))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import scalars, sortkeys
-from ledgerlark.operators import catalogs, matching, planning, rollup, state, status
+from ledgerlark.operators import attributes, catalogs, cleaning, matching, planning, rollup, state, status
 from ledgerlark.plans import fixtures as fx
-from ledgerlark.sources import inventory
+from ledgerlark.sources import inventory, settings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -237,17 +237,17 @@ def rom_filter(spark, sf_dir):
 
 # ---- catalog transforms
 
-@query("SELECT doc_id, regexp_replace(replace(replace(substr(text, 1, 80), chr(92), '/'), './', '/'), '[:*?<>|\"\\x00-\\x1f]', '-', 'g') AS clean FROM documents")
+@query("SELECT doc_id, regexp_replace(replace(replace(text, chr(92), '/'), './', '/'), '[:*?<>|\"\\x00-\\x1f]', '-', 'g') AS clean FROM documents")
 def clean_names(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", scalars.clean_file_name(F.substring("text", 1, 80)).alias("clean"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", scalars.clean_file_name(F.col("text")).alias("clean"))
 
 
 @query(
-    """WITH t AS (SELECT doc_id, trim(replace(substr(text, 1, 40), chr(10), ' ')) AS x FROM documents), u AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN x ELSE regexp_replace(x, '[. ]+$', '') END AS y FROM t)
+    """WITH t AS (SELECT doc_id, trim(replace(text, chr(10), ' ')) AS x FROM documents), u AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN x ELSE regexp_replace(x, '[. ]+$', '') END AS y FROM t)
     SELECT doc_id, CASE WHEN y = '' THEN '_' ELSE y END AS full_name FROM u"""
 )
 def clean_names_full(spark, sf_dir):
-    raw = F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" "))
+    raw = F.replace("text", F.lit("\n"), F.lit(" "))
     return fx.table(spark, sf_dir, "documents").select("doc_id", catalogs.clean_names_full(raw, F.col("doc_id") % 2 == 0).alias("full_name"))
 
 
@@ -343,18 +343,23 @@ def remove_dupes(spark, sf_dir):
     return matching.remove_dupes(_grouped_items(spark, sf_dir).withColumnRenamed("set_name", "set_id")).select("item_id")
 
 
+_LEVEL_SET = "CASE WHEN item_id % 3 = 0 THEN 'p' || CAST(item_id % 10 AS STRING) WHEN item_id < 20 THEN 'f' || CAST(item_id AS STRING) ELSE set_name END"
+_LEVEL_CATEGORY = "CASE WHEN item_id % 4 = 0 THEN 'Games' END"
+
 for _policy, _test in {
     "keep_all": "true",
-    "keep_conflicts": "count(*) OVER (PARTITION BY cat_id, lower(name)) > 1",
-    "keep_none": "any_clash",
-    "single": "count(*) OVER (PARTITION BY cat_id, set_name) <> 1 OR any_clash",
+    "remove_all": "false",
+    "remove_all_if_no_conflicts": "(SELECT max(k) > 1 FROM (SELECT count(*) AS k FROM i j WHERE j.cat_id = i.cat_id GROUP BY lower(j.name)))",
+    "remove_if_single": "count(*) OVER (PARTITION BY cat_id, set_name) > 1",
+    "remove_if_name_matches": "count(*) OVER (PARTITION BY cat_id, set_name) > 1 OR CASE WHEN category IS NULL THEN '' ELSE category || '/' END || regexp_replace(regexp_extract(name, '([^/]*)$', 1), '\\.[^.]*$', '') <> set_name",
 }.items():
     def _single(spark, sf_dir, policy=_policy):
-        return catalogs.single_level(_grouped_items(spark, sf_dir), policy).select("item_id", "flat_name")
+        items = fx.view(spark, sf_dir, fx.ITEMS).withColumns({"set_name": F.expr(_LEVEL_SET), "category": F.expr(_LEVEL_CATEGORY)})
+        return cleaning.single_level(items, policy, F.col("category")).select("item_id", "flat_name")
 
     QUERIES[f"single_level_{_policy}"] = _single
-    SQL[f"single_level_{_policy}"] = f"""WITH i AS {_GROUPED_ITEMS}, n AS (SELECT cat_id, max(k) > 1 AS any_clash FROM (SELECT cat_id, lower(name), count(*) AS k FROM i GROUP BY ALL) GROUP BY cat_id)
-        SELECT item_id, CASE WHEN {_test} THEN set_name || '/' || name ELSE name END AS flat_name FROM i JOIN n USING (cat_id)"""
+    SQL[f"single_level_{_policy}"] = f"""WITH i AS (SELECT * REPLACE ({_LEVEL_SET} AS set_name), {_LEVEL_CATEGORY} AS category FROM ({_ITEMS}))
+        SELECT item_id, CASE WHEN {_test} THEN set_name || '/' || name WHEN category IS NULL THEN name ELSE category || '/' || name END AS flat_name FROM i"""
 
 
 @query(
@@ -566,3 +571,123 @@ def dos_time(spark, sf_dir):
     d = F.col("o_orderdate")
     packed = F.shiftleft((F.year(d) - 1980).cast("long"), 25) + F.shiftleft(F.month(d).cast("long"), 21) + F.shiftleft(F.day(d).cast("long"), 16)
     return fx.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(scalars.dos_time(packed), "yyyy-MM-dd").alias("day"))
+
+
+# ---- further steps of catalogs
+
+def _items(spark, sf_dir):
+    return fx.view(spark, sf_dir, fx.ITEMS)
+
+
+@query(f"WITH i AS ({_ITEMS}) SELECT item_id FROM i WHERE coalesce(status, '') <> 'nodump' AND NOT is_disk")
+def item_filters(spark, sf_dir):
+    return cleaning.by_disk(cleaning.without_nodumps(_items(spark, sf_dir)), "files").select("item_id")
+
+
+@query(
+    f"""WITH s AS (SELECT name, ord, is_bios, CASE ord % 3 WHEN 0 THEN 'Zip' WHEN 1 THEN 'FileOnly' ELSE 'SevenZip' END AS rule, ord % 5 = 0 AS fixed, ['TDC', 'unzip', '7z', 'zip', 'what'][CAST(ord % 5 AS INTEGER) + 1] AS head FROM ({_SETS}))
+    SELECT name, CASE WHEN rule = 'FileOnly' THEN 'Dir' WHEN fixed THEN rule WHEN head = 'unzip' THEN 'Dir' WHEN head = '7z' THEN 'SevenZip' WHEN head IN ('zip', 'TDC') THEN 'Zip' ELSE rule END AS file_type,
+        CASE WHEN rule = 'FileOnly' THEN 'None' WHEN fixed THEN 'own' WHEN head = 'unzip' THEN 'None' WHEN head = '7z' THEN 'SevenZipSLZMA' WHEN head = 'zip' THEN 'ZipTrrnt' WHEN head = 'TDC' THEN 'ZipTDC' ELSE 'own' END AS structure FROM s"""
+)
+def packing_method(spark, sf_dir):
+    n = F.col("ord")
+    rule = F.when(n % 3 == 0, "Zip").when(n % 3 == 1, "FileOnly").otherwise("SevenZip")
+    head = F.element_at(F.array(*map(F.lit, ["TDC", "unzip", "7z", "zip", "what"])), (n % 5 + 1).cast("int"))
+    return fx.view(spark, sf_dir, fx.SETS).withColumn("p", cleaning.packing(rule, F.lit("own"), n % 5 == 0, head)).select("name", "p.file_type", "p.structure")
+
+
+_DATED = "CASE WHEN item_id % 7 = 0 THEN NULL WHEN item_id % 3 = 0 THEN item_id ELSE CAST(563657728 AS BIGINT) END"
+
+
+@query(
+    f"""WITH i AS (SELECT *, {_DATED} AS date_modified FROM ({_ITEMS})), d AS (SELECT cat_id, set_name, bool_and(coalesce(date_modified = 563657728, false)) AS plain, CASE WHEN min(item_id) % 11 = 0 THEN 'SevenZip' END AS own FROM i GROUP BY cat_id, set_name)
+    SELECT set_name, coalesce(own, 'Zip') AS file_type, CASE WHEN own IS NOT NULL THEN 'SevenZipNZSTD' WHEN plain THEN 'ZipTrrnt' ELSE 'ZipTDC' END AS structure, CASE WHEN own IS NULL THEN 'FileZip' ELSE 'FileSevenZip' END AS member_type FROM d"""
+)
+def set_types(spark, sf_dir):
+    items = _items(spark, sf_dir).withColumn("date_modified", F.expr(_DATED))
+    sets = items.groupBy("cat_id", "set_name").agg(F.when(F.min("item_id") % 11 == 0, "SevenZip").alias("own_type"))
+    return cleaning.set_types(sets, items, "Zip", "ZipTDC").select("set_name", "file_type", "structure", "member_type")
+
+
+@query(f"WITH i AS ({_ITEMS}) SELECT item_id, CASE WHEN is_disk AND item_id % 2 = 1 THEN 'Dir' WHEN item_id % 2 = 1 THEN 'Zip' ELSE 'Dir' END AS container_type, CASE WHEN item_id % 2 = 1 AND NOT is_disk THEN 'FileZip' ELSE 'File' END AS member_type FROM i")
+def move_up_disks(spark, sf_dir):
+    items = _items(spark, sf_dir).withColumn("file_type", F.when(F.col("item_id") % 2 == 1, "Zip").otherwise("Dir"))
+    return cleaning.move_up_disks(items).select("item_id", "container_type", "member_type")
+
+
+@query(
+    f"""WITH i AS {_GROUPED_ITEMS} SELECT set_name, name, size, crc FROM i UNION ALL SELECT DISTINCT set_name, 'sub/', CAST(0 AS BIGINT), '00000000' FROM i WHERE name LIKE 'sub/%'
+    UNION ALL SELECT DISTINCT set_name, 'sub/dir/', CAST(0 AS BIGINT), '00000000' FROM i WHERE name LIKE 'sub/dir/%'"""
+)
+def flatten_archives(spark, sf_dir):
+    return cleaning.flatten_archives(_grouped_items(spark, sf_dir))
+
+
+@query(f"WITH i AS ({_ITEMS}) SELECT item_id, CASE WHEN item_id % 5 = 0 THEN set_name WHEN name LIKE 'sub/%' THEN 'sub' END AS set_name, CASE WHEN item_id % 5 <> 0 AND name LIKE 'sub/%' THEN substr(name, 5) ELSE name END AS name FROM i")
+def first_level_as_sets(spark, sf_dir):
+    loose = _items(spark, sf_dir).withColumn("set_name", F.when(F.col("item_id") % 5 == 0, F.col("set_name")))
+    return cleaning.first_level_as_sets(loose).select("item_id", "set_name", "name")
+
+
+# ---- attributes and actions
+
+@query(f"WITH {_CLASSIFIED} SELECT parent_id, CAST(coalesce(sum(size) FILTER (new_status IN ('Correct', 'CanBeFixed', 'CorruptCanBeFixed', 'InToSort')), 0) AS BIGINT) AS wanted_bytes, CAST(coalesce(sum(size) FILTER (new_status = 'MoveToSort'), 0) AS BIGINT) AS staging_bytes FROM classified GROUP BY parent_id")
+def archive_sizes(spark, sf_dir):
+    return attributes.archive_sizes(_classified(spark, sf_dir), "parent_id")
+
+
+@query(f"WITH {_CLASSIFIED} SELECT count(*) AS n_fixes FROM classified WHERE new_status IN ('CanBeFixed', 'CorruptCanBeFixed') AND lang <> 'fr'")
+def fixes_total(spark, sf_dir):
+    return attributes.fixes_total(_classified(spark, sf_dir).withColumn("selection", F.when(F.col("lang") == "fr", "UnSelected")))
+
+
+@query(f"WITH {_CLASSIFIED} SELECT node_id, CASE WHEN new_status = 'Correct' THEN 'got' WHEN new_status IN ('CanBeFixed', 'CorruptCanBeFixed') THEN 'fixable' WHEN new_status IN ('Missing', 'Corrupt') THEN 'missing' WHEN new_status IN ('NotCollected', 'UnNeeded') THEN 'merged' END AS class FROM classified")
+def export_classes(spark, sf_dir):
+    return _classified(spark, sf_dir).select("node_id", attributes.export_class(F.col("new_status")).alias("class"))
+
+
+_ACTION_SQL = """CASE new_status WHEN 'Delete' THEN 'delete' WHEN 'MoveToSort' THEN 'move_to_staging' WHEN 'MoveToCorrupt' THEN 'move_to_corrupt' WHEN 'CanBeFixed' THEN 'fix' WHEN 'CorruptCanBeFixed' THEN 'fix'
+    WHEN 'Correct' THEN 'check_name' WHEN 'Error' THEN 'error' ELSE 'keep' END"""
+
+
+@query(f"WITH {_CLASSIFIED} SELECT node_id, {_ACTION_SQL} AS action FROM classified WHERE file_type = 'File'")
+def file_actions(spark, sf_dir):
+    return _classified(spark, sf_dir).where("file_type = 'File'").select("node_id", planning.file_action(F.col("new_status")).alias("action"))
+
+
+@query(
+    f"""WITH {_CLASSIFIED}, m AS (SELECT parent_id || '/' || node_id % 5 AS archive, new_status AS s FROM classified WHERE file_type = 'FileZip')
+    SELECT archive, CASE WHEN archive LIKE '%de/1' THEN 'move_to_corrupt' WHEN bool_and(s IN ('MoveToSort', 'Missing', 'NotCollected')) AND bool_or(s = 'MoveToSort') THEN 'move_to_staging'
+        WHEN bool_and(s IN ('Missing', 'NotCollected', 'Incomplete', 'Delete')) AND bool_or(s = 'Delete') THEN 'delete'
+        WHEN bool_or(s IN ('CanBeFixed', 'CorruptCanBeFixed', 'MoveToSort', 'MoveToCorrupt', 'Delete', 'Rename')) OR archive LIKE '%/2' THEN 'rebuild' ELSE 'keep' END AS action FROM m GROUP BY archive"""
+)
+def archive_actions(spark, sf_dir):
+    members = _classified(spark, sf_dir).where("file_type = 'FileZip'").select(F.concat_ws("/", "parent_id", (F.col("node_id") % 5).cast("string")).alias("archive"), "new_status")
+    archives = members.select("archive").distinct().select("archive", F.col("archive").endswith("de/1").alias("corrupt"), F.when(F.col("archive").endswith("/2"), "Zip").otherwise("ZipTrrnt").alias("structure"), F.lit("ZipTrrnt").alias("wanted_structure"))
+    return planning.archive_actions(members, archives).select("archive", "action")
+
+
+@query(f"WITH i AS ({_INV}) SELECT node_id, CASE WHEN coalesce(crc, sha1, md5) IS NULL AND node_id % 3 = 0 THEN name LIKE '_%/' ELSE size = 0 END AS empty FROM i")
+def zero_length(spark, sf_dir):
+    rows = _inv(spark, sf_dir)
+    blank = F.col("size") == 0
+    known = {h: F.when(blank, F.lit(v)).otherwise(F.col(h)) for h, v in attributes.EMPTY.items()}
+    return rows.withColumns(known).select("node_id", attributes.zero_length().alias("empty"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 1")
+def first_of_key(spark, sf_dir):
+    return settings.first_of_key(fx.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), "c_nationkey", "c_custkey")
+
+
+@query("SELECT c_name AS path, CASE WHEN count(*) = 1 THEN min(c_custkey % 2 = 0) END AS selected FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'r' || CAST(c_custkey % 50 AS STRING) ELSE c_name END AS c_name, c_custkey FROM customer) GROUP BY c_name")
+def presets(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "customer").select(F.expr("case when c_custkey % 3 = 0 then concat('r', cast(c_custkey % 50 as string)) else c_name end").alias("path"), (F.col("c_custkey") % 2 == 0).alias("selected"), F.lit(True).alias("expanded"))
+    return settings.presets(rows).select("path", "selected")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS unix, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ntfs FROM orders")
+def file_times(spark, sf_dir):
+    seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", show(scalars.unix_time(seconds)).alias("unix"), show(scalars.ntfs_time((seconds + 11644473600) * 10000000)).alias("ntfs"))

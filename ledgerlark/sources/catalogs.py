@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIELDS = ["set_name", "name", "size", "crc", "sha1", "md5", "merge", "status", "cloneof", "romof", "description", "is_disk"]
@@ -133,6 +133,56 @@ def parse_romcenter(text: str) -> Iterator[dict]:
             yield _item(f[2], {"name": f[4], "crc": f[5], "size": f[6], "merge": f[8] or None}, shared)
 
 
+_HEADER = ["name", "description", "category", "version", "date", "author", "email", "homepage", "url", "comment", "header", "merge_type", "packing"]
+HEADER_SCHEMA = "path string, format string, " + ", ".join(f"{c} string" for c in _HEADER) + ", mame boolean"
+_NAMES = {"forcemerging": "merge_type", "forcepacking": "packing", "forcezipping": "packing"}
+
+
+def _header(fields: dict[str, str | None], mame: bool = False) -> dict:
+    given = {_NAMES.get(k.lower(), k.lower()): v for k, v in fields.items() if v is not None and v.strip()}
+    return {c: given.get(c) for c in _HEADER} | {"mame": mame}
+
+
+def parse_header(text: str, kind: str) -> dict:
+    """The catalog's own fields, whatever its format; those that it lacks are None."""
+    if kind == "xml":
+        root = ET.fromstring(text)
+        if root.tag.lower() in ("mame", "m1", "mess"):
+            return _header({"name": root.get("build"), "description": root.get("build")}, mame=True)
+        if root.tag.lower() == "softwarelist":
+            return _header(dict(root.attrib))
+        head = root.find("header")
+        fields = {x.tag: x.text for x in head} if head is not None else {}
+        for x in head if head is not None else ():
+            if x.tag in ("clrmamepro", "romvault"):
+                fields |= {k: v for k, v in x.attrib.items() if k in ("header", "forcemerging", "forcepacking")}
+        return _header({k: v for k, v in fields.items() if k not in ("clrmamepro", "romvault")})
+    if kind == "cmpro":
+        first = next((v for k, v in _block(_tokens(text)) if isinstance(v, list) and k in ("clrmamepro", "emulator", "romvault")), [])
+        return _header({k: v for k, v in first if isinstance(v, str)})
+    if kind == "doscenter":
+        head = re.search(r"(?is)doscenter\s*\((.*?)\n\s*\)", text)
+        lines = re.findall(r"(?m)^\s*([A-Za-z]+):?[ \t]+(.*?)\s*$", head[1]) if head else []
+        return _header({k: v.strip('"') for k, v in lines})
+    if kind == "romcenter":
+        pairs, section = {}, ""
+        for line in text.splitlines():
+            if line.strip().startswith("["):
+                section = line.strip().lower()
+            elif "=" in line and section in ("[credits]", "[dat]", "[emulator]"):
+                key, value = (x.strip() for x in line.split("=", 1))
+                if section == "[emulator]":
+                    key = {"refname": "name", "version": "description"}.get(key.lower(), "")
+                elif section == "[dat]":
+                    flag = value == "1"
+                    key, value = ("merge_type", key.lower()) if key.lower() in ("split", "merge") and flag else ("", "")
+                    value = {"merge": "full"}.get(value, value)
+                if key:
+                    pairs.setdefault(key, value)
+        return _header(pairs)
+    return _header({})
+
+
 PARSERS = {"xml": parse_xml, "cmpro": parse_cmpro, "doscenter": parse_doscenter, "romcenter": parse_romcenter}
 
 
@@ -160,6 +210,25 @@ def read_catalogs(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """One row a catalog file below path with what it says of itself; unreadable ones are of format 'unknown'."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{dat,xml,datz}").load(path)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for where, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    text = (gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content).decode("utf-8-sig", errors="replace")
+                    kind = sniff(text)
+                    rows.append({"path": where, "format": kind, **parse_header(text, kind)})
+                except (OSError, EOFError, ET.ParseError):
+                    rows.append({"path": where, "format": "unknown", **_header({})})
+            yield pd.DataFrame(rows, columns=["path", "format", *_HEADER, "mame"])
+
+    return files.select("path", "content").mapInPandas(run, HEADER_SCHEMA)
+
+
 def read_large_xml(spark: SparkSession, path: str, row_tag: str = "game") -> DataFrame:
     """One large XML catalog, split over tasks by Spark's own reader with a fixed schema."""
     rom = "array<struct<_name:string,_size:string,_crc:string,_sha1:string,_md5:string,_merge:string,_status:string>>"
@@ -187,6 +256,30 @@ def xml_lines(items: DataFrame) -> DataFrame:
     return items.groupBy("set_name").agg(F.array_sort(F.collect_list(fields)).alias("roms")).mapInPandas(run, "set_name string, value string")
 
 
+def _attribute(name: str, value: Column) -> Column:
+    text = value.cast("string")
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(f' {name}="'), text, F.lit('"'))).otherwise("")
+
+
+def mame_lines(items: DataFrame) -> DataFrame:
+    """(set_name, value): one machine element a set, merge names included, for write.text between a header and a closing
+    tag."""
+    fields = F.concat(*(_attribute(c, F.col(c)) for c in ("name", "merge", "size", "crc", "md5", "sha1")), _attribute("status", F.nullif(F.lower("status"), F.lit("good"))))
+    line = F.concat(F.when(F.col("is_disk"), "\t\t<disk").otherwise("\t\t<rom"), fields, F.lit("/>"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"])
+    head = F.concat(F.lit("\t<machine"), _attribute("name", F.first("set_name")), _attribute("cloneof", F.first("cloneof", True)), _attribute("romof", F.first("romof", True)), F.lit(">"))
+    about = F.coalesce(F.concat(F.lit("\t\t<description>"), F.replace(F.replace(F.first("description", True), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</description>\n")), F.lit(""))
+    return items.groupBy("set_name").agg(F.concat(head, F.lit("\n"), about, F.array_join(lines, "\n"), F.lit("\n\t</machine>")).alias("value"))
+
+
+def json_lines(items: DataFrame) -> DataFrame:
+    """(set_name, value): one JSON object a set with its items in order."""
+    listed = F.array_sort(F.collect_list(F.struct("ord", "name", "size", "crc", "sha1", "md5", "status")))
+    return items.groupBy("set_name").agg(F.to_json(F.struct(F.first("set_name").alias("name"), listed.alias("items"))).alias("value"))
+
+
 def doscenter_lines(items: DataFrame) -> DataFrame:
     """(set_name, value): one game block a set."""
     line = F.concat(F.lit("\tfile ( name "), "name", F.lit(" size "), F.coalesce(F.col("size").cast("string"), F.lit("0")), F.lit(" crc "), F.coalesce("crc", F.lit("")), F.lit(" )"))

@@ -7,7 +7,7 @@ import pytest
 from ledgerlark.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"classify_step1", "classify_step2", "classify_step3", "classify_step4", "partial_sets", "zero_byte_guard", "mia_relabel", "derived_counts", "catalog_class", "dir_class", "gap_catalog", "gap_catalog_unfixable", "game_filter", "rom_filter", "safe_delete", "release_sources"}
+SLOW = {"classify_step1", "classify_step2", "classify_step3", "classify_step4", "partial_sets", "zero_byte_guard", "mia_relabel", "derived_counts", "catalog_class", "dir_class", "gap_catalog", "gap_catalog_unfixable", "game_filter", "rom_filter", "safe_delete", "release_sources", "archive_sizes", "fixes_total", "export_classes", "file_actions", "archive_actions"}
 
 
 @pytest.fixture(scope="module")
