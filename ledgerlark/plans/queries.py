@@ -9,6 +9,7 @@ from ledgerlark.functions import scalars, sortkeys
 from ledgerlark.operators import attributes, catalogs, cleaning, matching, planning, rollup, state, status
 from ledgerlark.plans import fixtures as fx
 from ledgerlark.sources import inventory, settings
+from ledgerlark.sources.scratch import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -57,7 +58,7 @@ def duplicate_counts(spark, sf_dir):
 
 @query(f"WITH {_GROUPS} SELECT c.node_id, h.group_id, CAST(h.rank AS INTEGER) AS rank FROM cat c LEFT JOIN cascade h USING (node_id)")
 def missing_cascade(spark, sf_dir):
-    groups = matching.group_table(matching.content_groups(_inv(spark, sf_dir)))
+    groups = written(matching.group_table(matching.content_groups(_inv(spark, sf_dir))))
     return matching.missing_cascade(_cat(spark, sf_dir), groups).select("node_id", "group_id", "rank")
 
 
@@ -100,8 +101,7 @@ _CLASSIFIED = f"""{_STATUS},
 
 
 def _base(spark, sf_dir):
-    inv = _inv(spark, sf_dir)
-    grouped = matching.content_groups(inv)
+    grouped = written(matching.content_groups(_inv(spark, sf_dir)))  # read by the cascade and by every step after it
     missing = matching.missing_cascade(_cat(spark, sf_dir), matching.group_table(grouped)).drop("rank")
     return grouped.unionByName(missing)
 
@@ -111,7 +111,7 @@ def _nodes(spark, sf_dir):
 
 
 def _classified(spark, sf_dir):
-    rows = _nodes(spark, sf_dir).selectExpr("*", "cast(null as string) alt_sha1", "cast(null as string) alt_md5", "false alt_sha1_verified", "false alt_md5_verified", "cast(null as string) header_type", "false zero_byte")
+    rows = written(_nodes(spark, sf_dir)).selectExpr("*", "cast(null as string) alt_sha1", "cast(null as string) alt_md5", "false alt_sha1_verified", "false alt_md5_verified", "cast(null as string) header_type", "false zero_byte")
     return status.classify(rows)
 
 
