@@ -73,7 +73,7 @@ def split_list(raw: Column) -> Column:
     return F.transform(F.split(raw, r"\|"), lambda x: F.trim(x))
 
 
-def dat_path(path: Column, root: str = "RomVault", dat_root: str = "DatRoot") -> Column:
+def dat_path(path: Column, root: str, dat_root: str) -> Column:
     """A path below the collection root, as one below the catalog root."""
     return F.regexp_replace(path, f"^{root}", dat_root)
 

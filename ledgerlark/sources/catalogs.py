@@ -21,13 +21,13 @@ def sniff(text: str) -> str:
     line = next((x.lower() for x in text.lstrip("﻿").splitlines() if x.strip()), "")
     if "xml" in line:
         return "xml"
-    if any(w in line for w in ("clrmamepro", "clrmame", "romvault", "game", "machine", "raine")):
+    if any(w in line for w in ("clrmamepro", "clrmame", "game", "machine", "raine")):
         return "cmpro"
     if "doscenter" in line:
         return "doscenter"
     if "[credits]" in line:
         return "romcenter"
-    return "unknown"
+    return "cmpro" if re.match(r"\s*\w+\s*\(", line) else "unknown"  # a block of another program's name
 
 
 def _item(set_name: str | None, own: dict, shared: dict, disk: bool = False) -> dict:
@@ -154,11 +154,10 @@ def parse_header(text: str, kind: str) -> dict:
         head = root.find("header")
         fields = {x.tag: x.text for x in head} if head is not None else {}
         for x in head if head is not None else ():
-            if x.tag in ("clrmamepro", "romvault"):
-                fields |= {k: v for k, v in x.attrib.items() if k in ("header", "forcemerging", "forcepacking")}
-        return _header({k: v for k, v in fields.items() if k not in ("clrmamepro", "romvault")})
+            fields |= {k: v for k, v in x.attrib.items() if k in ("header", "forcemerging", "forcepacking")}  # of settings for managers
+        return _header(fields)
     if kind == "cmpro":
-        first = next((v for k, v in _block(_tokens(text)) if isinstance(v, list) and k in ("clrmamepro", "emulator", "romvault")), [])
+        first = next((v for k, v in _block(_tokens(text)) if isinstance(v, list) and k not in ("game", "machine", "resource", "dir")), [])
         return _header({k: v for k, v in first if isinstance(v, str)})
     if kind == "doscenter":
         head = re.search(r"(?is)doscenter\s*\((.*?)\n\s*\)", text)

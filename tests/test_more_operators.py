@@ -20,6 +20,7 @@ def test_headers_of_catalogs():
     found = catalogs.parse_header("[CREDITS]\nauthor=me\n[DAT]\nsplit=1\nmerge=0\n[EMULATOR]\nrefname=rc\n", "romcenter")
     assert (found["author"], found["merge_type"], found["name"]) == ("me", "split", "rc")
     assert catalogs.parse_header("", "unknown")["name"] is None
+    assert [catalogs.sniff(x) for x in ("other (\n name x", "DOSCenter (", "[CREDITS]", "text", "")] == ["cmpro", "doscenter", "romcenter", "unknown", "unknown"]
 
 
 def test_read_headers(spark, tmp_path):
