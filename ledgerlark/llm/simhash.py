@@ -136,35 +136,40 @@ def _samples(hashes: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
-    """(doc_id, content, fp, samples): content tells word sequences apart, fp is the whole text's fingerprint."""
+    """(doc_id, content, fp, samples, size): content tells word sequences apart, fp is the whole text's fingerprint, size
+    the number of its distinct shingles."""
 
     def run(batches):
         for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            content, fps, samples = [], [], []
+            content, fps, samples, sizes = [], [], [], []
             for x in as_bytes(b.column(1)):
                 text = b" ".join((x or b"").lower().split())
                 own = _shingle_set(text, words)
                 content.append(xxhash.xxh128_digest(text))
                 fps.append(fingerprint(own))
                 samples.append(_samples(own, bands).view(np.int64) if len(own) else [])
+                sizes.append(len(own))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(content, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(samples, pa.list_(pa.int64()))], ["doc_id", "content", "fp", "samples"]
+                [b.column(0), pa.array(content, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(samples, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "content", "fp", "samples", "size"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, content binary, fp long, samples array<long>")
+    return docs.mapInArrow(run, "doc_id long, content binary, fp long, samples array<long>, size long")
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose shingle sets have at least that Jaccard similarity; sets are compared as 32-bit hashes."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(asked.hint("merge"), "doc_id", "left_semi")  # one plan at every size
+def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(doc_id, shingles) of the documents asked for: their shingle sets as sorted 32-bit hashes."""
+    texts = docs.join(asked.distinct().hint("merge"), "doc_id", "left_semi")  # one plan at every size
 
     def shingle(batches):
         for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             sets = [np.unique(_shingle_set(x or b"", words).astype("<u4")).tobytes() for x in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    sets = materialise(texts.select("doc_id", "text").mapInArrow(shingle, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+    return materialise(texts.select("doc_id", "text").mapInArrow(shingle, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+
+
+def _similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")).hint("merge"), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")).hint("merge"), "b").select("a", "b", "of_a", "of_b")
 
@@ -184,6 +189,67 @@ def _similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -
     return both.mapInArrow(verify, "a long, b long")
 
 
+FEW, BLOCK, BLOCK_SHINGLES, RARE = 8, 1024, 1 << 22, 16
+
+
+def _alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets have at least that Jaccard similarity, every pair compared, as a symmetric matrix. Common
+    shingles are counted for all pairs at once: rare ones by the pairs that have them, the others by a product."""
+    n, size = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    token, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    times = np.diff(np.append(start, len(token)))
+    of = np.repeat(np.arange(len(start)), times)
+    common = np.zeros((n, n), np.float32)
+    rare = (times > 1) & (times <= RARE)
+    t, o = of[rare[of]], owner[rare[of]]
+    for d in range(1, RARE):
+        at = np.flatnonzero(t[d:] == t[:-d])
+        np.add.at(common, (o[at], o[at + d]), np.float32(1))
+    often = times > RARE
+    column = (np.cumsum(often) - 1)[of[often[of]]]
+    o = owner[often[of]]
+    for low in range(0, int(often.sum()), 512):
+        i, j = np.searchsorted(column, [low, low + 512])
+        has = np.zeros((n, 512), np.float32)
+        has[o[i:j], column[i:j] - low] = 1
+        common += has @ has.T
+    out = np.zeros((n, n), bool)
+    for i in range(0, n, 256):
+        part = common[i : i + 256].astype(np.float64)
+        out[i : i + 256] = part >= similarity * (size[i : i + 256, None] + size - part)
+    out = np.triu(out, 1)
+    return out | out.T
+
+
+def _crowds(sets: DataFrame, crowded: DataFrame, similarity: float) -> DataFrame:
+    """crowded(node, band, sample, n, shingles): members of large buckets. Returns (a, b): edges that join the members
+    of a bucket as its similar pairs do. A bucket is dealt into blocks, and every two blocks meet in one group, where all
+    pairs are compared."""
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    own = crowded.withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(node, band), blocks) as int)"))
+    meets = F.expr("if(blocks = 1, array(struct(0 as i, 0 as j)), transform(filter(sequence(0, blocks - 1), k -> k <> block), k -> struct(least(k, block) as i, greatest(k, block) as j)))")
+    dealt = own.select("node", "band", "sample", F.explode(meets).alias("at")).select("node", "band", "sample", "at.i", "at.j")
+    held = dealt.join(sets.withColumnRenamed("doc_id", "node").hint("merge"), "node").select("band", "sample", "i", "j", "node", "shingles")
+
+    def join(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        near = _alike([np.frombuffer(x, "<u4") for x in table.column("shingles").to_pylist()], similarity)
+        left, a, b = np.ones(len(nodes), bool), [], []
+        for root in range(len(nodes)):
+            front = np.array([root]) if left[root] else np.array([], np.int64)
+            while len(front):
+                left[front] = False
+                front = np.flatnonzero(near[front].any(axis=0) & left)
+                a.append(np.full(len(front), nodes[root]))
+                b.append(nodes[front])
+        return pa.table({"a": np.concatenate(a).astype(np.int64), "b": np.concatenate(b).astype(np.int64)})
+
+    return held.groupBy("band", "sample", "i", "j").applyInArrow(join, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 12) -> DataFrame:
     """(doc_id, stays): documents that duplicate another one, and the least doc_id of their group.
 
@@ -191,21 +257,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
     least that Jaccard similarity; groups are components of these. At 0.8 the fingerprints of whole texts differ in up
     to 15 bits, where no grid is selective. So candidates come from fingerprints within 2 bits, by the grid, and from
     `bands` further fingerprints a text, each the SimHash of three of its shingles, drawn by min-wise hashing: two texts
-    of similarity s agree on one with s^3, at 0.8 on at least one of 12 with 0.9998. All who agree are compared
-    with three of them (the least and greatest doc_id, and one drawn by hash), not with each other; every candidate pair
-    is verified on the shingle sets themselves.
+    of similarity s agree on one with s^3, at 0.8 on at least one of 12 with 0.9998. All who agree on one are compared
+    with each other on the shingle sets themselves: up to FEW of them as candidate pairs, more of them in blocks of about
+    BLOCK texts, where a block pair is one group. So rows grow with the square of such a bucket's distinct texts over
+    BLOCK, and comparisons with their square; no pair that agrees is left out.
 
     Null doc_ids are in no group. Rows that repeat a doc_id are one document. Empty texts are one word sequence."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sketched = materialise(_sketches(own, words, bands))
-    nodes = materialise(sketched.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("samples").alias("samples")))
+    nodes = materialise(sketched.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("size").alias("size")))
     by_fp = nodes.where("size(samples) > 0").groupBy("fp").agg(F.min("node").alias("node"))
     met = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("a"), F.col("node").alias("of_a")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("node").alias("of_b")), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    sampled = nodes.select("node", F.posexplode("samples").alias("band", "sample"))
-    drawn = F.xxhash64("node", "band")
-    hubs = sampled.groupBy("band", "sample").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", drawn).alias("some")).where("low <> high")
-    agreed = sampled.join(hubs, ["band", "sample"]).select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("low", "high", "some"))).alias("b"))
-    pairs = met.union(agreed).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    same = connected_components(materialise(_similar(own, materialise(pairs), words, similarity)))
+    sampled = nodes.select("node", "size", F.posexplode("samples").alias("band", "sample"))
+    buckets = sampled.groupBy("band", "sample").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
+    agreed = materialise(sampled.join(buckets, ["band", "sample"]))
+    few = agreed.where(F.col("n") <= FEW).groupBy("band", "sample").agg(F.sort_array(F.collect_list("node")).alias("x"))
+    few = few.select("x", F.posexplode("x").alias("i", "a")).select("a", F.explode(F.expr("slice(x, i + 2, size(x))")).alias("b"))
+    pairs = materialise(met.union(few).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    crowded = agreed.where(F.col("n") > FEW).select("node", "band", "sample", "n", "shingles")
+    sets = _sets(own, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded.select("node")), words)
+    same = connected_components(materialise(_similar(sets, pairs, similarity).union(_crowds(sets, crowded, similarity))))
     of = nodes.select("content", "node").join(same, "node", "left").select("content", F.coalesce("component", "node").alias("stays"))
     return sketched.select("doc_id", "content").join(of, "content").where("doc_id <> stays").groupBy("doc_id").agg(F.min("stays").alias("stays"))

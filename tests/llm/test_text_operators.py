@@ -322,3 +322,38 @@ def test_quality(spark, none):
 
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def _groups_by_brute_force(rows, words=5, similarity=0.8):
+    """doc_id -> least doc_id of its group; all pairs compared."""
+    sets, stays = {}, {}
+    for k, x in rows:
+        w = x.lower().split()
+        sets[k] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+        stays[k] = k
+    find = lambda k: k if stays[k] == k else find(stays[k])
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b])
+            if a < b and common >= similarity * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                stays[y] = x
+    return {k: find(k) for k in sets if find(k) != k}
+
+
+@pytest.mark.parametrize("block", [1024, 100])
+def test_near_duplicates_of_templated_texts(spark, monkeypatch, block):
+    """All texts share 180 shingles (0.75 between any two); planted pairs also share most of their own 30."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r = random.Random(3)
+    shared = " ".join(f"t{i}" for i in range(184))
+    rows = []
+    for k in range(400):
+        tail = [f"w{r.randrange(10**9)}" for _ in range(30)]
+        rows.append((2 * k, shared + " " + " ".join(tail)))
+        if k % 2 == 0:
+            cut = r.choice([14, 17, 20])
+            rows.append((2 * k + 1, shared + " " + " ".join(tail[:cut] + [f"v{r.randrange(10**9)}" for _ in tail[cut:]])))
+    got = {x.doc_id: x.stays for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = _groups_by_brute_force(rows)
+    assert len(want) == 200 and got == want
