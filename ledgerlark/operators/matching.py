@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,7 +69,55 @@ def duplicate_counts(grouped: DataFrame) -> DataFrame:
     return grouped.join(grouped.groupBy("group_id").agg(F.count("*").alias("n_files")), "group_id")
 
 
-def remove_dupes(items: DataFrame) -> DataFrame:
-    """Of items of a set with one name whose hashes do not disagree (and one hash tested), the first stays."""
-    place = Window.partitionBy("set_id", "name", "crc").orderBy("ord", "item_id")
-    return items.withColumn("n", F.row_number().over(place)).where("n = 1 or crc is null").drop("n")
+def _natural(name: str) -> list:
+    return [(0, int(x), "") if x.isdigit() else (1, x.casefold(), x.swapcase()) for x in re.findall(r"[0-9]+|[^0-9]+", name)]
+
+
+def _goes(x: dict, y: dict, by_merge: bool) -> str | None:
+    """Which of two duplicates of a set goes, x before y: "x", "y" or, if both are kept for their names, None."""
+    a, b = x["name"] or "", y["name"] or ""
+    if a == b:
+        return "y"
+    if ("/" in a) != ("/" in b):
+        return "x" if "/" in a else "y"
+    if "/" in a:
+        if a.split("/")[0] != b.split("/")[0]:
+            return "y"
+        return "x" if (_natural(a), len(a)) >= (_natural(b), len(b)) else "y"
+    return "y" if by_merge and a == y["merge"] else None
+
+
+def remove_dupes(items: DataFrame, test_name: bool = True, with_merge_name: bool = False) -> DataFrame:
+    """Of items of a set whose hashes do not disagree (with one of CRC, SHA1 and MD5 known to both), one stays. With
+    test_name only items of one name are compared; without, an item outside directories stays before one inside, of two
+    inside one directory the lesser name, inside different ones the first, and outside them the first of equal names (or,
+    with_merge_name, of one whose merge name is the other's name). Of equal names the first stays, as the query's SQL has
+    it; inside directories the reference keeps the last. Copies of one hash profile are reduced by a window,
+    and only what then still meets another profile is compared in pairs."""
+    key = ["set_id", "name"] if test_name else ["set_id"]
+    evidence = [h for h in ["crc", "sha1", "md5"] if h in items.columns]
+    hashes = [h for h in [*evidence, "sha256"] if h in items.columns]
+    more = ["merge"] if with_merge_name else []
+    place = Window.partitionBy("set_id", "name", *hashes, *more).orderBy("ord", "item_id")
+    once = items.withColumn("n", F.row_number().over(place)).where((F.col("n") == 1) | F.coalesce(*evidence).isNull()).drop("n")
+    asked = once.where(F.coalesce(*evidence).isNotNull()).select("set_id", "item_id", "ord", "name", *hashes, *more)
+    crowded = asked.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(k).alias(f"k_{k}") for k in key))
+    asked = asked.join(crowded, [asked[k].eqNullSafe(crowded[f"k_{k}"]) for k in key], "left_semi")
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.astype(object).where(group.notna(), None).sort_values(["ord", "item_id"]).to_dict("records")
+        gone = set()
+        for i, x in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                y = rows[j]
+                both = [h for h in hashes if x[h] is not None and y[h] is not None]
+                if i in gone or j in gone or any(x[h] != y[h] for h in both) or not set(both) & set(evidence):
+                    continue
+                if which := _goes(x, y, with_merge_name):
+                    gone.add(i if which == "x" else j)
+        return pd.DataFrame([rows[i] for i in sorted(gone)], columns=list(group.columns))[["set_id", "item_id", "name"]]
+
+    kind = dict(items.dtypes)
+    gone = asked.groupBy(*key).applyInPandas(fold, ", ".join(f"{c} {kind[c]}" for c in ["set_id", "item_id", "name"]))
+    gone = gone.select(*(F.col(c).alias(f"g_{c}") for c in gone.columns))
+    return once.join(gone, [once[c].eqNullSafe(gone[f"g_{c}"]) for c in ["set_id", "item_id", "name"]], "left_anti")

@@ -91,3 +91,16 @@ def test_staging_names_and_empty_directories(spark):
     assert [r.staged for r in planning.staging_names(moves).orderBy("node_id").collect()] == ["a.bin", "A_0.bin", "a_1.bin", "a.bin"]
     dirs = spark.createDataFrame([("a",), ("a/b",), ("c",)], "path string")
     assert [r.path for r in planning.empty_directories(dirs, spark.createDataFrame([("a/b",)], "path string")).collect()] == ["c"]
+
+
+def test_duplicates_need_hashes_that_agree(spark):
+    rows = [
+        (1, "a", "c", "s1", None, None), (2, "a", "c", "s2", None, None), (3, "a", None, "s1", "m", None), (4, "a", "c", "s2", None, None),
+        (5, "b", None, "s", None, None), (6, "b", None, "s", None, None), (7, "b", None, None, "m1", None),
+        (8, "e", None, None, None, None), (9, "e", None, None, None, None), (10, "d/x", "z", None, None, None), (11, "x", "z", None, None, None), (12, "y", "z", None, None, None),
+        (13, "f/p10", "q", None, None, None), (14, "f/p9", "q", None, None, None),
+    ]
+    items = spark.createDataFrame([("s", i, *r) for i, r in enumerate(rows)], "set_id string, ord long, item_id long, name string, crc string, sha1 string, md5 string, sha256 string")
+    of = lambda *how: sorted(r.item_id for r in matching.remove_dupes(items, *how).collect())
+    assert of() == [1, 2, 5, 7, 8, 9, 10, 11, 12, 13, 14]
+    assert of(False)[-5:] == [8, 9, 11, 12, 14]
