@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.scalars import agrees, tested
@@ -19,17 +22,56 @@ def hashes_match(a: str, b: str) -> Column:
     return agree & (seen | ((F.col(f"{a}size") == 0) & (F.col(f"{b}size") == 0)))
 
 
+_SIDES = "state_id long, incoming_id long"
+
+
+def _pair(group: pd.DataFrame, hash_needed: bool) -> pd.DataFrame:
+    """Pairs of one folded name, greedily: exact names first, then by ids. Rows of one name and hash profile wait in one
+    queue, so a row is compared with profiles and not with copies."""
+    known = ["size", *_HASHES]
+    rows = group.astype(object).where(group.notna(), None).sort_values("node_id").to_dict("records")
+    queues: dict[tuple, deque] = {}
+    for r in rows:
+        if not r["old"]:
+            queues.setdefault((r["name"], *(r[k] for k in known)), deque()).append(r["node_id"])
+
+    def fits(x: tuple, y: tuple) -> bool:
+        both = [a == b for a, b in zip(x, y, strict=True) if a is not None and b is not None]
+        tested = any(a is not None and a == b for a, b in zip(x[1:], y[1:], strict=True))
+        return not hash_needed or (all(both) and (tested or x[0] == y[0] == "0"))
+
+    left, out = [r for r in rows if r["old"]], []
+    for exact in (True, False):
+        rest = []
+        for r in left:
+            own = tuple(r[k] for k in known)
+            found = [(q[0], k) for k, q in queues.items() if (k[0] == r["name"]) == exact and fits(own, k[1:])]
+            if not found:
+                rest.append(r)
+                continue
+            first, k = min(found, key=lambda f: f[0])
+            out.append((r["node_id"], first))
+            queues[k].popleft()
+            if not queues[k]:
+                del queues[k]
+        left = rest
+    return pd.DataFrame(out, columns=["state_id", "incoming_id"]).astype("int64")
+
+
 def merge(state: DataFrame, incoming: DataFrame, hash_needed: bool = True) -> DataFrame:
     """Full outer merge by (parent, type, name): exact names first, then names equal but for case; one to one, the first
     unmatched wins. Both sides: (node_id, parent, file_type, name, size, crc, sha1, md5). Returns (state_id, incoming_id,
-    outcome). Candidate pairs are scored and taken where each is the other's best."""
-    left = state.select(*(F.col(c).alias(f"s_{c}") for c in state.columns))
-    right = incoming.select(*(F.col(c).alias(f"i_{c}") for c in incoming.columns))
-    on = (F.col("s_parent") == F.col("i_parent")) & (F.col("s_file_type") == F.col("i_file_type")) & (F.lower("s_name") == F.lower("i_name"))
-    pairs = left.join(right, on).where(hashes_match("s_", "i_") if hash_needed else F.lit(True))
-    score = [(F.col("s_name") != F.col("i_name")).cast("int"), F.col("s_node_id"), F.col("i_node_id")]
-    best = pairs.withColumn("p", F.row_number().over(Window.partitionBy("s_node_id").orderBy(*score))).withColumn("q", F.row_number().over(Window.partitionBy("i_node_id").orderBy(*score)))
-    taken = best.where("p = 1 and q = 1").select(F.col("s_node_id").alias("state_id"), F.col("i_node_id").alias("incoming_id"))
+    outcome). Names with one row a side are a join; names with more are paired one by one until no pair is left."""
+    key = ["parent", "file_type", "folded"]
+    cols = ["node_id", "parent", "file_type", "name", F.col("size").cast("string").alias("size"), *_HASHES, F.lower("name").alias("folded")]
+    rows = state.select(*cols, F.lit(True).alias("old")).unionByName(incoming.select(*cols, F.lit(False).alias("old"))).dropna(subset=key)
+    counts = rows.groupBy(*key).agg(F.count_if("old").alias("n_old"), F.count_if(~F.col("old")).alias("n_new")).where("n_old > 0 and n_new > 0")
+    many = rows.join(counts.where("n_old > 1 or n_new > 1").select(*key), key, "left_semi")
+    one = rows.join(counts.where("n_old = 1 and n_new = 1").select(*key), key, "left_semi")
+    side = lambda old, mark: one.where(F.col("old") == old).select(*key, *(F.col(c).alias(f"{mark}{c}") for c in ["node_id", "size", *_HASHES]))
+    single = side(True, "s_").join(side(False, "i_"), key).where(hashes_match("s_", "i_") if hash_needed else F.lit(True))
+    paired = many.groupBy(*key).applyInPandas(lambda g: _pair(g, hash_needed), _SIDES)
+    taken = single.select(F.col("s_node_id").cast("long").alias("state_id"), F.col("i_node_id").cast("long").alias("incoming_id")).unionByName(paired)
     old = state.select(F.col("node_id").alias("state_id")).join(taken, "state_id", "left_anti").selectExpr("state_id", "cast(null as long) incoming_id", "'gone' outcome")
     new = incoming.select(F.col("node_id").alias("incoming_id")).join(taken, "incoming_id", "left_anti").selectExpr("cast(null as long) state_id", "incoming_id", "'new' outcome")
     return taken.withColumn("outcome", F.lit("same")).unionByName(old).unionByName(new)

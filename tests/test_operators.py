@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import scalars
-from ledgerlark.operators import matching, planning, status
+from ledgerlark.operators import matching, planning, state, status
 from ledgerlark.sources import catalogs, inventory
 
 GOT = "node_id long, crc string, size long, sha1 string, md5 string"
@@ -104,3 +104,11 @@ def test_duplicates_need_hashes_that_agree(spark):
     of = lambda *how: sorted(r.item_id for r in matching.remove_dupes(items, *how).collect())
     assert of() == [1, 2, 5, 7, 8, 9, 10, 11, 12, 13, 14]
     assert of(False)[-5:] == [8, 9, 11, 12, 14]
+
+
+def test_merge_pairs_all_copies(spark):
+    kind = "node_id long, parent string, file_type string, name string, size long, crc string, sha1 string, md5 string"
+    old = [(i, "p", "f", "a", 5, "c", "s", None) for i in range(4)] + [(4, "p", "f", "A", 5, None, "s", None), (5, "p", "f", "z", 0, None, None, None)]
+    new = [(i + 10, "p", "f", "a", 5, "c", None, None) for i in range(5)] + [(15, "p", "f", "z", 0, None, None, None), (16, "p", "f", "A", 5, "c", "s", None)]
+    found = [(r.state_id, r.incoming_id, r.outcome) for r in state.merge(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind)).collect()]
+    assert sorted(found, key=str) == sorted([*((i, i + 10, "same") for i in range(4)), (4, 16, "same"), (5, 15, "same"), (None, 14, "new")], key=str)
