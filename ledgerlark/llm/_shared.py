@@ -14,10 +14,12 @@ _own_base: list[str] = []
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (local runs)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one of our own if everything runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_base:
         _own_base.append(tempfile.mkdtemp(prefix="ledgerlark-"))
     return f"file://{_own_base[0]}"

@@ -1,17 +1,17 @@
 """Packing documents into token sequences by bulk-synchronous best fit.
 
 A document is its token ids followed by an end id. Longer ones are cut into pieces of `size` tokens (the last may be
-shorter); pieces are placed whole, each into the fullest sequence that still holds it, largest pieces first, so that few
-sequences are needed.
-
-Documents and gaps are kept sorted by their length, as ranks in length classes: there are at most `size` classes of
-either kind, however many documents there are. A round takes the next length class of pieces. Its pieces, by rank, are
-matched to their successors: the sweep goes up the gap classes from the piece's length, and the class's gaps, by rank,
-take a piece each (equal claims on one gap cannot arise: rank i of the pieces meets rank i of the gaps). The filled gaps
-then move to their new class, and the sweep repeats until no gap is left for the pieces; what remains opens new
-sequences. The plan that results has rows (length, first rank, number, first sequence, offset); its size depends on the
-classes and not on the documents, so it may go to every task, which is checked. The outcome is the one of sequential
-best fit in decreasing order of length.
+shorter); pieces are placed whole, the longest first, each into the sequence with the least gap that holds it (of equal
+gaps the sequence opened first), so that few sequences are needed.
+
+Pieces and gaps are range-sorted by length and kept as runs: a run of pieces is a length and how many there are, a run of
+gaps is a gap and consecutive sequences that have it. A round takes all pieces of the next length at once. A successor
+sweep goes up the gaps from that length; the pieces' ranks settle who goes where: a gap is refilled until it is shorter
+than the pieces, then the next of its run is taken, so rank r goes to sequence r div q of the run, where q pieces fit one
+gap. The gaps are updated and the next length follows; pieces without a gap open sequences. The result is the one of
+sequential best fit, place by place (tests hold it against that). Runs are at most some `size` squared whatever the number
+of documents, so the sweeps themselves are worked in one place; ranking and placing pieces is distributed. A plan is
+shipped to tasks in slices of at most PLAN_ROWS rows.
 
 Ranks are dealt without sorting everything in one place: tokenising tasks number pieces per length, one row per task
 and length is summed up over tasks, and base plus own number is the rank.
@@ -25,7 +25,9 @@ An empty table gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import heapq
 import json
 import re
 import zlib
@@ -139,29 +141,44 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> D
     )
 
 
-def best_fit(counts: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """counts: pieces of each length. Returns the plan's rows (length, first rank, number, first sequence, offset) and
-    the number of sequences. Pieces first rank + i go to sequences first sequence + i, at that offset."""
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]  # by class: runs of sequences (first, number)
+def best_fit(counts: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """counts: pieces of each length. Returns the plan's rows (length, first rank, number, per sequence, first sequence,
+    offset) and the number of sequences. Piece first rank + i goes to sequence first sequence + i div q at offset +
+    (i mod q) * length, where q is `per sequence`."""
+    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> heap of runs of sequences (first, number)
+    known: list[int] = []  # gaps that have runs, ascending
     plan, opened = [], 0
+
+    def put(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if gap not in gaps:
+                gaps[gap] = []
+                bisect.insort(known, gap)
+            heapq.heappush(gaps[gap], (first, n))
+
     for length in sorted((n for n, c in counts.items() if c), reverse=True):
-        rank, left, gap = 0, counts[length], length
+        rank, left = 0, counts[length]
         while left:
-            while gap <= size and not gaps[gap]:
-                gap += 1
-            if gap > size:  # no gap holds one: open as many sequences as whole fillings of this length need
-                n = max(1, left // (size // length))
-                gaps[size].append((opened, n))
-                opened, gap = opened + n, size
-            first, n = gaps[gap].pop()
-            took = min(n, left)
-            if took < n:
-                gaps[gap].append((first + took, n - took))
-            plan.append((length, rank, took, first, size - gap))
-            gaps[gap - length].append((first, took))
-            rank, left = rank + took, left - took
-            if gap - length >= length:  # the gaps just left are the tightest now
-                gap -= length
+            at = bisect.bisect_left(known, length)
+            if at == len(known):  # no gap holds one: open as many sequences as the rest needs
+                n = -(-left // (size // length))
+                put(size, opened, n)
+                opened += n
+                continue
+            gap = known[at]
+            first, n = heapq.heappop(gaps[gap])
+            if not gaps[gap]:
+                del gaps[gap], known[at]
+            q = gap // length
+            whole = min(n, left // q)
+            rest = min(left - whole * q, q) if whole < n else 0  # what the next sequence of the run still takes
+            for sequences, each, start in ((whole, q, first), (1, rest, first + whole)):
+                if sequences and each:
+                    plan.append((length, rank, sequences * each, each, start, size - gap))
+                    put(gap - each * length, start, sequences)
+                    rank, left = rank + sequences * each, left - sequences * each
+            used = whole + (rest > 0)
+            put(gap, first + used, n - used)
     return plan, opened
 
 
@@ -175,17 +192,28 @@ def _ranked(found: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece."""
-    spark = docs.sparkSession
     found = materialise(pieces(docs, tokenizer, size, end))
     counts = {int(r["length"]): int(r["n"]) for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `size` rows at most
     plan, _ = best_fit(counts, size)
-    if len(plan) > PLAN_ROWS:
-        raise ValueError(f"a plan of {len(plan)} rows; more than {PLAN_ROWS} are not sent to every task")
+    ranked, parts, at = _ranked(found).select(*PIECE, "rank"), [], 0
+    while at < len(plan):  # slices of whole lengths
+        end_at = min(len(plan), at + PLAN_ROWS)
+        while at < end_at < len(plan) and plan[end_at][0] == plan[end_at - 1][0]:
+            end_at += 1
+        own = ranked if end_at - at == len(plan) else ranked.where(F.col("length").between(plan[end_at - 1][0], plan[at][0]))
+        parts.append(_place(own, plan[at:end_at]))
+        at = end_at
+    return functools.reduce(DataFrame.union, parts) if parts else _place(ranked, [])
+
+
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
+def _place(ranked: DataFrame, plan: list[tuple]) -> DataFrame:
     by_length: dict[int, list] = {}
     for length, *row in plan:
         by_length.setdefault(length, []).append(row)
-    sent = spark.sparkContext.broadcast({k: np.array(v, np.int64).T for k, v in by_length.items()})
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    sent = ranked.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64).T for k, v in by_length.items()})
 
     def place(batches):
         rows = sent.value
@@ -194,9 +222,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> Dat
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for n in np.unique(length):
                 of = length == n
-                first, _, start, at = rows[int(n)]
+                first, _, each, start, at = rows[int(n)]
                 i = np.searchsorted(first, rank[of], "right") - 1
-                sequence[of], offset[of] = start[i] + rank[of] - first[i], at[i]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names[:5]), pa.array(sequence), pa.array(offset)], names)
+                beyond = rank[of] - first[i]
+                sequence[of], offset[of] = start[i] + beyond // each[i], at[i] + beyond % each[i] * n
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in PIECE), pa.array(sequence), pa.array(offset)], [*PIECE, "sequence_id", "offset"])
 
-    return _ranked(found).select(*names[:5], "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

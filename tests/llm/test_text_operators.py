@@ -202,26 +202,45 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
-def plain_best_fit(lengths, size):
-    gaps = []
+def sequential_best_fit(lengths, size):
+    """(length, sequence, offset) of each piece in descending order, and the number of sequences."""
+    gaps, out = [], []
     for n in sorted(lengths, reverse=True):
-        fit = min((g for g in gaps if g >= n), default=None)
-        if fit is None:
-            gaps.append(size - n)
-        else:
-            gaps.remove(fit)
-            gaps.append(fit - n)
-    return len(gaps)
+        at = min((i for i, g in enumerate(gaps) if g >= n), key=lambda i: (gaps[i], i), default=None)
+        if at is None:
+            gaps.append(size)
+            at = len(gaps) - 1
+        out.append((n, at, size - gaps[at]))
+        gaps[at] -= n
+    return out, len(gaps)
+
+
+def plain_best_fit(lengths, size):
+    return sequential_best_fit(lengths, size)[1]
 
 
 def test_best_fit_is_sequential_best_fit():
     r = random.Random(2)
-    for _ in range(50):
-        lengths = [r.randrange(1, 33) for _ in range(r.randrange(0, 200))]
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        plan, opened = packing.best_fit(counts, 32)
-        assert opened == plain_best_fit(lengths, 32)
-        assert sum(p[2] for p in plan) == len(lengths)
+    tables = [({150: 10, 50: 4}, 250), ({33: 59, 50: 54, 107: 17, 144: 52}, 256), ({}, 8), ({8: 3}, 8), ({1: 100}, 8)]
+    for _ in range(1000):
+        size = r.choice([8, 32, 100, 256])
+        tables.append(({r.randrange(1, size + 1): r.randrange(0, 40) for _ in range(r.randrange(1, 12))}, size))
+    for counts, size in tables:
+        plan, opened = packing.best_fit(counts, size)
+        got = []
+        for n, rank, number, each, first, offset in plan:
+            assert rank == sum(1 for g in got if g[0] == n)
+            got += [(n, first + i // each, offset + i % each * n) for i in range(number)]
+        want, sequences = sequential_best_fit([n for n, c in counts.items() for _ in range(c)], size)
+        assert got == want and opened == sequences
+
+
+def test_packing_by_slices_of_the_plan(docs, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = sorted(map(tuple, packing.pack(docs, path, 64).collect()), key=str)
+    monkeypatch.setattr(packing, "PLAN_ROWS", 7)
+    cut = sorted(map(tuple, packing.pack(docs, path, 64).collect()), key=str)
+    assert [(*x[:5],) for x in cut] == [(*x[:5],) for x in whole] and len({x[5] for x in cut}) == len({x[5] for x in whole})
 
 
 def test_pieces(docs, none):
