@@ -5,11 +5,12 @@ The model's protobuf is parsed here (pieces, trainer and normaliser settings). F
 unigram scores, or as the order of merges for a BPE model) and byte fallback.
 
 No piece has the marker after another character, nor a character such as a line end that the vocabulary lacks; so a text
-falls into runs (spaces with the characters after them; line ends) whose ids are independent. Distinct runs are encoded in
-batches, in the library's threads, and looked up from then on; each batch of new runs is also encoded by the
-sentencepiece library, and a document's `parity` says whether all of its runs agreed. decode() joins the pieces' bytes,
-so what it returns stands for the ids alone; `round_trip` says whether it is the text. It isn't for texts that hold the
-marker character itself.
+falls into runs (spaces with the characters after them; line ends) whose ids are independent. The marker character itself
+counts as a space, as it does in the other library. Distinct runs are encoded in batches, in the library's threads, and
+looked up from then on; each batch of new runs is also encoded by the sentencepiece library, and a document's `parity` says
+whether all of its runs agreed. Documents with the marker character or control characters are held against that library as
+a whole. With a unigram model, runs that spell the name of a byte's piece take that library's ids. decode() joins the pieces' bytes, so what it returns stands for the ids alone; `round_trip` says whether it is
+the text. It isn't for texts that hold the marker character itself.
 
 Null text: an empty one, without ids. Rows are independent, so nulls, repeats, ties and empty tables need no care.
 Whole texts are encoded. Only doc_id and text are read.
@@ -23,6 +24,7 @@ import re
 import struct
 from array import array
 from dataclasses import dataclass, field
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -101,7 +103,11 @@ class PieceModel:
         from tokenizers import Tokenizer, models, normalizers
 
         if self.kind == UNIGRAM:
-            model = models.Unigram([(p[0], p[1]) for p in self.pieces], unk_id=self.unknown, byte_fallback=self.byte_fallback)
+            # pieces that texts don't spell get names that can't occur (a mark behind another character), and no score
+            # below the others'; bytes keep theirs, by which the library finds them
+            least = min((p[1] for p in self.pieces if p[2] in (NORMAL, USER)), default=0.0)
+            named = [(p[0] if p[2] in (NORMAL, USER, BYTE) else f"{p[0]}x{MARK}", p[1] if p[2] in (NORMAL, USER) else least) for p in self.pieces]
+            model = models.Unigram(named, unk_id=self.unknown, byte_fallback=self.byte_fallback)
         else:
             vocab = {p[0]: i for i, p in enumerate(self.pieces)}
             model = models.BPE(vocab, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
@@ -110,26 +116,42 @@ class PieceModel:
             out.normalizer = normalizers.Precompiled(self.charsmap)
         return out
 
+    def runs(self) -> re.Pattern | None:
+        """Finds the runs of a text's bytes (after spaces() and the dummy prefix) whose ids are independent; None if the
+        model's pieces don't allow it."""
+        text = [p[0] for p in self.pieces if p[2] in (NORMAL, USER)]
+        if self.charsmap or self.squeeze_spaces or not self.byte_fallback or any(MARK in p.lstrip(MARK) or "\n" in p for p in text):
+            return None
+        return re.compile(rb" *[^ \n]+|\n| +")
+
     def piece_bytes(self) -> list[bytes]:
         """What each id stands for in a text."""
         one = {CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: " ⁇ ".encode()}
         return [one.get(kind, lambda p: p.replace(MARK, " ").encode())(text) for text, _, kind in self.pieces]
 
 
+_ODD = re.compile(MARK.encode() + rb"|[\x00-\x08\x0b-\x1f\x7f]")
+
+
+def spaces(text: bytes) -> bytes:
+    """text with the marker character, which stands for a space in these models, as a space."""
+    return text.replace(MARK.encode(), b" ")
+
+
 class Codec(dict):
-    """Ids of texts by run: the dict has a run's place. Only models without squeezing of spaces and character map are
-    cut into runs; texts of others are encoded whole."""
+    """Ids of texts by run: the dict has a run's place. Only models with byte fallback and without squeezing of spaces and
+    character map are cut into runs; texts of others are encoded whole."""
 
-    def __init__(self, path: str, held: int = 400_000, longest: int = 64, batch: int = 8192):
+    def __init__(self, path: str, held: int = 400_000, longest: int = 64, batch: int = 16384, joined: int = 256):
         super().__init__()
         import sentencepiece
 
         self.model = PieceModel.parse(Path(path).read_bytes())
         self.tokenizer, self.held, self.longest, self.batch = self.model.tokenizer(), held, longest, batch
+        self.joined, self.line_end = joined, next((i for i, p in enumerate(self.model.pieces) if p[0] == "<0x0A>" and p[2] == BYTE), None)
         self.judge = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.by_run = not self.model.charsmap and not self.model.squeeze_spaces and not any(MARK in p[0].lstrip(MARK) for p in self.model.pieces)
-        alone = "\n" if not any("\n" in p[0] for p in self.model.pieces if p[2] in (NORMAL, USER)) else ""
-        self.runs = re.compile(rf" *[^ {alone}]+|{alone or '(?!)'}| +".encode())
+        self.runs = self.model.runs()
+        self.by_run = self.runs is not None
         self.meaning = self.model.piece_bytes()
         self.empty()
 
@@ -138,19 +160,37 @@ class Codec(dict):
         self.flat, self.start, self.agrees = array("I"), array("q", [0]), bytearray()
 
     def _learn(self, runs: list[bytes]) -> None:
-        for i in range(0, len(runs), self.batch):
-            marked = [r.decode().replace(" ", MARK) for r in runs[i : i + self.batch]]
-            mine = [e.ids for e in self.tokenizer.encode_batch(marked, add_special_tokens=False)]
-            # the other library puts a mark in front: it is asked for the run without its first mark, or for one more
-            whole = [r[1:] if r[0] == MARK and len(r) > 1 and self.model.dummy_prefix else r for r in marked]
-            theirs = self.judge.encode(whole, num_threads=1)
-            for run, asked, had, own, other in zip(runs[i : i + self.batch], whole, marked, mine, theirs, strict=True):
-                if asked is had and self.model.dummy_prefix:  # without a mark of its own: set the other's apart
-                    other = self.judge.encode("\n" + had.replace(MARK, " "))[2:] if had != MARK else own
-                self[run] = len(self.start) - 1
-                self.flat.extend(own)
-                self.start.append(len(self.flat))
-                self.agrees.append(own == other)
+        """Encodes new runs, joined by line ends to texts of `joined` runs: a line end is a piece of its own in either
+        library, and both are asked for the same texts."""
+        spelt = [r for r in runs if b"<0x" in r] if self.model.kind == UNIGRAM else []  # taken for a byte's piece
+        known = {b"\n", *spelt}
+        plain, prefix = [r for r in runs if r not in known], self.model.dummy_prefix
+        for i in range(0, len(plain), self.batch):
+            groups = [plain[j : j + self.joined] for j in range(i, min(i + self.batch, len(plain)), self.joined)]
+            texts = [b"\n".join(g).decode().replace(" ", MARK) for g in groups]
+            mine = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            theirs = [x[2:] for x in self.judge.encode(["\n" + t for t in texts], num_threads=1)] if prefix else self.judge.encode(texts, num_threads=1)
+            for group, own, other in zip(groups, mine, theirs, strict=True):
+                same = own == other
+                own, other = np.array(own, np.uint32), np.array(other, np.uint32)
+                ends, ends_there = (np.append(np.flatnonzero(x == self.line_end), len(x)) for x in (own, other))
+                starts, starts_there = (np.append(0, e[:-1] + 1) for e in (ends, ends_there))
+                if same:
+                    agree = bytes([1]) * len(group)
+                else:
+                    agree = bytes(np.array_equal(own[a:b], other[c:d]) for a, b, c, d in zip(starts, ends, starts_there, ends_there, strict=True))
+                self._keep(group, own[own != self.line_end], ends - starts, agree)
+        if b"\n" in runs:
+            self._keep([b"\n"], np.array([self.line_end], np.uint32), np.array([1]), b"\x01")
+        for r in spelt:
+            ids = np.array(self.judge.encode("\n" + r.decode())[2 if prefix else 1 :], np.uint32)
+            self._keep([r], ids, np.array([len(ids)]), b"\x01")
+
+    def _keep(self, runs: list[bytes], ids: np.ndarray, lengths: np.ndarray, agree: bytes) -> None:
+        self.update(zip(runs, range(len(self.agrees), len(self.agrees) + len(runs)), strict=True))
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        self.start.frombytes((np.cumsum(lengths) + self.start[-1]).astype(np.int64).tobytes())
+        self.agrees += agree
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, bool]]:
         """(ids, parity) of each text."""
@@ -166,17 +206,20 @@ class Codec(dict):
             return out
         if len(self) > self.held or len(self.flat) > 16 * self.held:
             self.empty()
-        split = [self.runs.findall((b" " if self.model.dummy_prefix else b"") + t) if t else [] for t in texts]
-        new = {r for runs in split for r in runs}.difference(self)
-        self._learn(sorted(new))
+        split = [self.runs.findall((b" " if self.model.dummy_prefix else b"") + spaces(t)) if t else [] for t in texts]
+        new = set(chain.from_iterable(split)).difference(self)
+        self._learn(list(new))
         start, flat, agrees = np.array(self.start), np.array(self.flat), np.frombuffer(bytes(self.agrees), bool)
         out = []
-        for runs in split:
+        for t, runs in zip(texts, split, strict=True):
             at = np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
             n = start[at + 1] - start[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
-            out.append((flat[np.arange(total) + np.repeat(start[at] - ends + n, n)], bool(agrees[at].all())))
+            ids, same = flat[np.arange(total) + np.repeat(start[at] - ends + n, n)], bool(agrees[at].all())
+            if _ODD.search(t):
+                same = ids.tolist() == self.judge.encode(t.decode())
+            out.append((ids, same))
         for r in new:
             if len(r) > self.longest:  # hardly met again
                 del self[r]

@@ -1,23 +1,28 @@
 """Token counts under a unigram vocabulary by dynamic programming shared along a trie of pre-tokens.
 
-A pre-token is the metaspace marker and a run without ASCII white space. The distinct new pre-tokens of a batch are put
+Pre-tokens are the runs of a text whose pieces are independent: spaces (as metaspace markers) with the characters after
+them, and line ends; so every character of a text counts, white space too. The distinct new pre-tokens of a batch are put
 in order, which makes their trie: words with a common prefix are neighbours. It is walked level by level in numpy; the
 best forward score of a node, and the number of tokens that reaches it, are computed once from its ancestors' for all
-pre-tokens below it. Terminal nodes store their count, and documents sum up stored counts.
+pre-tokens below it, and only the levels that the longest piece spans are held. Where no more than FEW words are that
+deep, nothing is shared any more and the same recurrence goes on along each one. Terminal nodes store their count, and
+documents sum up stored counts.
 
-Scores: those of the model file if it is a unigram model; a BPE file only ranks its pieces, which then count by Zipf's
-law, -log(2 + rank), where rank is the place among them by falling score. A character that starts no piece costs 10
+Scores: those of the model file if it is a unigram model; a BPE file only ranks its pieces, which then score
+-(PIECE_COST + log(2 + rank)), where rank is the place among them by falling score: Zipf's law, and a price for each piece
+that brings counts near those of the file's own merges (README has figures). A character that starts no piece costs 10
 below the least score and as many tokens as it has UTF-8 bytes (with byte fallback; else one). Higher sums win, then
 fewer tokens.
 
 Null text: no tokens. Rows are independent, so nulls in other columns, repeats, ties and empty tables need no care.
-Texts are counted whole. Only doc_id and text are read.
+Texts are counted whole, whatever characters they hold and however long their words are. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -26,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm._shared import as_bytes
-from ledgerlark.llm.pieces import MARK, NORMAL, UNIGRAM, USER, PieceModel
+from ledgerlark.llm.pieces import MARK, NORMAL, UNIGRAM, USER, PieceModel, spaces
+
+PIECE_COST, FEW = 4.0, 4
 
 
 def unigram_scores(model: PieceModel) -> dict[str, float]:
     """Piece -> score."""
     own = sorted((p for p in model.pieces if p[2] in (NORMAL, USER) and p[0]), key=lambda p: -p[1])
-    return {p[0]: p[1] if model.kind == UNIGRAM else -math.log(2 + i) for i, p in enumerate(own)}
+    return {p[0]: p[1] if model.kind == UNIGRAM else -(PIECE_COST + math.log(2 + i)) for i, p in enumerate(own)}
 
 
 class PieceTable:
@@ -47,7 +54,7 @@ class PieceTable:
             for c in piece:
                 value = (value * int(self.BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
             by_length.setdefault(len(piece), []).append((value, score))
-        self.longest = max(by_length)
+        self.scores, self.longest = scores, max(by_length)
         self.tables = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([s for _, s in sorted(x)])) for n, x in by_length.items()}
         self.powers = np.array([pow(int(self.BASE), i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
 
@@ -60,86 +67,93 @@ class PieceTable:
 
 
 def trie_counts(words: list[str], table: PieceTable, unknown: float, byte_fallback: bool) -> np.ndarray:
-    """Tokens of each of the words (in ascending order, distinct). The trie is walked level by level: a node is a
-    distinct prefix, its forward score and count are computed once from its ancestors', all nodes of a level together."""
-    n, wide = len(words), max(map(len, words))
-    chars = np.array(words, f"U{wide}").view(np.uint32).reshape(n, wide)
+    """Tokens of each of the words (in ascending order, distinct, not empty). The trie is walked level by level: a node is
+    a distinct prefix, its forward score and count are computed once from its ancestors', all nodes of a level together."""
+    n = len(words)
     length = np.fromiter(map(len, words), np.int64, n)
-    shared = np.zeros(n, np.int64)  # prefix in common with the word before
-    if n > 1:
-        differs = chars[1:] != chars[:-1]
-        shared[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), wide)
-    node = np.zeros((wide + 1, n), np.int32)  # a word's node at each depth
-    score, count, prefix = [np.zeros(1)], [np.zeros(1, np.int64)], [np.zeros(1, np.uint64)]
-    out = np.zeros(n, np.int64)
-    for depth in range(1, wide + 1):
-        rows = np.flatnonzero(length >= depth)
-        new = shared[rows] < depth
-        new[0] = True
-        node[depth, rows] = np.cumsum(new) - 1
-        heads = rows[new]
-        c = chars[heads, depth - 1]
-        above = node[depth - 1, heads]
-        hashed = prefix[-1][above] * table.BASE + c.astype(np.uint64) + np.uint64(1)
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    start = np.cumsum(length) - length
+    levels: list[tuple] = [(np.zeros(n, np.int32), np.zeros(1), np.zeros(1, np.int64), np.zeros(1, np.uint64))]  # a word's node; scores, counts, prefixes of nodes
+    heads = np.zeros(n, bool)  # does a word start a node of its own?
+    heads[0] = True
+    rows, depth, out = np.arange(n), 0, np.zeros(n, np.int64)
+    while True:
+        depth += 1
+        rows = rows[length[rows] >= depth]
+        if len(rows) <= FEW:
+            for i in rows.tolist():
+                out[i] = _along(words[i], depth, [(float(s[at[i]]), int(c[at[i]])) for at, s, c, _ in levels], table, unknown, byte_fallback)
+            return out
+        char = flat[start[rows] + depth - 1]
+        new = heads[rows] | (length[rows - 1] < depth)
+        same = np.flatnonzero(~new)
+        new[same] = char[same] != flat[start[rows[same] - 1] + depth - 1]
+        heads[rows] = new
+        node = np.zeros(n, np.int32)
+        node[rows] = np.cumsum(new) - 1
+        first, c = rows[new], char[new]
+        above = levels[-1][0][first]
+        hashed = levels[-1][3][above] * table.BASE + c.astype(np.uint64) + np.uint64(1)
         size = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000) if byte_fallback else 1
-        best, tokens = score[-1][above] + unknown, count[-1][above] + size
-        for k in range(1, min(depth, table.longest) + 1):
+        best, tokens = levels[-1][1][above] + unknown, levels[-1][2][above] + size
+        for k in range(1, len(levels) + 1):
             if k not in table.tables:
                 continue
-            start = node[depth - k, heads]
-            hit, value = table.find(hashed - prefix[depth - k][start] * table.powers[k], k)
-            reached, after = score[depth - k][start[hit]] + value, count[depth - k][start[hit]] + 1
+            at, score, count, prefix = levels[-k]
+            at = at[first]
+            hit, value = table.find(hashed - prefix[at] * table.powers[k], k)
+            reached, after = score[at[hit]] + value, count[at[hit]] + 1
             better = (reached > best[hit]) | ((reached == best[hit]) & (after < tokens[hit]))
             best[hit[better]], tokens[hit[better]] = reached[better], after[better]
-        score.append(best)
-        count.append(tokens)
-        prefix.append(hashed)
+        levels = [*levels[-table.longest + 1 :], (node, best, tokens, hashed)] if table.longest > 1 else [(node, best, tokens, hashed)]
         ends = rows[length[rows] == depth]
-        out[ends] = tokens[node[depth, ends]]  # terminal nodes store their count
-    return out
+        out[ends] = tokens[node[ends]]  # terminal nodes store their count
+
+
+def _along(word: str, depth: int, above: list[tuple[float, int]], table: PieceTable, unknown: float, byte_fallback: bool) -> int:
+    """Tokens of a word from the scores and counts of its last prefixes of fewer than `depth` characters."""
+    best = [(s, -c) for s, c in above]
+    for end in range(depth, len(word) + 1):
+        own = len(word[end - 1].encode("utf-8", "surrogatepass")) if byte_fallback else 1
+        found = [(best[-1][0] + unknown, best[-1][1] - own)]
+        for k in range(1, len(best) + 1):
+            if (score := table.scores.get(word[end - k : end])) is not None:
+                found.append((best[-k][0] + score, best[-k][1] - 1))
+        best = [*best[-table.longest + 1 :], max(found)] if table.longest > 1 else [max(found)]
+    return -best[-1][1]
 
 
 class TrieCounter(dict):
-    """pre-token (without its mark) -> tokens."""
+    """pre-token (with a space for the mark) -> tokens."""
 
-    def __init__(self, scores: dict[str, float], byte_fallback: bool = True, held: int = 400_000, wide: int = 40):
+    def __init__(self, model: PieceModel, held: int = 400_000, longest: int = 64):
         super().__init__()
-        self.held, self.wide, self.byte_fallback = held, wide, byte_fallback
-        self.scores, self.table, self.unknown = scores, PieceTable(scores), min(scores.values()) - 10
-
-    def _long(self, word: str) -> int:
-        """A word too long for a trie to be worth it."""
-        best = [(0.0, 0)]
-        for end in range(1, len(word) + 1):
-            own = len(word[end - 1].encode()) if self.byte_fallback else 1
-            found = [(best[end - 1][0] + self.unknown, best[end - 1][1] - own)]
-            for start in range(max(0, end - self.table.longest), end):
-                if (score := self.scores.get(word[start:end])) is not None:
-                    found.append((best[start][0] + score, best[start][1] - 1))
-            best.append(max(found))
-        return -best[-1][1]
+        scores = unigram_scores(model)
+        self.held, self.longest, self.byte_fallback, self.prefix = held, longest, model.byte_fallback, b" " if model.dummy_prefix else b""
+        self.table, self.unknown, self.runs = PieceTable(scores), min(scores.values()) - 10, model.runs()
+        if self.runs is None:
+            raise ValueError("the model's texts don't fall into independent runs")
 
     def count(self, texts: list[bytes]) -> list[tuple[int, int]]:
         """(words, tokens) of each text."""
         if len(self) > self.held:
             self.clear()
-        split = [t.split() for t in texts]
-        new = {w for words in split for w in words}.difference(self)
-        long = [w for w in new if len(w) > self.wide]
-        if short := sorted(MARK + w.decode() for w in new if len(w) <= self.wide):
-            self.update(zip((w[1:].encode() for w in short), trie_counts(short, self.table, self.unknown, self.byte_fallback).tolist(), strict=True))
-        self.update((w, self._long(MARK + w.decode())) for w in long)
-        out = [(len(words), sum(map(self.__getitem__, words))) for words in split]
-        for w in long:  # hardly met again
-            del self[w]
+        split = [self.runs.findall(self.prefix + spaces(t)) if t else [] for t in texts]
+        new = set(chain.from_iterable(split)).difference(self)
+        if new:
+            words = sorted(w.decode().replace(" ", MARK) for w in new)
+            self.update(zip((w.replace(MARK, " ").encode() for w in words), trie_counts(words, self.table, self.unknown, self.byte_fallback).tolist(), strict=True))
+        out = [(len(t.split()), sum(map(self.__getitem__, runs))) for t, runs in zip(texts, split, strict=True)]
+        for w in new:
+            if len(w) > self.longest:  # hardly met again
+                del self[w]
         return out
 
 
 @functools.lru_cache(2)
 def counter(path: str) -> TrieCounter:
     """One counter for all tasks that a Python worker runs."""
-    model = PieceModel.parse(Path(path).read_bytes())
-    return TrieCounter(unigram_scores(model), model.byte_fallback)
+    return TrieCounter(PieceModel.parse(Path(path).read_bytes()))
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -255,34 +256,75 @@ def test_pieces(docs, none):
     assert pieces.encoded(none, path).count() == 0
 
 
-def test_odd_spaces_and_unigram_model():
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    own = pieces.codec(path)
-    for text in ("a   b", "  lead", "tail  ", " ", "a\n\n b", "▁x"):
-        ids, same = own.encode([text.encode()])[0]
-        assert ids.tolist() == own.judge.encode(text), text
-    model = pieces.PieceModel([("<unk>", 0.0, 2), ("a", -1.0, 1), ("ab", -1.5, 1), ("b", -2.0, 1)])
-    assert [t.value for t in model.tokenizer().model.tokenize("abb")] == ["ab", "b"]
+ODD = ["a", "b ", " ", "▁", "\x00", "\n", "\t", "é", "中", "the", "<s>", "<0x41>", "\U0001f600", "\u0301", "Z" * 30, "\r", "ing", "\x7f", "."]
+
+
+def odd_texts(n):
+    r = random.Random(11)
+    return ["".join(r.choice(ODD) for _ in range(r.randrange(0, 12))) for _ in range(n)]
+
+
+def check_codec(own, texts):
+    for i in range(0, len(texts), 500):
+        part = texts[i : i + 500]
+        for text, (ids, same) in zip(part, own.encode([t.encode() for t in part]), strict=True):
+            assert same and ids.tolist() == own.judge.encode(text), repr(text)
+            assert own.decode(ids).decode() == own.judge.decode(ids.tolist()) == text.replace("▁", " "), repr(text)
+
+
+def test_odd_texts_have_the_other_librarys_ids():
+    check_codec(pieces.Codec(public_tokenizers.path("piece_bpe_32k.model")), odd_texts(3000))
+
+
+def _proto(number, value):
+    """One field of a protobuf message."""
+    def varint(x):
+        return bytes([x & 127 | 128]) + varint(x >> 7) if x > 127 else bytes([x])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def test_unigram_model(tmp_path):
+    r = random.Random(9)
+    words = sorted({"".join(r.choice("abthein") for _ in range(r.randrange(1, 5))) for _ in range(60)} | set("abthein.Z"))
+    text = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", -20.0, 6) for b in range(256)]
+    text += [(m + w, -r.uniform(1, 9), 1) for w in words for m in ("", "▁")] + [("▁", -3.0, 1), ("▁▁", -4.0, 1)]
+    data = b"".join(_proto(1, _proto(1, p.encode()) + _proto(2, s) + _proto(3, k)) for p, s, k in text)
+    data += _proto(2, _proto(3, 1) + _proto(35, 1)) + _proto(3, _proto(1, b"identity") + _proto(3, 1) + _proto(4, 0))
+    (tmp_path / "u.model").write_bytes(data)
+    own = pieces.Codec(str(tmp_path / "u.model"))
+    assert own.by_run and own.model.kind == pieces.UNIGRAM
+    check_codec(own, odd_texts(1000))
+    counter = token_counts.TrieCounter(own.model)
+    for t in odd_texts(1000):  # the file's scores: the same best sums, so the same counts but for ties
+        assert counter.count([t.encode()])[0][1] == len(own.judge.encode(t)), repr(t)
+
+
+def plain_count(run, scores, unknown):
+    best = [(0.0, 0)]
+    for end in range(1, len(run) + 1):
+        options = [(best[end - 1][0] + unknown, best[end - 1][1] - len(run[end - 1].encode()))]
+        options += [(best[i][0] + scores[run[i:end]], best[i][1] - 1) for i in range(max(0, end - 16), end) if run[i:end] in scores]
+        best.append(max(options))
+    return -best[-1][1]
+
+
+def plain_runs(text):
+    return [x.replace(" ", "▁") for x in re.findall(r" *[^ \n]+|\n| +", " " + text.replace("▁", " "))] if text else []
 
 
 def test_token_counts(docs, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     scores = token_counts.unigram_scores(pieces.PieceModel.parse(open(path, "rb").read()))
     unknown = min(scores.values()) - 10
-
-    def plain(word):
-        best = [(0.0, 0)]
-        for end in range(1, len(word) + 1):
-            options = [(best[end - 1][0] + unknown, best[end - 1][1] - len(word[end - 1].encode()))]
-            options += [(best[i][0] + scores[word[i:end]], best[i][1] - 1) for i in range(end) if word[i:end] in scores]
-            best.append(max(options))
-        return -best[-1][1]
-
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_tokens) for r in token_counts.token_counts(docs, path).collect())
-    short = [(k, x) for k, x in corpus() if k != 105]
-    want = sorted((k if k is not None else -1, len(WORD.findall(x or "")), sum(plain("▁" + w) for w in WORD.findall(x or ""))) for k, x in short)
-    assert [g for g in got if g[0] != 105] == want
+    count = lambda x: sum(plain_count(w, scores, unknown) for w in plain_runs(x or ""))
+    assert got == sorted((k if k is not None else -1, len(WORD.findall(x or "")), count(x)) for k, x in corpus())
     assert token_counts.token_counts(none, path).count() == 0
+    odd = odd_texts(1500) + ["a\tb\tc\n" * 5, "x" * 200 + " " + "x" * 150 + "y", "\x00" * 50, "ab\x00 ab ab\x00\x00"]
+    assert [n for _, n in token_counts.counter(path).count([t.encode() for t in odd])] == [count(t) for t in odd]
 
 
 def test_licenses(spark, none):
