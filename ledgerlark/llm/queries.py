@@ -73,26 +73,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _licence_sql() -> str:
-    """The scan by plain comparison of every line with every template, bigrams as numbered bags."""
-    rows = ", ".join(f"('{n}', '{t}')" for n, t in sorted(licenses.TEMPLATES.items()))
-    normal = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-    pairs = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
-    bag = "list_transform(range(1, len(b) + 1), lambda i: b[i] || '#' || len(list_filter(b[1:i], lambda x: x = b[i])))"
+    """The scan by plain comparison of windows at every place with every template that shares enough bigrams."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(license)}, {quoted(text)})" for i, (license, text) in enumerate(licenses.TEMPLATES))
+    words = "string_split(trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
     return f"""
-        WITH t AS (
-            SELECT license, {bag} AS bag FROM (SELECT license, {pairs} AS b FROM (SELECT license, string_split({normal.format("notice")}, ' ') AS w FROM (VALUES {rows}) v(license, notice)))
-        ), lines AS (
-            SELECT doc_id, CAST(i AS INTEGER) AS line, x[i] AS passage
-            FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), unnest(range(1, len(x) + 1)) u(i)
-            UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))
-        ), p AS (
-            SELECT doc_id, line, {bag} AS bag
-            FROM (SELECT doc_id, line, {pairs} AS b FROM (SELECT doc_id, line, string_split({normal.format("passage")}, ' ') AS w FROM lines) WHERE len(w) BETWEEN 2 AND 60)
-        ), scored AS (
-            SELECT doc_id, line, license, 2.0 * len(list_intersect(p.bag, t.bag)) / (len(p.bag) + len(t.bag)) AS dice FROM p, t
-        )
-        SELECT doc_id, line, license, round(CAST(dice AS DOUBLE), 6) AS dice FROM scored WHERE dice >= {licenses.THRESHOLD}
-        QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1
+        WITH t AS (SELECT idx, license, {words.format("notice")} AS w, len(w) - 1 AS m FROM (VALUES {rows}) v(idx, license, notice)),
+        tb AS (SELECT idx, license, m, b, count(*) AS n FROM (SELECT idx, license, m, unnest(list_transform(range(1, m + 1), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM t) GROUP BY ALL),
+        d AS (SELECT row_number() OVER () AS r, doc_id, {words.format("text")} AS w, len(w) - 1 AS size FROM documents WHERE text IS NOT NULL),
+        db AS (SELECT r, doc_id, size, unnest(range(0, size)) AS pos, unnest(list_transform(range(1, size + 1), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM d WHERE size > 0),
+        hits AS (SELECT r, doc_id, size, pos, tb.* FROM db JOIN tb USING (b) QUALIFY count(*) OVER (PARTITION BY r, idx) >= {licenses.THRESHOLD} * (m + least(m, size)) / 2),
+        placed AS (SELECT *, unnest(range(greatest(pos - m + 1, 0), least(pos, greatest(size - m, 0)) + 1)) AS s FROM hits),
+        common AS (SELECT r, doc_id, size, idx, license, m, s, sum(c) AS c FROM (SELECT r, doc_id, size, idx, license, m, s, b, least(count(*), min(n)) AS c FROM placed GROUP BY r, doc_id, size, idx, license, m, s, b) GROUP BY ALL),
+        best AS (SELECT r, doc_id, idx, license, s, least(m, size) + 1 AS k, 2.0::DOUBLE * c / (m + least(m, size)) AS dice FROM common WHERE 2.0::DOUBLE * c / (m + least(m, size)) >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r, idx ORDER BY c DESC, s DESC) = 1)
+        SELECT doc_id, license, CAST(s + 1 AS INTEGER) AS word, CAST(k AS INTEGER) AS n_words, round(dice, 6) AS dice FROM best a
+        WHERE NOT EXISTS (SELECT 1 FROM best y WHERE y.r = a.r AND y.s < a.s + a.k AND a.s < y.s + y.k
+            AND (y.dice > a.dice OR (y.dice = a.dice AND (y.license < a.license OR (y.license = a.license AND (y.s < a.s OR (y.s = a.s AND y.idx < a.idx)))))))
     """
 
 

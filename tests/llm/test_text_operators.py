@@ -6,7 +6,7 @@ import random
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -327,29 +327,37 @@ def test_token_counts(docs, none):
     assert [n for _, n in token_counts.counter(path).count([t.encode() for t in odd])] == [count(t) for t in odd]
 
 
+def plain_licenses(text, threshold=0.8):
+    """(license, word, words, dice) of the passages of a text: every window of every template's size is compared."""
+    w = licenses.normal(text)
+    pairs, found = list(zip(w, w[1:], strict=False)), []
+    for i, (name, notice) in enumerate(licenses.TEMPLATES):
+        t = licenses.normal(notice)
+        want = Counter(zip(t, t[1:], strict=False))
+        m = sum(want.values())
+        size = min(m, len(pairs))
+        scored = [(2.0 * (Counter(pairs[s : s + size]) & want).total() / (m + size), s) for s in range(len(pairs) - size + 1)] if size else []
+        if scored and max(scored)[0] >= threshold:
+            found.append((*max(scored), size + 1, name, i))
+    beats = lambda y, a: (-y[0], y[3], y[1], y[4]) < (-a[0], a[3], a[1], a[4]) and y[1] < a[1] + a[2] and a[1] < y[1] + y[2]
+    return sorted((a[3], a[1] + 1, a[2], round(a[0], 9)) for a in found if not any(beats(y, a) for y in found))
+
+
 def test_licenses(spark, none):
-    def bag(text):
-        w = re.sub(r"[\W_]+", " ", text.lower()).split()
-        seen, out = defaultdict(int), set()
-        for b in zip(w, w[1:], strict=False):
-            seen[b] += 1
-            out.add((b, seen[b]))
-        return out
-
-    texts = ["x\nReleased under the MIT License.\ny", "licensed under the apache license version 2.0", "This work is licensed under the GNU General Public License, version 3. or so", "MIT", "", None, "under the under the under the MIT License", "Released under\nthe MIT\nLicense."]
+    r = random.Random(6)
+    texts = ["x\nReleased under the MIT License.\ny", "licensed under the apache license version 2.0", "This work is licensed under the GNU General Public License, version 3. or so", "MIT", "", None, "under the under the under the MIT License", "Released under\nthe MIT\nLicense.", "Code: licensed under CC BY-NC 4.0, and under the terms of the Mozilla Public License 2.0", "SPDX-License-Identifier: Apache-2.0"]
+    for _, notice in licenses.TEXTS:
+        words = notice.split()
+        for _ in range(r.randrange(2)):
+            words[r.randrange(len(words))] = "Foo"
+        texts += ["Intro of a file.\n" + "\n".join(words) + " the end of the", " ".join(words[: len(words) * 2 // 3]), "of the software " * 60 + " ".join(words)]
     rows = list(enumerate(texts)) + [(0, texts[0])]
-    got = sorted((r.doc_id, r.line, r.license, round(r.dice, 9)) for r in licenses.scan(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, license string")).collect())
-    want = []
-    for k, x in rows:
-        lines = (x or "").split("\n")
-        for i, line in [*enumerate(lines, 1), *([(0, x)] if len(lines) > 1 else [])]:
-            a = bag(line)
-            scored = [(2 * len(a & bag(t)) / (len(a) + len(bag(t))), n) for n, t in licenses.TEMPLATES.items() if a]
-            if scored and max(scored)[0] >= 0.8:
-                top = max(s for s, _ in scored)
-                want.append((k, i, min(n for s, n in scored if s == top), round(top, 9)))
-    assert got == sorted(want)
-    assert licenses.scan(none).count() == 0
+    got = sorted((x.doc_id, x.license, x.word, x.n_words, round(x.dice, 9)) for x in licenses.scan(spark.createDataFrame([(*x, "clash", "w") for x in rows], "doc_id long, text string, license string, w string")).collect())
+    assert got == sorted((k, *x) for k, t in rows for x in plain_licenses(t or ""))
+    assert {x[1] for x in got} >= {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "MPL-2.0", "Zlib"}
+    long = "alpha beta " * 100_000 + licenses._MIT
+    assert [x.license for x in licenses.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()] == ["MIT"]
+    assert licenses.scan(none).count() == 0 and licenses.scan(none, []).count() == 0
 
 
 def test_quality(spark, none):
