@@ -118,3 +118,19 @@ def join_list(entries: Column) -> Column:
 def null_first(value: Column) -> Column:
     """Sort key by which what is unknown comes before everything."""
     return value.asc_nulls_first()
+
+
+# The upper half of code page 437, made from the standard codec: character -> byte.
+_CP437 = bytes(range(128, 256)).decode("cp437")
+
+
+def is_cp437(name: Column) -> Column:
+    """Can a zip entry's name be stored without the UTF-8 flag? ASCII but control characters, or the code page's upper half."""
+    return ~name.rlike("[^ -~" + "".join(f"\\x{{{ord(c):04x}}}" for c in _CP437) + "]")
+
+
+def cp437_bytes(name: Column) -> Column:
+    """The name's bytes in code page 437; null where it has a character that the page lacks."""
+    code = F.create_map(*(F.lit(x) for i, c in enumerate(_CP437, 128) for x in (c, f"{i:02x}")))
+    each = F.transform(F.split(name, ""), lambda c: F.when(c.rlike("^[ -~]$"), F.lower(F.hex(c))).otherwise(F.try_element_at(code, c)))
+    return F.when(is_cp437(name), F.when(name == "", F.unhex(F.lit(""))).otherwise(F.unhex(F.array_join(each, ""))))

@@ -47,3 +47,23 @@ def by_type(name: Column, file_type: Column) -> list[Column]:
     second = F.when(file_type == "FileSevenZip", packed[1]).otherwise(name)
     third = F.when(file_type == "FileSevenZip", packed[2]).otherwise(F.lit(""))
     return [first, second, third, file_type]
+
+
+def catalog(name: Column, time: Column, *flags: Column) -> list[Column]:
+    """Catalogs of a directory: names whatever their case and accents' case, then time, then flags, false before true."""
+    return [F.lower(name), name, time, *flags]
+
+
+# Statuses in the order in which lists show them.
+DISPLAY_ORDER = "Error UnSet UnScanned DirCorrupt MoveToCorrupt CorruptCanBeFixed CanBeFixedMIA CanBeFixed MoveToSort Delete NeededForFix Rename Corrupt Unknown UnNeeded Incomplete Missing MissingMIA CorrectMIA Correct InToSort NotCollected Ignore Deleted".split()
+
+
+def display(status: Column) -> list[Column]:
+    """Statuses as lists show them; those that lists don't show come last, by name."""
+    place = F.try_element_at(F.create_map(*(x for i, s in enumerate(DISPLAY_ORDER) for x in (F.lit(s), F.lit(i)))), status)
+    return [F.coalesce(place, F.lit(len(DISPLAY_ORDER))), status]
+
+
+def grid(column: Column, name: Column, descending: bool = False) -> list[Column]:
+    """A list sorted by one of its columns, either way; equal values by name."""
+    return [column.desc_nulls_last() if descending else column.asc_nulls_first(), name.asc()]

@@ -93,3 +93,17 @@ def sourced(value: Column, from_dat: Column, from_header: Column, verified: Colu
 def shown_columns(rows: DataFrame) -> DataFrame:
     """One row: for each column whether any row has a value in it."""
     return rows.agg(*(F.coalesce(F.bool_or(F.col(c).isNotNull()), F.lit(False)).alias(c) for c in rows.columns))
+
+
+def file_grid(nodes: DataFrame) -> DataFrame:
+    """The columns of a file list: name with what was found and the header's kind, merge name, primary and alternate
+    attributes with the letters of their sources, status, date, place in the archive, copies. nodes: name, found_name,
+    disk_version, header_type, header_required, merge, status, date, place, n_files, and for each attribute its value,
+    *_from_dat, *_from_file and *_verified."""
+    of = lambda c: F.coalesce(c, F.lit(False))
+    letters = F.concat(F.when(of("header_type_from_dat"), "D").otherwise(""), F.when(of("header_from_file"), "F").otherwise(""))
+    head = F.when(F.col("header_type").isNotNull() | (letters != ""), F.concat(F.lit(" ("), F.coalesce("header_type", F.lit("Nothing")), F.when(of("header_required"), ",Required").otherwise(""), F.lit(" "), letters, F.lit(")"))).otherwise("")
+    shown = F.concat(F.col("name"), F.when(F.coalesce("found_name", F.lit("")) != "", F.concat(F.lit(" (Found: "), "found_name", F.lit(")"))).otherwise(""), F.when(F.col("disk_version").isNotNull(), F.concat(F.lit(" (V"), F.col("disk_version").cast("string"), F.lit(")"))).otherwise(""), head)
+    cells = [sourced(F.format_number(F.col(f), 0) if f.endswith("size") else F.col(f), F.col(f"{f}_from_dat"), F.col(f"{f}_from_file"), F.col(f"{f}_verified")).alias(f) for f in (*FIELDS, *(f"alt_{f}" for f in FIELDS))]
+    place = F.when((F.col("file_type") == "FileZip") & (F.col("place") >= 0), F.col("place").cast("string"))
+    return nodes.select("node_id", shown.alias("rom"), "merge", *cells, "status", F.date_format("date", "yyyy/MM/dd HH:mm:ss").alias("date"), place.alias("place"), F.col("n_files").cast("string").alias("copies"))

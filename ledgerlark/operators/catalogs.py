@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.scalars import agrees, extension, stem
+from ledgerlark.sources.scratch import written
 
 EXTENSIONS = {"Zip": ".zip", "SevenZip": ".7z", "Disk": ".chd"}
+# The order of categories that a rule has unless it names its own.
 CATEGORY_ORDER = ["Preproduction", "Educational", "Guides", "Manuals", "Magazines", "Documents", "Audio", "Video", "Multimedia", "Coverdiscs", "Covermount", "Bonus Discs", "Bonus", "Add-Ons", "Source Code", "Updates", "Applications", "Demos", "Games", "Miscellaneous"]
 
 
@@ -67,29 +71,63 @@ def best_category(categories: Column, order: list[str]) -> Column:
 
 
 def parent_chain(sets: DataFrame) -> DataFrame:
-    """sets(cat_id, name, parent): every (name, ancestor, depth), nearest first. A recursive join that stops at cycles."""
-    spark = sets.sparkSession
-    sets.select("cat_id", "name", "parent").createOrReplaceTempView("ledgerlark_sets")
-    return spark.sql(
-        """WITH RECURSIVE chain (cat_id, name, ancestor, depth, seen) AS (
-            SELECT s.cat_id, s.name, p.name, 1, array(s.name, p.name) FROM ledgerlark_sets s JOIN ledgerlark_sets p ON s.cat_id = p.cat_id AND s.parent = p.name AND s.name <> p.name
-            UNION ALL
-            SELECT c.cat_id, c.name, p.name, c.depth + 1, array_append(c.seen, p.name)
-            FROM chain c JOIN ledgerlark_sets s ON s.cat_id = c.cat_id AND s.name = c.ancestor JOIN ledgerlark_sets p ON p.cat_id = c.cat_id AND s.parent = p.name
-            WHERE NOT array_contains(c.seen, p.name)
-        ) SELECT cat_id, name, ancestor, depth FROM chain"""
-    )
+    """sets(cat_id, name, parent): every (cat_id, name, ancestor, depth), nearest first. Chains are doubled: the ancestors
+    of the furthest known ancestor join a set's own, so a chain of n levels takes about log2 n rounds, each a written table
+    without a bound on rows. An ancestor counts at its least depth and no set is its own, which ends cycles."""
+    names = sets.select("cat_id", "name").distinct()
+    own = sets.where("parent <> name").select("cat_id", "name", F.col("parent").alias("ancestor")).join(names.withColumnRenamed("name", "ancestor"), ["cat_id", "ancestor"], "left_semi")
+    chain = written(own.select("cat_id", "name", "ancestor", F.lit(1).alias("depth")).distinct())
+    reach, size = 1, chain.count()
+    while size:
+        last = chain.where(F.col("depth") == reach).select("cat_id", "name", F.col("ancestor").alias("via"))
+        above = chain.select("cat_id", F.col("name").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        more = last.join(above, ["cat_id", "via"]).where("ancestor <> name").select("cat_id", "name", "ancestor", "depth")
+        after = written(chain.unionByName(more).groupBy("cat_id", "name", "ancestor").agg(F.min("depth").alias("depth")))
+        reach, was, size = 2 * reach, size, after.count()
+        chain = after
+        if size == was:
+            break
+    return chain
+
+
+def reachable(refs: DataFrame) -> DataFrame:
+    """refs(cat_id, set_name, device): all devices that a set reaches, itself left out. Paths are doubled, as in
+    parent_chain; what is kept are distinct pairs, not paths."""
+    pairs = written(refs.select("cat_id", "set_name", "device").dropna().where("set_name <> device").distinct())
+    size = pairs.count()
+    while size:
+        further = pairs.withColumnRenamed("device", "via").join(pairs.withColumnRenamed("set_name", "via"), ["cat_id", "via"]).where("set_name <> device")
+        after = written(pairs.unionByName(further.select("cat_id", "set_name", "device")).distinct())
+        was, size = size, after.count()
+        pairs = after
+        if size == was:
+            break
+    return pairs
+
+
+_KEYS = ["crc", "sha1", "md5", "sha256"]
 
 
 def _in_ancestors(items: DataFrame, chain: DataFrame, bios: DataFrame | None = None) -> DataFrame:
-    """item_ids of items that an ancestor set has as well, by null-tolerant hashes. Known hashes are the equi-keys of
-    the join; items without any are matched by set and kind alone."""
+    """item_ids of items that an ancestor set has as well, by null-tolerant hashes (crc, sha1 and, if there, md5 and
+    sha256). Pairs that share a known hash are found by a join on that hash; pairs that have none to compare by a join on
+    what they know: an item meets only what an ancestor knows of hashes that the item lacks, in distinct sizes."""
+    keys = [k for k in _KEYS if k in items.columns]
     up = chain if bios is None else chain.join(bios, (chain["cat_id"] == bios["b_cat_id"]) & (chain["ancestor"] == bios["b_name"]), "left_semi")
-    own = items.join(up, (items["cat_id"] == up["cat_id"]) & (items["set_name"] == up["name"])).select(items["*"], "ancestor")
-    theirs = items.select(*(F.col(c).alias(f"a_{c}") for c in ["cat_id", "set_name", "size", "crc", "sha1", "is_disk"]))
-    at = (F.col("cat_id") == F.col("a_cat_id")) & (F.col("ancestor") == F.col("a_set_name")) & (F.col("is_disk") == F.col("a_is_disk"))
-    same = agrees(F.col("size"), F.col("a_size")) & agrees(F.col("crc"), F.col("a_crc")) & agrees(F.col("sha1"), F.col("a_sha1"))
-    return own.join(theirs, at & same, "left_semi").select("item_id").distinct()
+    mask = sum((F.when(F.col(k).isNotNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)), F.lit(0))
+    rows = items.withColumn("mask", mask)
+    own = rows.join(up.select("cat_id", F.col("name").alias("set_name"), "ancestor"), ["cat_id", "set_name"]).select("item_id", "cat_id", "ancestor", "is_disk", "size", "mask", *keys)
+    theirs = rows.select("cat_id", F.col("set_name").alias("ancestor"), "is_disk", F.col("size").alias("a_size"), F.col("mask").alias("a_mask"), *(F.col(k).alias(f"a_{k}") for k in keys))
+    same = agrees(F.col("size"), F.col("a_size"))
+    for k in keys:
+        same = same & agrees(F.col(k), F.col(f"a_{k}"))
+    at, found = ["cat_id", "ancestor", "is_disk"], []
+    for k in keys:
+        found.append(own.where(f"{k} is not null").withColumn("key", F.col(k)).join(theirs.where(f"a_{k} is not null").withColumn("key", F.col(f"a_{k}")), [*at, "key"]).where(same).select("item_id"))
+    apart = F.filter(F.sequence(F.lit(0), F.lit((1 << len(keys)) - 1)), lambda m: m.bitwiseAND(F.col("mask")) == 0)
+    sizes = theirs.select(*at, "a_mask", "a_size").distinct()
+    found.append(own.withColumn("a_mask", F.explode(apart)).join(sizes, [*at, "a_mask"]).where(agrees(F.col("size"), F.col("a_size"))).select("item_id"))
+    return functools.reduce(DataFrame.union, found).distinct()
 
 
 def split_sets(items: DataFrame, chain: DataFrame) -> DataFrame:
@@ -99,31 +137,26 @@ def split_sets(items: DataFrame, chain: DataFrame) -> DataFrame:
     return items.join(hit, "item_id", "left").withColumn("dat_status", F.when(merged, "InDatMerged").otherwise("InDatCollect")).drop("merged")
 
 
-def merge_sets(items: DataFrame, chain: DataFrame, bios: DataFrame) -> DataFrame:
-    """Items that a BIOS ancestor has go; the others move to the last ancestor that is no BIOS, their names led by their
-    set's."""
+def merge_sets(items: DataFrame, chain: DataFrame, bios: DataFrame, with_set_name: bool = True) -> DataFrame:
+    """Items that a BIOS ancestor has go, but not those that nobody has dumped; the others move to the last ancestor that
+    is no BIOS, their names led by their set's (with_set_name), but for disks."""
     named = bios.select(F.col("cat_id").alias("b_cat_id"), F.col("name").alias("b_name"))
-    kept = items.join(_in_ancestors(items, chain, named), "item_id", "left_anti")
+    dumped = items.where(~F.coalesce(F.col("status") == "nodump", F.lit(False)))
+    ids = _in_ancestors(items, chain, named).join(dumped.select("item_id"), "item_id", "left_semi")
     top = chain.join(named, (chain["cat_id"] == named["b_cat_id"]) & (chain["ancestor"] == named["b_name"]), "left_anti").groupBy("cat_id", "name").agg(F.max_by("ancestor", "depth").alias("top"))
-    moved = kept.join(top.withColumnRenamed("name", "set_name"), ["cat_id", "set_name"], "left")
-    return moved.withColumn("item_name", F.when(F.col("top").isNotNull(), F.concat_ws("/", "set_name", "name")).otherwise(F.col("name"))).withColumn("home", F.coalesce("top", "set_name")).drop("top")
+    moved = items.join(ids, "item_id", "left_anti").join(top.withColumnRenamed("name", "set_name"), ["cat_id", "set_name"], "left")
+    led = F.col("top").isNotNull() & F.lit(with_set_name) & ~F.coalesce("is_disk", F.lit(False))
+    return moved.withColumn("item_name", F.when(led, F.concat_ws("/", "set_name", "name")).otherwise(F.col("name"))).withColumn("home", F.coalesce("top", "set_name")).drop("top")
 
 
 def non_merge_sets(items: DataFrame, refs: DataFrame) -> DataFrame:
     """refs(cat_id, set_name, device): items of all devices reachable by reference join a set unless it has the same SHA1
-    under the same name."""
-    spark = items.sparkSession
-    refs.createOrReplaceTempView("ledgerlark_refs")
-    reach = spark.sql(
-        """WITH RECURSIVE reach (cat_id, set_name, device, seen) AS (
-            SELECT cat_id, set_name, device, array(set_name, device) FROM ledgerlark_refs WHERE set_name <> device
-            UNION ALL
-            SELECT r.cat_id, r.set_name, n.device, array_append(r.seen, n.device) FROM reach r JOIN ledgerlark_refs n ON n.cat_id = r.cat_id AND n.set_name = r.device
-            WHERE NOT array_contains(r.seen, n.device)
-        ) SELECT DISTINCT cat_id, set_name, device FROM reach"""
-    )
-    pulled = reach.join(items.withColumnRenamed("set_name", "device"), ["cat_id", "device"]).select("cat_id", "set_name", "name", "sha1").distinct()
-    return pulled.join(items.select("cat_id", "set_name", "name", "sha1"), ["cat_id", "set_name", "name", "sha1"], "left_anti")
+    under the same name; of equal ones from several devices the least item joins. (cat_id, set_name, item_id, name, sha1);
+    an unknown SHA1 equals none."""
+    pulled = reachable(refs).join(items.select("cat_id", F.col("set_name").alias("device"), "item_id", "name", "sha1"), ["cat_id", "device"]).drop("device").distinct()
+    once = pulled.where("sha1 is not null").groupBy("cat_id", "set_name", "name", "sha1").agg(F.min("item_id").alias("item_id"))
+    new = once.join(items.select("cat_id", "set_name", "name", "sha1"), ["cat_id", "set_name", "name", "sha1"], "left_anti")
+    return new.unionByName(pulled.where("sha1 is null")).select("cat_id", "set_name", "item_id", "name", "sha1")
 
 
 def unneeded_dirs(items: DataFrame) -> DataFrame:
@@ -153,4 +186,7 @@ def files_as_sets(items: DataFrame) -> DataFrame:
 
 
 def without_empty_sets(sets: DataFrame, items: DataFrame) -> DataFrame:
-    return sets.join(items.select("cat_id", F.col("set_name").alias("name")).distinct(), ["cat_id", "name"], "left_semi")
+    """Sets that have items, or a set below them (name/...) that does; sets(cat_id, name), items(cat_id, set_name)."""
+    parts = F.split("set_name", "/")
+    used = items.where("set_name is not null").select("cat_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("name")).distinct()
+    return sets.join(used, ["cat_id", "name"], "left_semi")

@@ -160,9 +160,9 @@ def without_empty_directories(dirs: DataFrame, children: DataFrame) -> DataFrame
     return dirs.join(children.select(F.col("parent").alias("path")).distinct(), "path", "left_semi")
 
 
-def apply_merge(sets: DataFrame, items: DataFrame, kind: str) -> DataFrame:
+def apply_merge(sets: DataFrame, items: DataFrame, kind: str, refs: DataFrame | None = None) -> DataFrame:
     """(item_id, home, item_name, dat_status) of one catalog's items, its sets merged by kind: Merge, NonMerged, Split
-    or None. sets(cat_id, name, id, cloneof_id, cloneof, romof, is_bios, ord). Catalogs none of whose sets has a
+    or None. With NonMerged, items of the devices in refs(cat_id, set_name, device) join the sets that reach them. sets(cat_id, name, id, cloneof_id, cloneof, romof, is_bios, ord). Catalogs none of whose sets has a
     parent are left alone; then and else, items that repeat in their home are reduced to one, but not for NonMerged."""
     parents = F.coalesce(F.when(F.col("romof") != F.col("name"), F.col("romof")), F.when(F.col("cloneof") != F.col("name"), F.col("cloneof")))
     matched = catalogs.match_ids(sets).withColumn("parent", parents)
@@ -173,6 +173,9 @@ def apply_merge(sets: DataFrame, items: DataFrame, kind: str) -> DataFrame:
         out = catalogs.merge_sets(items, chain, matched.where("is_bios")).withColumn("dat_status", F.lit("InDatCollect"))
     else:
         out = items.select("*", F.col("set_name").alias("home"), F.col("name").alias("item_name"), F.lit("InDatCollect").alias("dat_status"))
+    if kind == "NonMerged" and refs is not None:
+        pulled = catalogs.non_merge_sets(items, refs).select("item_id", F.col("set_name").alias("home"))
+        out = out.unionByName(items.join(pulled, "item_id").select(*items.columns, "home", F.col("name").alias("item_name"), F.lit("InDatCollect").alias("dat_status")))
     if kind != "NonMerged":
         named = out.drop("set_name", "name").withColumns({"set_id": F.concat_ws("\x01", "cat_id", "home"), "name": F.col("item_name")})
         out = matching.remove_dupes(named)

@@ -2,66 +2,107 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.scalars import agrees
+from ledgerlark.operators.attributes import EMPTY
 
 HASHES = ["size", "sha1", "md5"]
+ALTERNATES = ["alt_size", "alt_crc", "alt_sha1", "alt_md5"]
 
 
 def _fold(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Greedy grouping of one CRC's contradicting rows, in canonical order: most hashes first, then by value."""
-    key = bucket.assign(known=bucket[HASHES].notna().sum(axis=1)).sort_values(["known", "sha1", "md5", "size", "least"], ascending=[False, True, True, True, True], na_position="last")
+    """Greedy grouping of one CRC's contradicting profiles, in canonical order: most hashes first, then by value. A
+    profile meets only groups with its own value of a known field, or without any."""
+    fields = [c for c in bucket.columns if c not in ("crc", "least")]
+    text = {f: bucket[f].astype(object).where(bucket[f].notna(), None) for f in fields}
+    known = bucket[fields].notna().sum(axis=1)
+    order = sorted(range(len(bucket)), key=lambda i: (-known.iloc[i], *((text[f].iloc[i] is None, str(text[f].iloc[i])) for f in fields), bucket["least"].iloc[i]))
     groups: list[dict] = []
-    at = []
-    for row in key[HASHES].itertuples(index=False):
-        mine = dict(zip(HASHES, row, strict=True))
-        for i, g in enumerate(groups):
-            if all(pd.isna(mine[h]) or pd.isna(g[h]) or mine[h] == g[h] for h in HASHES):
-                groups[i] = {h: mine[h] if pd.isna(g[h]) else g[h] for h in HASHES}
-                at.append(i)
-                break
-        else:
-            groups.append(mine)
-            at.append(len(groups) - 1)
-    return key.assign(part=at)[["crc", *HASHES, "part"]]
+    having: dict[tuple, set[int]] = {}
+    lacking: dict[str, set[int]] = {f: set() for f in fields}
+    part = [0] * len(bucket)
+    for i in order:
+        mine = {f: text[f].iloc[i] for f in fields}
+        first = next((f for f in reversed(fields) if mine[f] is not None), None)
+        near = range(len(groups)) if first is None else having.get((first, mine[first]), set()) | lacking[first]
+        fits = (g for g in near if all(mine[f] is None or groups[g][f] is None or mine[f] == groups[g][f] for f in fields))
+        at = min(fits, default=len(groups))
+        if at == len(groups):
+            groups.append(dict.fromkeys(fields))
+            for f in fields:
+                lacking[f].add(at)
+        for f in fields:
+            if groups[at][f] is None and mine[f] is not None:
+                groups[at][f] = mine[f]
+                lacking[f].discard(at)
+                having.setdefault((f, mine[f]), set()).add(at)
+        part[i] = at
+    return bucket.assign(part=part)[["crc", *fields, "part"]]
+
+
+def no_bytes(rows: DataFrame) -> Column:
+    """The CRC of no bytes, and nothing known that speaks against it."""
+    out = F.col("crc") == EMPTY["crc"]
+    for name, value in (("size", 0), ("sha1", EMPTY["sha1"]), ("md5", EMPTY["md5"])):
+        out = out & agrees(F.col(name), F.lit(value))
+    return F.coalesce(out, F.lit(False))
 
 
 def content_groups(got: DataFrame) -> DataFrame:
-    """got(node_id, crc, size, sha1, md5) with group_id: null-tolerant equality of all hashes within a CRC. Rows are first
-    reduced to distinct hash profiles per CRC (thousands of copies are one row); a CRC whose profiles agree is one group,
-    found by plain aggregates, and only contradicting profiles are folded in canonical order. Unknown CRCs stay out."""
-    known = got.where("crc is not null")
-    profiles = known.groupBy("crc", *HASHES).agg(F.min("node_id").alias("least"))
-    clash = profiles.groupBy("crc").agg(*(F.count_distinct(h).alias(f"n_{h}") for h in HASHES)).select("crc", F.greatest(*(F.col(f"n_{h}") for h in HASHES)).alias("variants"))
-    marked = profiles.join(clash, "crc")
-    folded = marked.where("variants > 1").select("crc", *HASHES, "least").groupBy("crc").applyInPandas(_fold, "crc string, size long, sha1 string, md5 string, part int")
-    parts = marked.where("variants <= 1").select("crc", *HASHES, F.lit(0).alias("part")).unionByName(folded)
+    """got(node_id, crc, size, sha1, md5 and, if there, alt_size, alt_crc, alt_sha1, alt_md5) with group_id: null-tolerant
+    equality of all of these within a CRC. Rows are first reduced to distinct profiles per CRC (thousands of copies are
+    one row); a CRC whose profiles agree is one group, found by plain aggregates, and only contradicting profiles are
+    folded in canonical order. Files of no bytes are the group 'zero'. Unknown CRCs stay out."""
+    fields = [*HASHES, *(h for h in ALTERNATES if h in got.columns)]
+    known, empty = got.where(F.col("crc").isNotNull() & ~no_bytes(got)), got.where(F.col("crc").isNotNull() & no_bytes(got))
+    profiles = known.groupBy("crc", *fields).agg(F.min("node_id").alias("least"))
+    several = F.lit(False)
+    for h in fields:
+        several = several | F.coalesce(F.min(h) < F.max(h), F.lit(False))
+    marked = profiles.join(profiles.groupBy("crc").agg(several.alias("several")), "crc")
+    kind = dict(got.dtypes)
+    schema = ", ".join(f"{c} {kind[c]}" for c in ["crc", *fields]) + ", part int"
+    folded = marked.where("several").select("crc", *fields, "least").groupBy("crc").applyInPandas(_fold, schema)
+    parts = marked.where("not several").select("crc", *fields, F.lit(0).alias("part")).unionByName(folded)
     named = parts.withColumn("group_id", F.concat_ws("-", "crc", F.col("part").cast("string")))
-    match = [known["crc"] == named["crc"], *(known[h].eqNullSafe(named[h]) for h in HASHES)]
-    return known.join(named, match).select(known["*"], named["group_id"])
+    match = [known["crc"] == named["crc"], *(known[h].eqNullSafe(named[h]) for h in fields)]
+    return known.join(named, match).select(known["*"], named["group_id"]).unionByName(empty.withColumn("group_id", F.lit("zero")))
 
 
 def group_table(grouped: DataFrame) -> DataFrame:
     """One row a group with the first known value of each hash."""
-    return grouped.groupBy("group_id").agg(F.min("crc").alias("crc"), *(F.min(h).alias(h) for h in HASHES), F.count("*").alias("n_files"))
+    fields = [*HASHES, *(h for h in ALTERNATES if h in grouped.columns)]
+    return grouped.groupBy("group_id").agg(F.min("crc").alias("crc"), *(F.min(h).alias(h) for h in fields), F.count("*").alias("n_files"))
 
 
 def missing_cascade(missing: DataFrame, groups: DataFrame) -> DataFrame:
-    """missing with group_id: looked up by CRC, then SHA1, then MD5 (where the group had that hash before), each hit
-    subject to agreement of all hashes; null if none fits. Files of size 0 that fit none belong to group 'zero'."""
-    found = []
-    for rank, key in enumerate(["crc", "sha1", "md5"]):
-        own = groups.where(F.col(key).isNotNull()).select(*(F.col(c).alias(f"g_{c}") for c in ["group_id", "crc", *HASHES]))
-        ok = agrees(F.col("size"), F.col("g_size")) & agrees(F.col("crc"), F.col("g_crc")) & agrees(F.col("sha1"), F.col("g_sha1")) & agrees(F.col("md5"), F.col("g_md5"))
-        found.append(missing.join(own, F.col(key) == F.col(f"g_{key}")).where(ok).select("node_id", F.lit(rank).alias("rank"), "g_group_id"))
-    best = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("node_id").agg(F.min_by("g_group_id", F.struct("rank", "g_group_id")).alias("hit"), F.min("rank").alias("rank"))
-    empty = (F.col("size") == 0) | (F.col("size").isNull() & F.col("name").endswith("/"))
-    return missing.join(best, "node_id", "left").withColumn("group_id", F.coalesce("hit", F.when(empty, F.lit("zero")))).drop("hit")
+    """missing with group_id and rank: files behind a header (header_type, if there) are looked up by the groups'
+    alternate CRC, SHA1 and MD5 (ranks 0 to 2), then all by CRC, SHA1 and MD5 (3 to 5), where the group had that hash
+    before; each hit is subject to agreement of all hashes; null if none fits. Of files without any hash, those of size 0,
+    and those of unknown size with a directory's name, belong to group 'zero'."""
+    found, shown = [], ["crc", *HASHES]
+    for prefix in ("alt_", ""):
+        if prefix and ("header_type" not in missing.columns or "alt_crc" not in groups.columns):
+            continue
+        asked = missing.where("header_type is not null") if prefix else missing
+        for key in ["crc", "sha1", "md5"]:
+            own = groups.where(F.col(prefix + key).isNotNull()).select("group_id", *(F.col(prefix + c).alias(f"g_{c}") for c in shown)).withColumnRenamed("group_id", "g_group_id")
+            ok = F.lit(True)
+            for c in shown:
+                ok = ok & agrees(F.col(c), F.col(f"g_{c}"))
+            rank = ["crc", "sha1", "md5"].index(key) + (0 if prefix else 3)
+            found.append(asked.join(own, F.col(key) == F.col(f"g_{key}")).where(ok).select("node_id", F.lit(rank).alias("rank"), "g_group_id"))
+    best = functools.reduce(DataFrame.unionByName, found).groupBy("node_id").agg(F.min(F.struct("rank", "g_group_id")).alias("hit"))
+    nothing = F.coalesce("crc", "sha1", "md5").isNull()
+    empty = nothing & F.coalesce((F.col("size") == 0) | (F.col("size").isNull() & F.col("name").endswith("/") & (F.length("name") > 1)), F.lit(False))
+    joined = missing.join(best, "node_id", "left")
+    return joined.withColumn("group_id", F.coalesce("hit.g_group_id", F.when(empty, F.lit("zero")))).withColumn("rank", F.col("hit.rank")).drop("hit")
 
 
 def duplicate_counts(grouped: DataFrame) -> DataFrame:

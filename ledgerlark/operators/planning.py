@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.operators import attributes, status
+
 # For each destination, sources that can be copied raw, in order. _V is verified, _U is not.
 RAW = {
     "ZipTrrnt": "ZipTrrnt ZipTDC",
@@ -53,37 +55,105 @@ def style_at_level(style: Column, level: int) -> Column:
     return F.when(style.isin("RawCopyOnceVerified", "Compress"), "DecompressRecompress").otherwise(style)
 
 
+# Structures of archives and how sources and destinations of each are called.
+_SEVEN = {"SevenZipSLZMA": "7SLZMA", "SevenZipNLZMA": "7NLZMA", "SevenZipSZSTD": "7SZSTD", "SevenZipNZSTD": "7NZSTD", "SevenZipTrrnt": "7Trrnt", "None": "7"}
+_ZIP = {"ZipTrrnt": "ZipTrrnt", "ZipTDC": "ZipTDC", "ZipZSTD": "ZipZSTD", "None": "Zip", "ZipDTD": "Zip"}
+_TO = {"None": "Zip", "ZipTrrnt": "ZipTrrnt", "ZipTDC": "ZipTDC", "ZipZSTD": "ZipZSTD", "SevenZipSLZMA": "SevenZipSLZMA_MF", "SevenZipNLZMA": "SevenZipNLZMA", "SevenZipSZSTD": "SevenZipSZSTD_MF", "SevenZipNZSTD": "SevenZipNZSTD"}
+
+
+def _named(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+
+
+def source_kind(file_type: Column, structure: Column, verified: Column, single: Column) -> Column:
+    """How a found file counts as a source: by its archive's structure, whether it is deep-scanned, and in solid 7z archives
+    whether it is the only file there. Null for structures that a source can't have."""
+    mark = F.when(verified, "_V").otherwise("_U")
+    solid = ~structure.isin("SevenZipNLZMA", "SevenZipNZSTD")
+    seven = F.concat(_named(_SEVEN, structure), mark, F.when(solid, F.when(single, "_SF").otherwise("_MF")).otherwise(""))
+    return F.when(file_type == "File", "File_V").when(file_type == "FileZip", F.concat(_named(_ZIP, structure), mark)).when(file_type == "FileSevenZip", seven)
+
+
+def destination_kind(file_type: Column, archive_type: Column, structure: Column, default_seven: str = "SevenZipNZSTD") -> Column:
+    """What a fix is written to; a 7z archive of no or of the fixed-dictionary structure is made in the default one."""
+    own = F.when((archive_type == "SevenZip") & structure.isin("None", "SevenZipTrrnt"), default_seven).otherwise(structure)
+    return F.when(file_type == "File", "File").when(file_type.isin("FileZip", "FileSevenZip"), _named(_TO, own))
+
+
+def single_files(members: DataFrame) -> DataFrame:
+    """members(archive, got_status) to (archive, single): one file, found or corrupt, and no more."""
+    return members.where("got_status in ('Got', 'Corrupt')").groupBy("archive").agg((F.count("*") == 1).alias("single"))
+
+
 def fix_source(wanted: DataFrame, sources: DataFrame, level: int = 2) -> DataFrame:
-    """wanted(group_id, dest_id, dest_kind), sources(group_id, source_id, source_kind): all sources of the best rank.
-    Ranks are settled per (group, kind) before single sources are looked at."""
+    """wanted(group_id, dest_id, dest_kind, zero, and the columns that status.fixes reads), sources(group_id, source_id,
+    source_kind, and the same columns): all sources of the best rank among those that may fix. What has no bytes needs
+    no source (style Zero). Ranks are settled per group, kind and profile of hashes before single sources are looked at."""
+    keys = status.FIX_KEYS
     table = wanted.sparkSession.createDataFrame(priorities(), "dest_kind string, source_kind string, rank int, style string")
-    kinds = sources.select("group_id", "source_kind").distinct()
-    asked = wanted.select("group_id", "dest_kind").distinct()
-    ranked = asked.join(kinds, "group_id").join(F.broadcast(table), ["dest_kind", "source_kind"])  # 319 rows
-    best = ranked.groupBy("group_id", "dest_kind").agg(F.min(F.struct("rank", "source_kind", "style")).alias("b")).select("group_id", "dest_kind", F.col("b.rank").alias("rank"), F.col("b.source_kind").alias("source_kind"), style_at_level(F.col("b.style"), level).alias("style"))
-    return wanted.join(best, ["group_id", "dest_kind"]).join(sources, ["group_id", "source_kind"]).select("dest_id", "source_id", "source_kind", "rank", "style")
+    as_profile = lambda df, name: df.withColumn(name, F.struct(*keys))
+    full, zero = as_profile(wanted.where("not zero"), "want"), wanted.where("zero")
+    have = as_profile(sources, "got")
+    asked, kinds = full.select("group_id", "dest_kind", "want").distinct(), have.select("group_id", "source_kind", "got").distinct()
+    ok = status.fixes(lambda k: F.col(f"want.{k}"), lambda k: F.col(f"got.{k}"))
+    ranked = asked.join(kinds, "group_id").where(ok).join(F.broadcast(table), ["dest_kind", "source_kind"])  # 319 rows
+    place = ["group_id", "dest_kind", "want"]
+    best = ranked.groupBy(*place).agg(F.min("rank").alias("rank"), F.min_by(F.struct("source_kind", "style"), "rank").alias("b"), F.collect_set(F.struct("rank", "got")).alias("all"))
+    best = best.select(*place, "rank", "b.source_kind", style_at_level(F.col("b.style"), level).alias("style"), F.explode(F.filter("all", lambda x: x["rank"] == F.col("rank"))).alias("x")).withColumn("got", F.col("x.got"))
+    best = best.select(F.col("group_id").alias("b_group"), F.col("dest_kind").alias("b_kind"), F.col("want").alias("b_want"), "rank", "source_kind", "style", F.col("got").alias("b_got"))
+    chosen = full.select("dest_id", "group_id", "dest_kind", "want").join(best, (F.col("group_id") == F.col("b_group")) & (F.col("dest_kind") == F.col("b_kind")) & F.col("want").eqNullSafe(F.col("b_want"))).select("dest_id", "b_group", "source_kind", "b_got", "rank", "style")
+    there = have.select("source_id", "group_id", F.col("source_kind").alias("s_kind"), "got")
+    match = (F.col("group_id") == F.col("b_group")) & (F.col("s_kind") == F.col("source_kind")) & F.col("got").eqNullSafe(F.col("b_got"))
+    out = chosen.join(there, match).select("dest_id", "source_id", "source_kind", "rank", "style")
+    none = zero.select("dest_id", F.lit(None).cast("long").alias("source_id"), F.lit(None).cast("string").alias("source_kind"), F.lit(None).cast("int").alias("rank"), F.lit("Zero").alias("style"))
+    return out.unionByName(none)
+
+
+#: Statuses of a file that is there and stays.
+LIVE = ["Unknown", "Correct", "InToSort", "Rename", "NeededForFix", "MoveToSort", "Ignore"]
 
 
 def safe_delete(nodes: DataFrame) -> DataFrame:
-    """Rows to delete, with `safe`: another copy of the content stays. nodes(group_id, new_status, got_status, size)."""
-    live = nodes.where("got_status = 'Got' and new_status <> 'Delete'").select("group_id").distinct().withColumn("live", F.lit(True))
-    return nodes.where("new_status = 'Delete'").join(live, "group_id", "left").withColumn("safe", F.coalesce("live", F.lit(False)) | (F.col("size") == 0)).drop("live")
+    """Rows to delete, with `safe`: another copy that could replace them stays, or they have no bytes, or they are cue
+    sheets in staging. nodes(group_id, new_status, got_status, root_kind, name, size, and what status.fixes reads)."""
+    keys = status.FIX_KEYS
+    live = nodes.where((F.col("got_status") == "Got") & F.col("new_status").isin(LIVE) & F.col("group_id").isNotNull()).groupBy("group_id").agg(F.collect_set(F.struct(*keys)).alias("live"))
+    found = F.coalesce(F.exists("live", lambda p: status.fixes(F.col, lambda k: p[k])), F.lit(False))
+    exempt = ((F.col("root_kind") == "staging") & F.lower("name").endswith(".cue")) | attributes.zero_length()
+    return nodes.where("new_status = 'Delete'").join(live, "group_id", "left").withColumn("safe", found | F.coalesce(exempt, F.lit(False))).drop("live")
 
 
-def release_sources(nodes: DataFrame) -> DataFrame:
-    """Sources kept for fixes go when no fix of their content is left."""
-    left = nodes.groupBy("group_id").agg(F.bool_or(F.col("new_status").isin("CanBeFixed", "CorruptCanBeFixed")).alias("left"))
-    return nodes.join(left, "group_id").withColumn("released", F.when((F.col("new_status") == "NeededForFix") & ~F.col("left"), "Delete").otherwise(F.col("new_status"))).drop("left")
+def release_sources(nodes: DataFrame, renames: bool = False) -> DataFrame:
+    """Sources kept for fixes (and renames, if asked) go when no fix of their content is left; locked ones go back to what
+    they were. nodes(group_id, new_status, locked, root_kind) with `released`."""
+    left = nodes.where("group_id is not null").groupBy("group_id").agg(F.bool_or(F.col("new_status") == "CanBeFixed").alias("left"))
+    used = F.col("new_status").isin(["NeededForFix", "Rename"] if renames else ["NeededForFix"])
+    back = F.when(F.col("root_kind") == "staging", "InToSort").otherwise("Unknown")
+    status_now = F.when(used & F.col("locked"), back).when(used & ~F.coalesce("left", F.lit(False)), "Delete").otherwise(F.col("new_status"))
+    return nodes.join(left, "group_id", "left").withColumn("released", status_now).drop("left")
 
 
 def archive_move(wanted: DataFrame, found: DataFrame) -> DataFrame:
-    """(dest, source): archives whose live members are just the wanted ones of another, by place, name, size and hash.
-    Both sides: (archive, place, name, size, sha1). Archives are compared by a digest of their members in order."""
-    def digest(rows: DataFrame, name: str) -> DataFrame:
-        members = F.array_sort(F.collect_list(F.struct("place", "name", "size", "sha1")))
-        return rows.groupBy("archive").agg(F.sha2(F.to_json(members), 256).alias("members"), F.count("*").alias("n")).withColumnRenamed("archive", name)
+    """(dest, source, n): archives whose live members are just the wanted ones of another, by place, name, size and SHA1.
+    Both sides: (archive, place, name, size, sha1); found may tell sha1_verified and header_type: an archive with a member
+    that isn't verified, or has a header, is no source. Candidates agree in sums of their members' hashes; their members
+    are then compared one by one, so nothing gathers an archive in one row."""
+    member = F.xxhash64("place", "name", "size", "sha1")
+    kind = ["place", "name", "size", "sha1"]
 
-    return digest(wanted, "dest").join(digest(found, "source"), ["members", "n"]).where("dest <> source").select("dest", "source", "n")
+    def digest(rows: DataFrame, name: str) -> DataFrame:
+        fit = F.lit(True)
+        if name == "source":
+            for c, ok in (("sha1_verified", F.coalesce("sha1_verified", F.lit(False))), ("header_type", F.col("header_type").isNull())):
+                fit = fit & ok if c in rows.columns else fit
+        return rows.groupBy(F.col("archive").alias(name)).agg(F.sum(member.cast("decimal(20,0)")).alias("total"), F.bit_xor(member).alias("mixed"), F.count("*").alias("n"), F.bool_and(fit).alias("fit")).where("fit").drop("fit")
+
+    pairs = digest(wanted, "dest").join(digest(found, "source"), ["total", "mixed", "n"]).where("dest <> source").select("dest", "source", "n")
+    counted = lambda rows, name: rows.groupBy(F.col("archive").alias(name), *kind).agg(F.count("*").alias(f"of_{name}"))
+    ours, theirs = pairs.join(counted(wanted, "dest"), "dest"), counted(found, "source")
+    match = [ours["source"] == theirs["source"], *(ours[k].eqNullSafe(theirs[k]) for k in kind), ours["of_dest"] == theirs["of_source"]]
+    agreed = ours.join(theirs, match).groupBy(ours["dest"], ours["source"], ours["n"]).agg(F.sum("of_dest").alias("matched"))
+    return agreed.where("matched = n").select("dest", "source", "n")
 
 
 def archive_structure(members: DataFrame) -> DataFrame:

@@ -62,3 +62,19 @@ def gap_catalog(nodes: DataFrame, include_fixable: bool = True) -> DataFrame:
     """What a catalog wants and nobody has; without fixable files if asked."""
     gap = (F.col("dat_status") == "InDatCollect") & (F.col("got_status") != "Got")
     return nodes.where(gap if include_fixable else gap & ~F.col("new_status").isin("CanBeFixed", "CorruptCanBeFixed"))
+
+
+def game_filter(counts: DataFrame, text: str = "", *, complete: bool = True, partial: bool = True, empty: bool = True, fixes: bool = True, mia: bool = True, merged: bool = True) -> DataFrame:
+    """Rows of derived_counts() with a `name` that a list shows: the name holds the text, whatever its case, and one of the
+    asked kinds fits. What is unknown, in staging, corrupt (column `corrupt`, if there) or none of all kinds always shows."""
+    has = {c: F.col(c) > 0 for c in ("correct", "missing", "unknown", "in_to_sort", "fixes_needed", "missing_mia")}
+    all_merged = (F.col("not_collected") > 0) & (F.col("any_files") == 0)
+    none = ~(has["correct"] | has["missing"] | has["unknown"] | has["in_to_sort"] | has["fixes_needed"] | has["missing_mia"] | all_merged)
+    show = has["unknown"] | has["in_to_sort"] | none | (F.coalesce("corrupt", F.lit(False)) if "corrupt" in counts.columns else F.lit(False))
+    kinds = [
+        (complete, has["correct"] & ~has["missing"] & ~has["fixes_needed"]), (partial, has["missing"] & has["correct"]), (empty, has["missing"] & ~has["correct"]),
+        (fixes, has["fixes_needed"]), (mia, has["missing_mia"]), (merged, all_merged),
+    ]
+    for asked, test in kinds:
+        show = show | test if asked else show
+    return counts.where(F.contains(F.lower("name"), F.lit(text.lower())) & show)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.scalars import agrees, tested
+from ledgerlark.sources.scratch import written
 
 _HASHES = ["crc", "sha1", "md5"]
 
@@ -66,12 +67,12 @@ def merge(state: DataFrame, incoming: DataFrame, hash_needed: bool = True) -> Da
     cols = ["node_id", "parent", "file_type", "name", F.col("size").cast("string").alias("size"), *_HASHES, F.lower("name").alias("folded")]
     rows = state.select(*cols, F.lit(True).alias("old")).unionByName(incoming.select(*cols, F.lit(False).alias("old"))).dropna(subset=key)
     counts = rows.groupBy(*key).agg(F.count_if("old").alias("n_old"), F.count_if(~F.col("old")).alias("n_new")).where("n_old > 0 and n_new > 0")
-    many = rows.join(counts.where("n_old > 1 or n_new > 1").select(*key), key, "left_semi")
-    one = rows.join(counts.where("n_old = 1 and n_new = 1").select(*key), key, "left_semi")
+    marked = written(rows.join(counts, key))
+    many, one = marked.where("n_old > 1 or n_new > 1").select(*rows.columns), marked.where("n_old = 1 and n_new = 1")
     side = lambda old, mark: one.where(F.col("old") == old).select(*key, *(F.col(c).alias(f"{mark}{c}") for c in ["node_id", "size", *_HASHES]))
     single = side(True, "s_").join(side(False, "i_"), key).where(hashes_match("s_", "i_") if hash_needed else F.lit(True))
     paired = many.groupBy(*key).applyInPandas(lambda g: _pair(g, hash_needed), _SIDES)
-    taken = single.select(F.col("s_node_id").cast("long").alias("state_id"), F.col("i_node_id").cast("long").alias("incoming_id")).unionByName(paired)
+    taken = written(single.select(F.col("s_node_id").cast("long").alias("state_id"), F.col("i_node_id").cast("long").alias("incoming_id")).unionByName(paired))
     old = state.select(F.col("node_id").alias("state_id")).join(taken, "state_id", "left_anti").selectExpr("state_id", "cast(null as long) incoming_id", "'gone' outcome")
     new = incoming.select(F.col("node_id").alias("incoming_id")).join(taken, "incoming_id", "left_anti").selectExpr("cast(null as long) state_id", "incoming_id", "'new' outcome")
     return taken.withColumn("outcome", F.lit("same")).unionByName(old).unionByName(new)
@@ -111,12 +112,59 @@ def inherit(nodes: DataFrame, marks: DataFrame, value: str, default: str) -> Dat
 
 
 def lost(nodes: DataFrame) -> DataFrame:
-    """What a scan no longer finds: rows outside catalogs go, the others lose what only the file said and become
-    missing."""
+    """What a scan no longer finds: rows outside catalogs go, the others lose what only the file said and become missing.
+    Alternates that a catalog gave (alt_*_from_dat) become the primary attributes; alternates then are unknown."""
     kept = nodes.where("dat_status not in ('NotInDat', 'InToSort')")
-    return kept.select(*(F.when(F.col(f"{h}_from_dat"), F.col(h)).alias(h) if h in ("size", *_HASHES) else F.col(h) for h in kept.columns if h != "got_status"), F.lit("NotGot").alias("got_status"))
+    out = {}
+    for h in ("size", *_HASHES):
+        own = F.when(F.col(f"{h}_from_dat"), F.col(h))
+        out[h] = F.when(F.coalesce(f"alt_{h}_from_dat", F.lit(False)), F.col(f"alt_{h}")).otherwise(own) if f"alt_{h}_from_dat" in kept.columns else own
+        if f"alt_{h}_from_dat" in kept.columns:
+            out |= {f"{h}_from_dat": F.col(f"{h}_from_dat") | F.coalesce(f"alt_{h}_from_dat", F.lit(False)), f"alt_{h}": F.lit(None).cast(dict(kept.dtypes)[f"alt_{h}"]), f"alt_{h}_from_dat": F.lit(False)}
+    return kept.withColumns(out | {"got_status": F.lit("NotGot")})
+
+
+def merge_members(state: DataFrame, incoming: DataFrame) -> DataFrame:
+    """An archive's members: every incoming member that matches a known one of its name (hashes agree, one tested) merges
+    into it, several into one too; the first known one by node_id takes it. (state_id, incoming_id, outcome) as merge()."""
+    cols = ["parent", "file_type", "name"]
+    side = lambda df, mark: df.select(*cols, *(F.col(c).alias(f"{mark}{c}") for c in ["node_id", "size", *_HASHES]))
+    # copies of one profile are one row on the known side, so a repeated name costs profiles and not pairs
+    known = side(state, "s_").groupBy(*cols, *(f"s_{c}" for c in ["size", *_HASHES])).agg(F.min("s_node_id").alias("s_node_id"))
+    hits = side(incoming, "i_").join(known, cols).where(hashes_match("s_", "i_"))
+    taken = hits.groupBy(F.col("i_node_id").alias("incoming_id")).agg(F.min("s_node_id").alias("state_id")).select("state_id", "incoming_id")
+    old = state.select(F.col("node_id").alias("state_id")).join(taken, "state_id", "left_anti").selectExpr("state_id", "cast(null as long) incoming_id", "'gone' outcome")
+    new = incoming.select(F.col("node_id").alias("incoming_id")).join(taken, "incoming_id", "left_anti").selectExpr("cast(null as long) state_id", "incoming_id", "'new' outcome")
+    return taken.withColumn("outcome", F.lit("same")).unionByName(old).unionByName(new)
+
+
+def merge_by_time(state: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first phase of a scan, before anything is hashed: files of a known path, name and type whose time and size are
+    the known ones are the known files: (state_id, incoming_id). The second result are the rows still to be hashed and
+    merged by merge(). Both sides: (node_id, parent, file_type, name, mtime, size)."""
+    at = ["parent", "file_type", "name", "mtime", "size"]
+    once = lambda df, name: df.dropna(subset=at).groupBy(*at).agg(F.min("node_id").alias(name), F.count("*").alias("n")).where("n = 1").drop("n")
+    pairs = once(state, "state_id").join(once(incoming, "incoming_id"), at).select("state_id", "incoming_id")
+    return pairs, incoming.join(pairs, incoming["node_id"] == pairs["incoming_id"], "left_anti")
 
 
 def unchanged(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files to scan, files that path and time show to be known)."""
     return files.join(known, ["path", "mtime"], "left_anti"), files.join(known, ["path", "mtime"], "left_semi")
+
+
+def save_state(nodes: DataFrame, root: str, version: int) -> None:
+    """Write the state as a version of its own below root, partitioned by root_kind; a reader sees it only once complete,
+    and the version before stays as its backup."""
+    nodes.write.mode("errorifexists").partitionBy("root_kind").parquet(f"{root}/v={version}")
+
+
+def load_state(spark: SparkSession, root: str, schema: str | None = None) -> tuple[DataFrame, int]:
+    """(state, version): the newest complete version below root."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [int(x.getPath().getName()[2:]) for x in fs.listStatus(path) if x.getPath().getName().startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    if not found:
+        raise FileNotFoundError(f"no complete state below {root}")
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{root}/v={max(found)}"), max(found)

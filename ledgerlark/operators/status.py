@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.scalars import agrees
+from ledgerlark.operators import matching
+from ledgerlark.sources.scratch import written
 
 # Allowed statuses by (kind of node, dat status), for not got / got / corrupt / locked; the first is the default.
 _DIR = {
@@ -61,13 +63,15 @@ def validated(status: Column, among: Column) -> Column:
 
 
 def fixes(missing, got) -> Column:
-    """May the found row fix the missing one (within a content group)? A verified primary mismatch counts only if the
-    header-stripped hash is verified and mismatches as well. Rows are functions from a field's name to its column."""
+    """May the found row fix the missing one (within a content group)? Known kinds of header must be equal, and a required
+    one must have been found in the file itself. A verified primary mismatch counts only if the header-stripped hash is
+    verified and mismatches as well. Rows are functions from a field's name to its column."""
     def clash(kind: str) -> Column:
         want = missing(kind)
         return got(f"{kind}_verified") & ~agrees(want, got(kind)) & got(f"alt_{kind}_verified") & ~agrees(want, got(f"alt_{kind}"))
 
-    return agrees(missing("header_type"), got("header_type")) & ~F.coalesce(clash("sha1"), F.lit(False)) & ~F.coalesce(clash("md5"), F.lit(False))
+    headless = missing("header_required") & (got("header_type").isNull() | ~F.coalesce(got("header_from_file"), F.lit(False)))
+    return agrees(missing("header_type"), got("header_type")) & ~F.coalesce(headless, F.lit(False)) & ~F.coalesce(clash("sha1"), F.lit(False)) & ~F.coalesce(clash("md5"), F.lit(False))
 
 
 def duplicates(a, b) -> Column:
@@ -78,7 +82,7 @@ def duplicates(a, b) -> Column:
     return ~F.coalesce(clash("sha1"), F.lit(False)) & ~F.coalesce(clash("md5"), F.lit(False))
 
 
-_KEYS = ["sha1", "md5", "alt_sha1", "alt_md5", "sha1_verified", "md5_verified", "alt_sha1_verified", "alt_md5_verified", "header_type"]
+FIX_KEYS = ["sha1", "md5", "alt_sha1", "alt_md5", "sha1_verified", "md5_verified", "alt_sha1_verified", "alt_md5_verified", "header_type", "header_required", "header_from_file"]
 
 
 def classify(nodes: DataFrame) -> DataFrame:
@@ -94,7 +98,7 @@ def classify(nodes: DataFrame) -> DataFrame:
     grouped = nodes.where("group_id is not null and not zero_byte").withColumn("role", role)
     # What predicates read of a group's members, each once: members agree on known hashes, so this stays a handful of
     # profiles however many copies a group has, and nothing compares members in pairs.
-    profile = F.struct("role", "locked", *_KEYS)
+    profile = F.struct("role", "locked", *FIX_KEYS)
     seen = grouped.where("role is not null").groupBy("group_id").agg(F.collect_set(profile).alias("profiles"))
     out = grouped.join(seen, "group_id", "left")
     own = F.col
@@ -122,7 +126,7 @@ def classify(nodes: DataFrame) -> DataFrame:
         .otherwise(s)
     )
     out = out.withColumn("step", first)
-    siblings = F.collect_set(F.when(F.col("step") == "CanBeFixed", F.struct(*_KEYS)))
+    siblings = F.collect_set(F.when(F.col("step") == "CanBeFixed", F.struct(*FIX_KEYS)))
     beside = out.groupBy("group_id", "parent_id").agg(siblings.alias("siblings"))
     out = out.join(beside, ["group_id", "parent_id"], "left").withColumn("has_sibling", F.coalesce(F.exists("siblings", lambda p: fixes(lambda k: p[k], own)), F.lit(False)))
     step = F.when((F.col("step") == "NeededForFix") & F.col("has_sibling"), "Rename").otherwise(F.col("step"))
@@ -143,21 +147,46 @@ def classify(nodes: DataFrame) -> DataFrame:
 
 
 def partial_sets(nodes: DataFrame) -> DataFrame:
-    """Sets under a complete-only rule that miss a file and have another: what is missing becomes Incomplete, what is
-    there IncompleteRemove. nodes(parent_id, complete_only, new_status, allowed)."""
+    """Sets under a complete-only rule that miss a file and have (or can have) another: what could be fixed becomes
+    Incomplete, what is there IncompleteRemove; what is missing stays so. nodes(parent_id, complete_only, new_status,
+    allowed) with partial_status."""
     s = F.col("new_status")
     mixed = nodes.groupBy("parent_id").agg((F.bool_or(s == "Missing") & F.bool_or(s.isin("Correct", "CanBeFixed"))).alias("mixed"))
     out = nodes.join(mixed, "parent_id", "left")
     due = F.col("complete_only") & F.coalesce("mixed", F.lit(False))
-    status = F.when(due & s.isin("Missing", "CanBeFixed"), "Incomplete").when(due & (s == "Correct"), "IncompleteRemove").otherwise(s)
-    return out.withColumn("final_status", F.when(status == s, s).otherwise(validated(status, F.col("allowed")))).drop("mixed")
-
-
-def zero_byte_guard(nodes: DataFrame) -> DataFrame:
+    status = F.when(due & (s == "CanBeFixed"), "Incomplete").when(due & (s == "Correct"), "IncompleteRemove").otherwise(s)
+    return out.withColumn("partial_status", F.when(status == s, s).otherwise(validated(status, F.col("allowed")))).drop("mixed")
+
+
+def reclassify(partial: DataFrame) -> DataFrame:
+    """After partial_sets(): groups with a file that changed are classified once more, from first statuses but for what is
+    incomplete. Adds final_status."""
+    changed = F.col("partial_status") != F.col("new_status")
+    touched = partial.where(changed & F.col("group_id").isNotNull()).select("group_id").distinct()
+    again, rest = partial.join(touched, "group_id", "left_semi"), partial.join(touched, "group_id", "left_anti")
+    kept = F.col("partial_status").isin("Incomplete", "IncompleteRemove")
+    reset = again.withColumn("first_status", F.col("rep_status")).withColumn("rep_status", F.when(kept, F.col("partial_status")).otherwise(F.col("rep_status"))).withColumnRenamed("new_status", "was_status")
+    second = classify(reset).withColumnRenamed("new_status", "final_status").withColumnsRenamed({"was_status": "new_status"}).withColumn("rep_status", F.col("first_status")).drop("first_status")
+    return second.unionByName(rest.withColumn("final_status", F.col("partial_status")))
+
+
+def find_fixes(got: DataFrame, missing: DataFrame, ignore: str | None = None) -> DataFrame:
+    """The whole engine on found and missing rows of one schema: groups, first statuses, classification, incomplete sets
+    with a second classification of the groups that they touch, and the guard for empty files. What more than one step
+    reads is written once: a plan of all steps would read it hundreds of times. Returns the rows with rep_status, new_status, partial_status, final_status and guarded_status."""
+    grouped = written(matching.content_groups(got))
+    placed = matching.missing_cascade(missing, matching.group_table(grouped)).drop("rank")
+    ungrouped = got.where("crc is null").withColumn("group_id", F.lit(None).cast("string"))
+    rows = with_default(grouped.unionByName(ungrouped).unionByName(placed), ignore).withColumn("zero_byte", F.coalesce(F.col("group_id") == "zero", F.lit(False)))
+    partial = written(partial_sets(classify(written(rows))))
+    return zero_byte_guard(written(reclassify(partial)), "final_status")
+
+
+def zero_byte_guard(nodes: DataFrame, status: str = "new_status") -> DataFrame:
     """In staging archives whose files with bytes all stay (InToSort or Corrupt, one at least), empty files stay as well.
-    nodes(parent_id, root_kind, size, new_status)."""
-    s, full = F.col("new_status"), F.col("size") > 0
+    nodes(parent_id, root_kind, size, and the column of statuses) with guarded_status."""
+    s, full = F.col(status), F.col("size") > 0
     stays = nodes.where("root_kind = 'staging'").groupBy("parent_id").agg((F.bool_or(full) & F.bool_and(~full | s.isin("InToSort", "Corrupt"))).alias("stays"))
     out = nodes.join(stays, "parent_id", "left")
     keep = (F.col("root_kind") == "staging") & F.coalesce("stays", F.lit(False)) & (F.col("size") == 0) & (s == "Delete")
-    return out.withColumn("final_status", F.when(keep, F.lit("InToSort")).otherwise(s)).drop("stays")
+    return out.withColumn("guarded_status", F.when(keep, F.lit("InToSort")).otherwise(s)).drop("stays")

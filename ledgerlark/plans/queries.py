@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions import scalars, sortkeys
 from ledgerlark.operators import attributes, catalogs, cleaning, matching, planning, rollup, state, status
 from ledgerlark.plans import fixtures as fx
+from ledgerlark.sources import catalogs as sources
 from ledgerlark.sources import inventory, settings
 from ledgerlark.sources.scratch import written
 
@@ -36,27 +37,32 @@ def _cat(spark, sf_dir):
 
 # ---- content groups and the cascade
 
+_E = attributes.EMPTY
+_NO_BYTES = f"crc = '{_E['crc']}' AND coalesce(size = 0, true) AND coalesce(sha1 = '{_E['sha1']}', true) AND coalesce(md5 = '{_E['md5']}', true)"
 _GROUPS = f"""inv AS ({_INV}), cat AS ({_CAT}),
-    g AS (SELECT crc || '-0' AS group_id, crc, min(size) AS size, min(sha1) AS sha1, min(md5) AS md5, count(*) AS n_files FROM inv GROUP BY crc),
+    gi AS (SELECT *, CASE WHEN {_NO_BYTES} THEN 'zero' ELSE crc || '-0' END AS group_id FROM inv),
+    g AS (SELECT group_id, min(crc) AS crc, min(size) AS size, min(sha1) AS sha1, min(md5) AS md5, min(alt_size) AS alt_size, min(alt_crc) AS alt_crc, min(alt_sha1) AS alt_sha1, min(alt_md5) AS alt_md5, count(*) AS n_files FROM gi GROUP BY group_id),
     hits AS (
-        SELECT c.node_id, k.rank, g.group_id FROM cat c, g, (VALUES (0), (1), (2)) k(rank)
-        WHERE CASE k.rank WHEN 0 THEN c.crc = g.crc WHEN 1 THEN c.sha1 = g.sha1 ELSE c.md5 = g.md5 END
-            AND coalesce(c.size = g.size, true) AND coalesce(c.crc = g.crc, true) AND coalesce(c.sha1 = g.sha1, true) AND coalesce(c.md5 = g.md5, true)
+        SELECT c.node_id, k.rank, g.group_id FROM cat c, g, (VALUES (0), (1), (2), (3), (4), (5)) k(rank)
+        WHERE CASE k.rank WHEN 0 THEN c.crc = g.alt_crc WHEN 1 THEN c.sha1 = g.alt_sha1 WHEN 2 THEN c.md5 = g.alt_md5 WHEN 3 THEN c.crc = g.crc WHEN 4 THEN c.sha1 = g.sha1 ELSE c.md5 = g.md5 END
+            AND CASE WHEN k.rank < 3 THEN c.header_type IS NOT NULL AND coalesce(c.size = g.alt_size, true) AND coalesce(c.crc = g.alt_crc, true) AND coalesce(c.sha1 = g.alt_sha1, true) AND coalesce(c.md5 = g.alt_md5, true)
+            ELSE coalesce(c.size = g.size, true) AND coalesce(c.crc = g.crc, true) AND coalesce(c.sha1 = g.sha1, true) AND coalesce(c.md5 = g.md5, true) END
     ),
-    cascade AS (SELECT node_id, min(rank) AS rank, arg_min(group_id, rank) AS group_id FROM hits GROUP BY node_id)"""
+    hit AS (SELECT node_id, rank, group_id FROM hits QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY rank, group_id) = 1),
+    cascade AS (SELECT c.node_id, h.rank, coalesce(h.group_id, CASE WHEN coalesce(crc, sha1, md5) IS NULL AND (size = 0 OR (size IS NULL AND name LIKE '_%/')) THEN 'zero' END) AS group_id FROM cat c LEFT JOIN hit h USING (node_id))"""
 
 
 @query(f"WITH {_GROUPS} SELECT group_id, crc, size, sha1, md5, n_files FROM g")
 def content_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.group_table(matching.content_groups(_inv(spark, sf_dir)))
+    return matching.group_table(matching.content_groups(_inv(spark, sf_dir))).select("group_id", "crc", "size", "sha1", "md5", "n_files")
 
 
-@query(f"WITH {_GROUPS} SELECT inv.node_id, inv.crc || '-0' AS group_id, n_files FROM inv JOIN g USING (crc)")
+@query(f"WITH {_GROUPS} SELECT node_id, group_id, n_files FROM gi JOIN (SELECT group_id, n_files FROM g) USING (group_id)")
 def duplicate_counts(spark, sf_dir):
     return matching.duplicate_counts(matching.content_groups(_inv(spark, sf_dir))).select("node_id", "group_id", "n_files")
 
 
-@query(f"WITH {_GROUPS} SELECT c.node_id, h.group_id, CAST(h.rank AS INTEGER) AS rank FROM cat c LEFT JOIN cascade h USING (node_id)")
+@query(f"WITH {_GROUPS} SELECT node_id, group_id, CAST(rank AS INTEGER) AS rank FROM cascade")
 def missing_cascade(spark, sf_dir):
     groups = written(matching.group_table(matching.content_groups(_inv(spark, sf_dir))))
     return matching.missing_cascade(_cat(spark, sf_dir), groups).select("node_id", "group_id", "rank")
@@ -67,25 +73,34 @@ def missing_cascade(spark, sf_dir):
 _CUBE = ", ".join(f"('{k}', '{d}', '{g}', [{', '.join(repr(x) for x in v)}])" for (k, d, g), v in status.CUBE.items())
 _STATUS = f"""cube(file_type, dat_status, got_status, allowed) AS (VALUES {_CUBE}), {_GROUPS},
     base AS (
-        SELECT inv.*, inv.crc || '-0' AS group_id FROM inv
+        SELECT gi.* FROM gi
         UNION ALL SELECT cat.*, cascade.group_id FROM cat LEFT JOIN cascade USING (node_id)
     ),
-    nodes AS (SELECT base.*, coalesce(cube.allowed[1], 'Error') AS rep_status, cube.allowed FROM base LEFT JOIN cube USING (file_type, dat_status, got_status))"""
+    nodes AS (SELECT base.*, coalesce(cube.allowed[1], 'Error') AS rep_status, cube.allowed, coalesce(group_id = 'zero', false) AS zero_byte FROM base LEFT JOIN cube USING (file_type, dat_status, got_status))"""
 _HIT = "(x.sha1_verified AND y.sha1_verified AND coalesce(x.sha1 <> y.sha1, false)) OR (x.md5_verified AND y.md5_verified AND coalesce(x.md5 <> y.md5, false))"
-_CLASSIFIED = f"""{_STATUS},
-    parts AS (SELECT *, rep_status = 'Missing' OR (rep_status = 'Corrupt' AND dat_status = 'InDatCollect') AS missing,
-        rep_status = 'Corrupt' AND dat_status <> 'InDatCollect' AS corrupt, rep_status IN ('UnNeeded', 'Unknown') AS unneeded,
-        rep_status = 'Correct' AS correct, rep_status = 'InToSort' AS staging FROM nodes),
-    flags AS (SELECT x.*,
-        EXISTS (SELECT 1 FROM parts y WHERE y.group_id = x.group_id AND (y.correct OR y.unneeded OR y.staging)) AS any_got,
-        EXISTS (SELECT 1 FROM parts y WHERE y.group_id = x.group_id AND y.missing) AS wanted,
-        EXISTS (SELECT 1 FROM parts y WHERE y.group_id = x.group_id AND y.missing AND NOT y.locked) AS wanted_free,
-        EXISTS (SELECT 1 FROM parts y WHERE y.group_id = x.group_id AND y.correct AND NOT ({_HIT})) AS has_correct,
-        EXISTS (SELECT 1 FROM parts y WHERE y.group_id = x.group_id AND y.staging AND NOT ({_HIT})) AS has_staging
-        FROM parts x),
-    stepped AS (SELECT *, CASE
+
+
+def _fixes(m: str, g: str) -> str:
+    """SQL: may found row g fix missing row m?"""
+    clash = " ".join(f"AND NOT coalesce({g}.{h}_verified AND {m}.{h} <> {g}.{h} AND {g}.alt_{h}_verified AND {m}.{h} <> {g}.alt_{h}, false)" for h in ("sha1", "md5"))
+    return f"(coalesce({m}.header_type = {g}.header_type, true) AND NOT ({m}.header_required AND ({g}.header_type IS NULL OR NOT {g}.header_from_file)) {clash})"
+
+
+def _classify_sql(source: str, n: str = "") -> str:
+    """Steps of the classification of a CTE's rows, as CTEs up to classified."""
+    got = "(y.correct OR y.unneeded OR y.staging)"
+    among = lambda test: f"EXISTS (SELECT 1 FROM parts{n} y WHERE y.group_id = x.group_id AND {test})"
+    return f"""parts{n} AS (SELECT *, rep_status = 'Missing' OR (rep_status = 'Corrupt' AND dat_status = 'InDatCollect') AS missing,
+        rep_status = 'Corrupt' AND dat_status <> 'InDatCollect' AS corrupt, rep_status IN ('UnNeeded', 'Unknown', 'IncompleteRemove') AS unneeded,
+        rep_status = 'Correct' AS correct, rep_status = 'InToSort' AS staging FROM {source}),
+    flags{n} AS (SELECT x.*, {among(got)} AS any_got, {among(f"{got} AND {_fixes('x', 'y')}")} AS has_source,
+        {among(f"y.missing AND {_fixes('y', 'x')}")} AS wanted, {among(f"y.missing AND NOT y.locked AND {_fixes('y', 'x')}")} AS wanted_free,
+        {among(f"y.correct AND NOT ({_HIT})")} AS has_correct, {among(f"y.staging AND NOT ({_HIT})")} AS has_staging FROM parts{n} x),
+    stepped{n} AS (SELECT *, CASE
         WHEN group_id IS NULL THEN rep_status
-        WHEN missing AND NOT locked AND any_got THEN CASE WHEN rep_status = 'Corrupt' THEN 'CorruptCanBeFixed' ELSE 'CanBeFixed' END
+        WHEN zero_byte THEN CASE WHEN locked THEN rep_status WHEN rep_status = 'Missing' THEN 'CanBeFixed' WHEN rep_status = 'Corrupt' AND dat_status = 'InDatCollect' THEN 'CorruptCanBeFixed'
+            WHEN rep_status IN ('Corrupt', 'UnNeeded', 'Unknown', 'IncompleteRemove', 'InToSort') THEN 'Delete' ELSE rep_status END
+        WHEN missing AND NOT locked AND has_source THEN CASE WHEN rep_status = 'Corrupt' THEN 'CorruptCanBeFixed' ELSE 'CanBeFixed' END
         WHEN missing AND NOT locked AND rep_status = 'Corrupt' THEN 'MoveToCorrupt'
         WHEN corrupt AND NOT locked AND any_got THEN 'Delete'
         WHEN corrupt AND NOT locked AND dat_status <> 'InToSort' THEN 'MoveToCorrupt'
@@ -94,25 +109,39 @@ _CLASSIFIED = f"""{_STATUS},
         WHEN unneeded AND NOT locked THEN 'MoveToSort'
         WHEN staging AND wanted_free THEN 'NeededForFix'
         WHEN staging AND NOT locked AND has_correct THEN 'Delete'
-        ELSE rep_status END AS step FROM flags),
-    renamed AS (SELECT x.*, CASE WHEN step = 'NeededForFix' AND EXISTS (
-        SELECT 1 FROM stepped y WHERE y.group_id = x.group_id AND y.parent_id = x.parent_id AND y.step = 'CanBeFixed') THEN 'Rename' ELSE step END AS named FROM stepped x),
-    classified AS (SELECT *, CASE WHEN named = rep_status OR list_contains(allowed, named) THEN named ELSE 'Error' END AS new_status FROM renamed)"""
+        ELSE rep_status END AS step FROM flags{n}),
+    renamed{n} AS (SELECT x.*, CASE WHEN step = 'NeededForFix' AND EXISTS (
+        SELECT 1 FROM stepped{n} y WHERE y.group_id = x.group_id AND y.parent_id = x.parent_id AND y.step = 'CanBeFixed' AND {_fixes('y', 'x')}) THEN 'Rename' ELSE step END AS named FROM stepped{n} x),
+    classified{n} AS (SELECT *, CASE WHEN named = rep_status OR list_contains(allowed, named) THEN named ELSE 'Error' END AS new_status FROM renamed{n})"""
+
+
+_CLASSIFIED = f"{_STATUS}, {_classify_sql('nodes')}"
+_PARTIAL = f"""{_CLASSIFIED}, mixed AS (SELECT parent_id, bool_or(new_status = 'Missing') AND bool_or(new_status IN ('Correct', 'CanBeFixed')) AS mixed FROM classified GROUP BY parent_id),
+    due AS (SELECT c.*, CASE WHEN complete_only AND mixed AND new_status = 'CanBeFixed' THEN 'Incomplete' WHEN complete_only AND mixed AND new_status = 'Correct' THEN 'IncompleteRemove' ELSE new_status END AS s FROM classified c JOIN mixed USING (parent_id)),
+    partials AS (SELECT *, CASE WHEN s = new_status OR list_contains(allowed, s) THEN s ELSE 'Error' END AS partial_status FROM due),
+    nodes2 AS (SELECT n.* REPLACE (CASE WHEN p.partial_status IN ('Incomplete', 'IncompleteRemove') THEN p.partial_status ELSE n.rep_status END AS rep_status) FROM nodes n JOIN partials p ON p.node_id = n.node_id
+        WHERE n.group_id IN (SELECT group_id FROM partials WHERE partial_status <> new_status)),
+    {_classify_sql("nodes2", "2")},
+    finals AS (SELECT p.*, coalesce(c.new_status, p.partial_status) AS final_status FROM partials p LEFT JOIN (SELECT node_id AS id, new_status FROM classified2) c ON c.id = p.node_id),
+    guard AS (SELECT parent_id, bool_or(size > 0) AND bool_and(coalesce(NOT size > 0, true) OR final_status IN ('InToSort', 'Corrupt')) AS stays FROM finals WHERE root_kind = 'staging' GROUP BY parent_id),
+    guarded AS (SELECT f.*, CASE WHEN root_kind = 'staging' AND coalesce(stays, false) AND size = 0 AND final_status = 'Delete' THEN 'InToSort' ELSE final_status END AS guarded_status FROM finals f LEFT JOIN guard USING (parent_id))"""
 
 
-def _base(spark, sf_dir):
+def _nodes(spark, sf_dir):
     grouped = written(matching.content_groups(_inv(spark, sf_dir)))  # read by the cascade and by every step after it
     missing = matching.missing_cascade(_cat(spark, sf_dir), matching.group_table(grouped)).drop("rank")
-    return grouped.unionByName(missing)
+    return status.with_default(grouped.unionByName(missing))
 
 
-def _nodes(spark, sf_dir):
-    return status.with_default(_base(spark, sf_dir))
+_FOUND: dict[tuple[str, str], DataFrame] = {}
 
 
 def _classified(spark, sf_dir):
-    rows = written(_nodes(spark, sf_dir)).selectExpr("*", "cast(null as string) alt_sha1", "cast(null as string) alt_md5", "false alt_sha1_verified", "false alt_md5_verified", "cast(null as string) header_type", "false zero_byte")
-    return status.classify(rows)
+    """The engine's rows for a folder of tables, written once a Spark application and read by all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FOUND:
+        _FOUND[key] = written(status.find_fixes(_inv(spark, sf_dir), _cat(spark, sf_dir)))
+    return _FOUND[key]
 
 
 @query(f"WITH {_STATUS} SELECT node_id, file_type, dat_status, got_status, rep_status FROM nodes")
@@ -134,25 +163,28 @@ _step("classify_step2", "rep_status = 'Corrupt' AND dat_status <> 'InDatCollect'
 _step("classify_step3", "rep_status IN ('UnNeeded', 'Unknown')")
 _step("classify_step4", "rep_status = 'InToSort'")
 _step("classify_rename", "new_status = 'Rename'")
+_step("classify_zero", "zero_byte")
 
 
-@query(
-    f"""WITH {_CLASSIFIED}, mixed AS (SELECT parent_id, bool_or(new_status = 'Missing') AND bool_or(new_status IN ('Correct', 'CanBeFixed')) AS mixed FROM classified GROUP BY parent_id),
-    due AS (SELECT c.*, CASE WHEN complete_only AND mixed AND new_status IN ('Missing', 'CanBeFixed') THEN 'Incomplete' WHEN complete_only AND mixed AND new_status = 'Correct' THEN 'IncompleteRemove' ELSE new_status END AS s FROM classified c JOIN mixed USING (parent_id))
-    SELECT node_id, new_status, CASE WHEN s = new_status OR list_contains(allowed, s) THEN s ELSE 'Error' END AS final_status FROM due"""
-)
+@query(f"WITH {_PARTIAL} SELECT node_id, new_status, partial_status, final_status FROM finals")
 def partial_sets(spark, sf_dir):
-    return status.partial_sets(_classified(spark, sf_dir)).select("node_id", "new_status", "final_status")
+    return _classified(spark, sf_dir).select("node_id", "new_status", "partial_status", "final_status")
+
+
+@query(f"WITH {_PARTIAL} SELECT node_id, group_id, rep_status, guarded_status FROM guarded")
+def find_fixes(spark, sf_dir):
+    return _classified(spark, sf_dir).select("node_id", "group_id", "rep_status", "guarded_status")
 
 
 @query(
-    f"""WITH {_CLASSIFIED}, z AS (SELECT node_id, root_kind, parent_id, new_status, CASE WHEN node_id % 7 = 0 THEN 0 ELSE size END AS size FROM classified),
-    stays AS (SELECT parent_id, bool_or(size > 0) AND bool_and(size = 0 OR new_status IN ('InToSort', 'Corrupt')) AS stays FROM z WHERE root_kind = 'staging' GROUP BY parent_id)
-    SELECT node_id, new_status, CASE WHEN root_kind = 'staging' AND coalesce(stays, false) AND size = 0 AND new_status = 'Delete' THEN 'InToSort' ELSE new_status END AS final_status FROM z LEFT JOIN stays USING (parent_id)"""
+    f"""WITH {_CLASSIFIED}, z AS (SELECT node_id, root_kind, parent_id || '/' || node_id % 40 AS parent_id, new_status, CASE WHEN node_id % 7 = 0 THEN 0 ELSE size END AS size FROM classified),
+    stays AS (SELECT parent_id, bool_or(size > 0) AND bool_and(coalesce(NOT size > 0, true) OR new_status IN ('InToSort', 'Corrupt')) AS stays FROM z WHERE root_kind = 'staging' GROUP BY parent_id)
+    SELECT node_id, new_status, CASE WHEN root_kind = 'staging' AND coalesce(stays, false) AND size = 0 AND new_status = 'Delete' THEN 'InToSort' ELSE new_status END AS guarded_status FROM z LEFT JOIN stays USING (parent_id)"""
 )
 def zero_byte_guard(spark, sf_dir):
-    rows = _classified(spark, sf_dir).withColumn("size", F.when(F.col("node_id") % 7 == 0, 0).otherwise(F.col("size")))
-    return status.zero_byte_guard(rows).select("node_id", "new_status", "final_status")
+    parent = F.concat_ws("/", "parent_id", (F.col("node_id") % 40).cast("string"))
+    rows = _classified(spark, sf_dir).drop("guarded_status").withColumns({"size": F.when(F.col("node_id") % 7 == 0, 0).otherwise(F.col("size")), "parent_id": parent})
+    return status.zero_byte_guard(rows).select("node_id", "new_status", "guarded_status")
 
 
 # ---- roll-ups
@@ -224,9 +256,34 @@ def gap_catalog_unfixable(spark, sf_dir):
     return rollup.gap_catalog(_classified(spark, sf_dir), include_fixable=False).select("set_name", "name", "size", "crc", "sha1", "md5")
 
 
-@query(f"WITH {_SUMMARY} SELECT ancestor FROM counted WHERE lower(ancestor) LIKE '%src1%' AND (missing > 0 OR fixes_needed > 0)")
+@query(
+    f"""WITH {_ROLLED}, counted AS (SELECT ancestor, {_COUNTS} FROM rolled WHERE depth = 3 GROUP BY ancestor) SELECT ancestor FROM counted WHERE contains(lower(ancestor), 'src1') AND (
+        (correct > 0 AND missing = 0 AND fixes_needed = 0) OR (missing > 0 AND correct = 0) OR missing_mia > 0 OR unknown > 0 OR in_to_sort > 0
+        OR NOT (correct > 0 OR missing > 0 OR unknown > 0 OR in_to_sort > 0 OR fixes_needed > 0 OR missing_mia > 0 OR (not_collected > 0 AND any_files = 0)))"""
+)
 def game_filter(spark, sf_dir):
-    return _summary(spark, sf_dir).where(F.contains(F.lower("ancestor"), F.lit("src1")) & ((F.col("missing") > 0) | (F.col("fixes_needed") > 0))).select("ancestor")
+    counts = rollup.derived_counts(_rolled(spark, sf_dir).where("depth = 3"), "ancestor").withColumn("name", F.col("ancestor"))
+    return rollup.game_filter(counts, "SRC1", partial=False, fixes=False, merged=False).select("ancestor")
+
+
+def _cell(f: str) -> str:
+    shown = f"format('{{:,}}', {f})" if f.endswith("size") else f
+    return f"""CASE WHEN {f} IS NULL THEN NULL ELSE {shown} || CASE WHEN got_status = 'NotGot' OR {f}_verified THEN ' (' || CASE WHEN got_status = 'NotGot' THEN 'D' ELSE '' END || CASE WHEN {f}_verified THEN 'V' ELSE '' END || ')' ELSE '' END END AS {f}"""
+
+
+@query(
+    f"""WITH {_CLASSIFIED}, n AS (SELECT group_id, count(*) AS n FROM classified WHERE group_id IS NOT NULL GROUP BY group_id), t AS (SELECT classified.*, n.n, false AS size_verified, false AS crc_verified, false AS alt_size_verified, false AS alt_crc_verified FROM classified LEFT JOIN n USING (group_id))
+    SELECT node_id, name || CASE WHEN header_type IS NULL AND NOT header_from_file THEN '' ELSE ' (' || coalesce(header_type, 'Nothing') || CASE WHEN header_required THEN ',Required' ELSE '' END || ' ' || CASE WHEN header_from_file THEN 'F' ELSE '' END || ')' END AS rom,
+        CAST(NULL AS STRING) AS merge, {", ".join(_cell(f) for f in (*attributes.FIELDS, *(f"alt_{f}" for f in attributes.FIELDS)))}, new_status AS status, CAST(NULL AS STRING) AS date,
+        CASE WHEN file_type = 'FileZip' THEN CAST(ord AS STRING) END AS place, CAST(n AS STRING) AS copies FROM t"""
+)
+def file_grid(spark, sf_dir):
+    rows = _classified(spark, sf_dir).drop("n_files")
+    counts = rows.where("group_id is not null").groupBy("group_id").agg(F.count("*").alias("n_files"))
+    fields = [*attributes.FIELDS, *(f"alt_{f}" for f in attributes.FIELDS)]
+    flags = {f"{f}_from_dat": F.col("got_status") == "NotGot" for f in fields} | {f"{f}_from_file": F.lit(False) for f in fields} | {f"{f}_verified": F.lit(False) for f in fields if not f.endswith(("sha1", "md5"))}
+    none = {"found_name": F.lit(""), "disk_version": F.lit(None).cast("int"), "merge": F.lit(None).cast("string"), "date": F.lit(None).cast("timestamp_ntz"), "header_type_from_dat": F.lit(False), "status": F.col("new_status"), "place": F.col("ord")}
+    return attributes.file_grid(rows.join(counts, "group_id", "left").withColumns(flags | none))
 
 
 @query(f"WITH {_CLASSIFIED} SELECT node_id, coalesce(crc, '') || '(' || CASE WHEN got_status = 'NotGot' THEN 'D' ELSE 'V' END || ')' AS crc_shown FROM classified WHERE NOT (dat_status = 'InDatMerged' AND new_status = 'NotCollected')")
@@ -312,8 +369,8 @@ _BIOS = " JOIN sets b ON b.cat_id = c.cat_id AND b.name = c.ancestor AND b.is_bi
 
 @query(
     f"""WITH RECURSIVE {_CHAIN}, items AS ({_ITEMS}), top AS (SELECT c.cat_id, c.name, arg_max(c.ancestor, c.depth) AS top FROM chain c JOIN sets b ON b.cat_id = c.cat_id AND b.name = c.ancestor AND NOT b.is_bios GROUP BY c.cat_id, c.name)
-    SELECT i.item_id, coalesce(top, set_name) AS home, CASE WHEN top IS NULL THEN i.name ELSE set_name || '/' || i.name END AS item_name FROM items i LEFT JOIN top ON top.cat_id = i.cat_id AND top.name = i.set_name
-    WHERE NOT {_ANCESTOR_HAS.format(bios=_BIOS)}"""
+    SELECT i.item_id, coalesce(top, set_name) AS home, CASE WHEN top IS NULL OR is_disk THEN i.name ELSE set_name || '/' || i.name END AS item_name FROM items i LEFT JOIN top ON top.cat_id = i.cat_id AND top.name = i.set_name
+    WHERE coalesce(status = 'nodump', false) OR NOT {_ANCESTOR_HAS.format(bios=_BIOS)}"""
 )
 def merge_sets(spark, sf_dir):
     bios = fx.view(spark, sf_dir, fx.SETS).where("is_bios")
@@ -323,8 +380,9 @@ def merge_sets(spark, sf_dir):
 @query(
     f"""WITH RECURSIVE sets AS ({_SETS}), items AS ({_ITEMS}), refs AS (SELECT cat_id, name AS set_name, parent AS device FROM sets WHERE parent IS NOT NULL), reach AS (
         SELECT * FROM refs WHERE set_name <> device UNION SELECT r.cat_id, r.set_name, n.device FROM reach r JOIN refs n ON n.cat_id = r.cat_id AND n.set_name = r.device),
-    pulled AS (SELECT DISTINCT r.cat_id, r.set_name, i.name, i.sha1 FROM reach r JOIN items i ON i.cat_id = r.cat_id AND i.set_name = r.device)
-    SELECT p.* FROM pulled p WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.cat_id = p.cat_id AND i.set_name = p.set_name AND i.name = p.name AND i.sha1 = p.sha1)"""
+    pulled AS (SELECT DISTINCT r.cat_id, r.set_name, i.item_id, i.name, i.sha1 FROM reach r JOIN items i ON i.cat_id = r.cat_id AND i.set_name = r.device WHERE r.set_name <> r.device)
+    SELECT p.cat_id, p.set_name, min(p.item_id) AS item_id, p.name, p.sha1 FROM pulled p WHERE sha1 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM items i WHERE i.cat_id = p.cat_id AND i.set_name = p.set_name AND i.name = p.name AND i.sha1 = p.sha1) GROUP BY p.cat_id, p.set_name, p.name, p.sha1
+    UNION ALL SELECT cat_id, set_name, item_id, name, sha1 FROM pulled WHERE sha1 IS NULL"""
 )
 def nonmerge_sets(spark, sf_dir):
     refs = fx.view(spark, sf_dir, fx.SETS).where("parent is not null").select("cat_id", F.col("name").alias("set_name"), F.col("parent").alias("device"))
@@ -338,7 +396,11 @@ def _grouped_items(spark, sf_dir):
     return fx.view(spark, sf_dir, fx.ITEMS).withColumn("set_name", F.concat(F.lit("p"), (F.col("item_id") % 10).cast("string")))
 
 
-@query(f"SELECT item_id FROM {_GROUPED_ITEMS} QUALIFY row_number() OVER (PARTITION BY set_name, name, crc ORDER BY ord, item_id) = 1")
+@query(
+    f"""WITH f AS (SELECT *, item_id % 8 AS v, first_value(crc) OVER w AS c1, first_value(sha1) OVER w AS s1, row_number() OVER w AS k FROM {_GROUPED_ITEMS} WINDOW w AS (PARTITION BY set_name, name, item_id % 8 ORDER BY ord, item_id))
+    SELECT item_id FROM f WHERE k = 1
+    UNION ALL SELECT item_id FROM f WHERE k > 1 AND NOT coalesce(crc = c1, false) AND NOT coalesce(sha1 = s1, false) QUALIFY row_number() OVER (PARTITION BY set_name, name, v ORDER BY ord, item_id) = 1"""
+)
 def remove_dupes(spark, sf_dir):
     return matching.remove_dupes(_grouped_items(spark, sf_dir).withColumnRenamed("set_name", "set_id")).select("item_id")
 
@@ -417,6 +479,35 @@ def state_merge(spark, sf_dir):
     return state.merge(_side(spark, sf_dir, "name", "node_id % 4 <> 3"), _side(spark, sf_dir, "lower(name)", "node_id % 5 <> 4"), hash_needed=False)
 
 
+_MEMBERS_OLD = "SELECT node_id, parent_id AS parent, file_type, name, size, crc, sha1, md5 FROM inv WHERE node_id % 10 < 6"
+_MEMBERS_NEW = "SELECT node_id, parent_id AS parent, file_type, name, CASE WHEN node_id % 7 = 0 THEN size + 1 ELSE size END AS size, CASE WHEN node_id % 3 = 0 THEN NULL ELSE crc END AS crc, sha1, md5 FROM inv WHERE node_id % 10 > 2"
+
+
+@query(
+    f"""WITH inv AS ({_INV}), a AS ({_MEMBERS_OLD}), b AS ({_MEMBERS_NEW}),
+    hit AS (SELECT b.node_id AS incoming_id, min(a.node_id) AS state_id FROM a JOIN b ON a.parent = b.parent AND a.file_type = b.file_type AND a.name = b.name
+        AND coalesce(a.size = b.size, true) AND coalesce(a.crc = b.crc, true) AND coalesce(a.sha1 = b.sha1, true) AND coalesce(a.md5 = b.md5, true)
+        AND (coalesce(a.crc = b.crc, false) OR coalesce(a.sha1 = b.sha1, false) OR coalesce(a.md5 = b.md5, false) OR (a.size = 0 AND b.size = 0)) GROUP BY b.node_id)
+    SELECT state_id, incoming_id, 'same' AS outcome FROM hit UNION ALL SELECT node_id, NULL, 'gone' FROM a WHERE node_id NOT IN (SELECT state_id FROM hit) UNION ALL SELECT NULL, node_id, 'new' FROM b WHERE node_id NOT IN (SELECT incoming_id FROM hit)"""
+)
+def member_merge(spark, sf_dir):
+    rows = _inv(spark, sf_dir).select("node_id", F.col("parent_id").alias("parent"), "file_type", "name", "size", "crc", "sha1", "md5")
+    n = F.col("node_id")
+    new = rows.where(n % 10 > 2).withColumns({"size": F.when(n % 7 == 0, F.col("size") + 1).otherwise(F.col("size")), "crc": F.when(n % 3 != 0, F.col("crc"))})
+    return state.merge_members(rows.where(n % 10 < 6), new)
+
+
+@query(
+    f"""WITH inv AS ({_INV}), a AS (SELECT parent_id, file_type, name, node_id % 4 AS mtime, size, min(node_id) AS state_id FROM inv WHERE node_id % 10 < 8 AND size IS NOT NULL GROUP BY ALL HAVING count(*) = 1),
+    b AS (SELECT parent_id, file_type, name, CASE WHEN node_id % 9 = 0 THEN 9 ELSE node_id % 4 END AS mtime, size, min(node_id) AS incoming_id FROM inv WHERE size IS NOT NULL GROUP BY ALL HAVING count(*) = 1)
+    SELECT state_id, incoming_id FROM a JOIN b USING (parent_id, file_type, name, mtime, size)"""
+)
+def time_merge(spark, sf_dir):
+    n = F.col("node_id")
+    rows = _inv(spark, sf_dir).select("node_id", F.col("parent_id").alias("parent"), "file_type", "name", (n % 4).alias("mtime"), "size")
+    return state.merge_by_time(rows.where(n % 10 < 8), rows.withColumn("mtime", F.when(n % 9 == 0, 9).otherwise(F.col("mtime"))))[0]
+
+
 @query(
     """WITH a AS (SELECT DISTINCT c_name AS name, c_mktsegment AS flags FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT DISTINCT c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN 'changed' ELSE c_mktsegment END AS flags FROM customer WHERE c_custkey % 5 <> 0)
     SELECT coalesce(a.name, b.name) AS name, coalesce(a.flags, b.flags) AS flags, CASE WHEN a.name IS NULL THEN 'new' WHEN b.name IS NULL THEN 'delete' ELSE 'keep' END AS outcome FROM a FULL JOIN b ON a.name = b.name AND a.flags = b.flags"""
@@ -483,33 +574,62 @@ _collation("sort_natural", sortkeys.natural, None)
 # ---- plans of repairs
 
 _PRIORITY = ", ".join(f"('{d}', '{s}', {r}, '{st}')" for d, s, r, st in planning.priorities())
-_KINDS = "['ZipTrrnt_V', 'Zip_U', '7SZSTD_U_SF', 'File_V', '7_U_MF', 'ZipZSTD_V']"
+_ZERO = f"CASE WHEN coalesce(md5, sha1, crc) IS NULL AND size IS NULL THEN name LIKE '_%/' ELSE coalesce(md5 = '{_E['md5']}', true) AND coalesce(sha1 = '{_E['sha1']}', true) AND coalesce(crc = '{_E['crc']}', true) AND coalesce(size = 0, true) END"
+_ZIPS, _SEVENS = ["ZipTrrnt", "ZipTDC", "ZipZSTD", "None"], ["SevenZipSLZMA", "SevenZipNLZMA", "SevenZipSZSTD", "SevenZipNZSTD", "SevenZipTrrnt", "None"]
+_PACKED = f"""packed AS (SELECT *, CASE WHEN file_type = 'FileZip' AND node_id % 3 = 2 THEN 'FileSevenZip' ELSE file_type END AS kind,
+        CASE WHEN file_type = 'FileZip' AND node_id % 3 = 2 THEN {_SEVENS}[CAST(node_id % 6 + 1 AS INTEGER)] ELSE {_ZIPS}[CAST(node_id % 4 + 1 AS INTEGER)] END AS structure FROM classified),
+    kinds AS (SELECT *, CASE kind WHEN 'File' THEN 'File_V' WHEN 'FileZip' THEN CASE structure WHEN 'None' THEN 'Zip' ELSE structure END || CASE WHEN md5_verified THEN '_V' ELSE '_U' END
+            ELSE CASE structure WHEN 'None' THEN '7' ELSE '7' || substr(structure, 9) END || CASE WHEN md5_verified THEN '_V' ELSE '_U' END || CASE WHEN structure LIKE 'SevenZipN%' THEN '' WHEN node_id % 2 = 0 THEN '_SF' ELSE '_MF' END END AS source_kind,
+        CASE kind WHEN 'File' THEN 'File' WHEN 'FileZip' THEN CASE structure WHEN 'None' THEN 'Zip' ELSE structure END
+            ELSE CASE WHEN structure IN ('None', 'SevenZipTrrnt') THEN 'SevenZipNZSTD' WHEN structure LIKE 'SevenZipS%' THEN structure || '_MF' ELSE structure END END AS dest_kind FROM packed)"""
+
+
+def _kinds(spark, sf_dir):
+    n = F.col("node_id")
+    seven = (F.col("file_type") == "FileZip") & (n % 3 == 2)
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    rows = _classified(spark, sf_dir).withColumns({"kind": F.when(seven, "FileSevenZip").otherwise(F.col("file_type")), "structure": F.when(seven, pick(_SEVENS)).otherwise(pick(_ZIPS))})
+    archive = F.when(F.col("kind") == "FileSevenZip", "SevenZip").otherwise("Zip")
+    return rows.withColumns({"source_kind": planning.source_kind(F.col("kind"), F.col("structure"), F.col("md5_verified"), n % 2 == 0), "dest_kind": planning.destination_kind(F.col("kind"), archive, F.col("structure")), "zero": attributes.zero_length()})
+
+
+@query(f"WITH {_CLASSIFIED}, {_PACKED} SELECT node_id, source_kind, dest_kind FROM kinds")
+def fix_kinds(spark, sf_dir):
+    return _kinds(spark, sf_dir).select("node_id", "source_kind", "dest_kind")
 
 
 @query(
-    f"""WITH {_CLASSIFIED}, prio(dest_kind, source_kind, rank, style) AS (VALUES {_PRIORITY}),
-    w AS (SELECT group_id, node_id AS dest_id, CASE node_id % 3 WHEN 0 THEN 'ZipTrrnt' WHEN 1 THEN 'SevenZipNZSTD' ELSE 'File' END AS dest_kind FROM classified WHERE new_status = 'CanBeFixed'),
-    s AS (SELECT group_id, node_id AS source_id, {_KINDS}[node_id % 6 + 1] AS source_kind FROM classified WHERE got_status = 'Got')
-    SELECT dest_id, source_id, source_kind, CAST(rank AS INTEGER) AS rank, CASE WHEN style IN ('RawCopyOnceVerified', 'Compress') THEN 'DecompressRecompress' ELSE style END AS style
-    FROM w JOIN s USING (group_id) JOIN prio USING (dest_kind, source_kind) QUALIFY rank() OVER (PARTITION BY dest_id ORDER BY rank) = 1"""
+    f"""WITH {_CLASSIFIED}, {_PACKED}, prio(dest_kind, source_kind, rank, style) AS (VALUES {_PRIORITY}),
+    w AS (SELECT *, {_ZERO} AS zero FROM kinds WHERE new_status IN ('CanBeFixed', 'CorruptCanBeFixed')),
+    ranked AS (SELECT m.node_id AS dest_id, s.node_id AS source_id, s.source_kind, p.rank, p.style FROM w m JOIN kinds s ON s.group_id = m.group_id AND s.got_status = 'Got' AND {_fixes('m', 's')} JOIN prio p ON p.dest_kind = m.dest_kind AND p.source_kind = s.source_kind
+        WHERE NOT m.zero QUALIFY rank() OVER (PARTITION BY m.node_id ORDER BY p.rank) = 1)
+    SELECT dest_id, source_id, source_kind, CAST(rank AS INTEGER) AS rank, CASE WHEN style IN ('RawCopyOnceVerified', 'Compress') THEN 'DecompressRecompress' ELSE style END AS style FROM ranked
+    UNION ALL SELECT node_id, NULL, NULL, NULL, 'Zero' FROM w WHERE zero"""
 )
 def fix_source(spark, sf_dir):
-    rows = _classified(spark, sf_dir)
-    n = F.col("node_id")
-    wanted = rows.where("new_status = 'CanBeFixed'").select("group_id", n.alias("dest_id"), F.when(n % 3 == 0, "ZipTrrnt").when(n % 3 == 1, "SevenZipNZSTD").otherwise("File").alias("dest_kind"))
-    kinds = F.array(*map(F.lit, ["ZipTrrnt_V", "Zip_U", "7SZSTD_U_SF", "File_V", "7_U_MF", "ZipZSTD_V"]))
-    sources = rows.where("got_status = 'Got'").select("group_id", n.alias("source_id"), F.element_at(kinds, (n % 6 + 1).cast("int")).alias("source_kind"))
-    return planning.fix_source(wanted, sources)
+    rows = _kinds(spark, sf_dir)
+    wanted = rows.where("new_status in ('CanBeFixed', 'CorruptCanBeFixed')").withColumn("dest_id", F.col("node_id"))
+    return planning.fix_source(wanted, rows.where("got_status = 'Got'").withColumn("source_id", F.col("node_id")))
+
+
+_LIVE = ", ".join(repr(x) for x in planning.LIVE)
 
 
-@query(f"WITH {_CLASSIFIED} SELECT x.node_id, size = 0 OR EXISTS (SELECT 1 FROM classified y WHERE y.group_id = x.group_id AND y.got_status = 'Got' AND y.new_status <> 'Delete') AS safe FROM classified x WHERE new_status = 'Delete'")
+@query(
+    f"""WITH {_CLASSIFIED} SELECT x.node_id, (root_kind = 'staging' AND lower(name) LIKE '%.cue') OR ({_ZERO})
+        OR EXISTS (SELECT 1 FROM classified y WHERE y.group_id = x.group_id AND y.got_status = 'Got' AND y.new_status IN ({_LIVE}) AND {_fixes('x', 'y')}) AS safe FROM classified x WHERE new_status = 'Delete'"""
+)
 def safe_delete(spark, sf_dir):
     return planning.safe_delete(_classified(spark, sf_dir)).select("node_id", "safe")
 
 
-@query(f"WITH {_CLASSIFIED} SELECT x.node_id, CASE WHEN new_status = 'NeededForFix' AND NOT EXISTS (SELECT 1 FROM classified y WHERE y.group_id = x.group_id AND y.new_status IN ('CanBeFixed', 'CorruptCanBeFixed')) THEN 'Delete' ELSE new_status END AS released FROM classified x WHERE group_id IS NOT NULL")
+@query(
+    f"""WITH {_CLASSIFIED} SELECT x.node_id, CASE WHEN new_status NOT IN ('NeededForFix', 'Rename') THEN new_status WHEN locked THEN CASE WHEN root_kind = 'staging' THEN 'InToSort' ELSE 'Unknown' END
+        WHEN NOT EXISTS (SELECT 1 FROM classified y WHERE y.group_id = x.group_id AND y.new_status = 'CanBeFixed' AND y.node_id % 3 <> 0) THEN 'Delete' ELSE new_status END AS released FROM (SELECT * FROM classified WHERE new_status <> 'CanBeFixed' OR node_id % 3 <> 0) x"""
+)
 def release_sources(spark, sf_dir):
-    return planning.release_sources(_classified(spark, sf_dir)).select("node_id", "released")
+    """After every third fix has been done."""
+    return planning.release_sources(_classified(spark, sf_dir).where("new_status <> 'CanBeFixed' or node_id % 3 <> 0"), renames=True).select("node_id", "released")
 
 
 @query(
@@ -566,11 +686,11 @@ def parse_size(spark, sf_dir):
     return fx.table(spark, sf_dir, "orders").select("o_orderkey", scalars.parse_size(raw).alias("size"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+@query("SELECT o_orderkey, strftime(date_trunc('day', o_orderdate) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) + to_minutes(CAST(o_orderkey % 60 AS INTEGER)) + to_seconds(CAST(o_orderkey % 30 * 2 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS time FROM orders")
 def dos_time(spark, sf_dir):
     d = F.col("o_orderdate")
-    packed = F.shiftleft((F.year(d) - 1980).cast("long"), 25) + F.shiftleft(F.month(d).cast("long"), 21) + F.shiftleft(F.day(d).cast("long"), 16)
-    return fx.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(scalars.dos_time(packed), "yyyy-MM-dd").alias("day"))
+    packed = F.shiftleft((F.year(d) - 1980).cast("long"), 25) + F.shiftleft(F.month(d).cast("long"), 21) + F.shiftleft(F.day(d).cast("long"), 16) + F.shiftleft(F.col("o_orderkey") % 24, 11) + F.shiftleft(F.col("o_orderkey") % 60, 5) + F.col("o_orderkey") % 30
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(scalars.dos_time(packed), "yyyy-MM-dd HH:mm:ss").alias("time"))
 
 
 # ---- further steps of catalogs
@@ -667,7 +787,7 @@ def archive_actions(spark, sf_dir):
     return planning.archive_actions(members, archives).select("archive", "action")
 
 
-@query(f"WITH i AS ({_INV}) SELECT node_id, CASE WHEN coalesce(crc, sha1, md5) IS NULL AND node_id % 3 = 0 THEN name LIKE '_%/' ELSE size = 0 END AS empty FROM i")
+@query(f"WITH z AS (SELECT node_id, name, size, CASE WHEN size = 0 THEN '{_E['crc']}' ELSE crc END AS crc, CASE WHEN size = 0 THEN '{_E['sha1']}' ELSE sha1 END AS sha1, CASE WHEN size = 0 THEN '{_E['md5']}' ELSE md5 END AS md5 FROM ({_INV})) SELECT node_id, {_ZERO} AS empty FROM z")
 def zero_length(spark, sf_dir):
     rows = _inv(spark, sf_dir)
     blank = F.col("size") == 0
@@ -691,3 +811,61 @@ def file_times(spark, sf_dir):
     seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
     show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return fx.table(spark, sf_dir, "orders").select("o_orderkey", show(scalars.unix_time(seconds)).alias("unix"), show(scalars.ntfs_time((seconds + 11644473600) * 10000000)).alias("ntfs"))
+
+
+# ---- catalog formats: one catalog a source and language, written by plain expressions and read by the readers
+
+_LISTED = "SELECT source, lang, doc_id, 's' || CAST(doc_id AS STRING) AS set_name, 'r' || CAST(doc_id % 7 AS STRING) || ' & <b>.bin' AS name, CAST(n_chars AS STRING) AS size, substr(md5(text), 1, 8) AS crc FROM documents"
+
+
+def _texts(spark, sf_dir, element, head, tail):
+    """(path, content): catalogs as bytes. A set is a few hundred bytes, and sets are spread over 64 catalogs a source."""
+    docs = fx.table(spark, sf_dir, "documents").withColumns({"set_name": F.concat(F.lit("s"), F.col("doc_id").cast("string")), "name": F.concat(F.lit("r"), (F.col("doc_id") % 7).cast("string"), F.lit(" & <b>.bin")), "size": F.col("n_chars").cast("string"), "crc": F.substring(F.md5("text"), 1, 8)})
+    entries = docs.select(F.concat_ws("/", "source", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).cast("string")).alias("path"), F.struct("doc_id", element.alias("x")).alias("e"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["x"]), "\n")
+    return entries.groupBy("path").agg(F.encode(F.concat(F.lit(head + "\n"), lines, F.lit("\n" + tail)), "UTF-8").alias("content"))
+
+
+def _catalog(name: str, sql: str, element, head: str, tail: str, *columns: str):
+    def read(spark, sf_dir):
+        return sources.parse_catalogs(_texts(spark, sf_dir, element(), head, tail)).selectExpr(*columns)
+
+    QUERIES[name], SQL[name] = read, f"WITH l AS ({_LISTED}) {sql}"
+
+
+def _put(pattern: str):
+    """The pattern with {set_name}, {size}, {crc}, {name} and {xml_name} filled in."""
+    def fill():
+        out = F.lit(pattern)
+        values = {c: F.col(c) for c in ("set_name", "size", "crc", "name")} | {"xml_name": F.replace(F.replace("name", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))}
+        for key, value in values.items():
+            out = F.replace(out, F.lit(f"{{{key}}}"), value)
+        return out
+
+    return fill
+
+
+_catalog(
+    "xml_catalog",
+    "SELECT set_name, name, size, crc, 'dd' AS sha256, 'p' || set_name AS cloneof, '7' AS id, '9' AS cloneof_id, 'yes' AS is_bios, 'yes' AS mia, 'A|B' AS categories, 'dev1|dev2' AS device_refs, CAST(NULL AS STRING) AS status, false AS is_disk FROM l UNION ALL SELECT set_name, 'disk', NULL, NULL, NULL, 'p' || set_name, '7', '9', 'yes', NULL, 'A|B', 'dev1|dev2', 'nodump', true FROM l",
+    _put('<game name="{set_name}" cloneof="p{set_name}" id="7" cloneofid="9" isbios="yes"><category>A</category><category>B</category><description>d</description><rom name="{xml_name}" size="{size}" crc="{crc}" sha256="dd" mia="yes"/><disk name="disk" status="nodump"/><device_ref name="dev1"/><device_ref name="dev2"/></game>'),
+    '<?xml version="1.0"?><datafile><header><name>n</name></header>', "</datafile>",
+    "set_name", "name", "size", "crc", "sha256", "cloneof", "id", "cloneof_id", "is_bios", "mia", "array_join(category, '|') categories", "array_join(device_ref, '|') device_refs", "status", "is_disk",
+)
+_catalog(
+    "softlist_catalog", "SELECT set_name, name, CAST(CAST(size AS BIGINT) + 6 AS STRING) AS size, crc, 'k' AS cloneof FROM l",
+    _put('<software name="{set_name}" cloneof="k"><part name="p"><dataarea name="a"><rom name="{xml_name}" size="{size}" crc="{crc}"/><rom loadflag="continue" size="4"/><rom loadflag="ignore" size="0x2"/></dataarea></part></software>'),
+    '<?xml version="1.0"?><softwarelist name="l">', "</softwarelist>", "set_name", "name", "size", "crc", "cloneof",
+)
+_catalog(
+    "cmpro_catalog", "SELECT set_name || ' one' AS set_name, name, size, crc, 'baddump' AS status, 'm' AS merge FROM l",
+    _put('game (\n\tname "{set_name} one"\n\tdescription "d"\n\trom ( name "{name}" merge m size {size} crc {crc} baddump )\n)'), 'clrmamepro (\n\tname "n"\n)', "", "set_name", "name", "size", "crc", "status", "merge",
+)
+_catalog(
+    "doscenter_catalog", "SELECT set_name, name, size, crc, '1990/01/02 03:04:05' AS date FROM l",
+    _put('game (\n\tname "{set_name}.zip"\n\tfile ( name {name} size {size} date 1990/01/02 03:04:05 crc {crc} )\n)'), "DOSCenter (\n\tName: x\n)", "", "set_name", "name", "size", "crc", "date",
+)
+_catalog(
+    "romcenter_catalog", "SELECT set_name, name, size, crc, 'p' AS cloneof, 'ro' AS romof, 'm' AS merge FROM l",
+    _put("¬p¬pd¬{set_name}¬gd¬{name}¬{crc}¬{size}¬ro¬m¬"), "[CREDITS]\nauthor=x\n[GAMES]", "", "set_name", "name", "size", "crc", "cloneof", "romof", "merge",
+)

@@ -9,11 +9,15 @@ from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIELDS = ["set_name", "name", "size", "crc", "sha1", "md5", "merge", "status", "cloneof", "romof", "description", "is_disk"]
-SCHEMA = "path string, format string, ord long, set_name string, name string, size string, crc string, sha1 string, md5 string, merge string, status string, cloneof string, romof string, description string, is_disk boolean"
+_ROM = ["name", "size", "crc", "sha1", "md5", "sha256", "merge", "status", "region", "mia", "date"]
+_SET = ["cloneof", "romof", "sampleof", "description", "manufacturer", "year", "board", "sourcefile", "id", "cloneof_id", "is_bios", "is_device", "runnable"]
+_NAMED = {"cloneofid": "cloneof_id", "isbios": "is_bios", "isdevice": "is_device"}
+FIELDS = ["set_name", *_ROM, *_SET, "category", "device_ref", "more", "is_disk"]
+SCHEMA = "path string, format string, ord long, set_name string, " + ", ".join(f"{c} string" for c in (*_ROM, *_SET)) + ", category array<string>, device_ref array<string>, more map<string,string>, is_disk boolean"
 
 
 def sniff(text: str) -> str:
@@ -31,8 +35,23 @@ def sniff(text: str) -> str:
 
 
 def _item(set_name: str | None, own: dict, shared: dict, disk: bool = False) -> dict:
-    row = {k: own.get(k) for k in ("name", "size", "crc", "sha1", "md5", "merge", "status")}
-    return {"set_name": set_name, **row, **{k: shared.get(k) for k in ("cloneof", "romof", "description")}, "is_disk": disk}
+    """One item; `more` holds what a set says in a block of its own (publisher, genre and the like)."""
+    given = {_NAMED.get(k, k): v for k, v in shared.items()}
+    row = {k: own.get(k) for k in _ROM} | {k: given.get(k) for k in _SET}
+    return {"set_name": set_name, **row, **{k: given.get(k) or None for k in ("category", "device_ref", "more")}, "is_disk": disk}
+
+
+_TEXTS = ("description", "manufacturer", "year", "board")
+_BLOCKS = ("emuarc", "trurip", "tosec")
+
+
+def _texts_of(node: ET.Element) -> dict:
+    """What a set's element says beside its items."""
+    out: dict = {k: v.text for k in _TEXTS if (v := node.find(k)) is not None}
+    out["category"] = [x.text for x in node.findall("category") if x.text]
+    out["device_ref"] = [x.get("name") for x in node.findall("device_ref") if x.get("name")]
+    out["more"] = {x.tag: x.text for tag in _BLOCKS for block in node.findall(tag) for x in block if x.text}
+    return out
 
 
 def parse_xml(text: str) -> Iterator[dict]:
@@ -44,7 +63,7 @@ def parse_xml(text: str) -> Iterator[dict]:
             if child.tag == "dir":
                 yield from walk(child, folder + child.get("name", "") + "/")
             elif child.tag in ("game", "machine", "software"):
-                shared = {**child.attrib, "description": child.findtext("description")}
+                shared = {**child.attrib, **_texts_of(child)}
                 name = folder + child.get("name", "")
                 last = None
                 for part in child.iter():
@@ -97,6 +116,7 @@ def parse_cmpro(text: str) -> Iterator[dict]:
         for key, value in block:
             if isinstance(value, list):
                 shared = {k: v for k, v in value if isinstance(v, str)}
+                shared |= {"category": [v for k, v in value if k == "category" and isinstance(v, str)], "device_ref": [v for k, v in value if k == "device_ref" and isinstance(v, str)]}
                 if key == "dir":
                     yield from walk(value, folder + shared.get("name", "") + "/")
                 elif key in ("game", "machine", "resource"):
@@ -116,8 +136,8 @@ def parse_doscenter(text: str) -> Iterator[dict]:
     name = None
     for line in text.splitlines():
         if m := _DOS_FILE.match(line):
-            rest = m[3].split()
-            yield _item(name, {"name": m[1], "size": m[2], **dict(zip(rest[::2], rest[1::2], strict=False))}, {})
+            rest = dict(re.findall(r"(?i)\b(date|crc|md5|sha1|sha256)\s+(\S+(?:\s+\d+:\d+(?::\d+)?)?)", m[3]))
+            yield _item(name, {"name": m[1], "size": m[2], **{k.lower(): v for k, v in rest.items()}}, {})
         elif m := re.match(r'^\s*name\s+"?(.*?)"?\s*$', line, re.IGNORECASE):
             name = re.sub(r"(?i)\.zip$", "", m[1])
 
@@ -196,17 +216,30 @@ def parse(content: bytes) -> tuple[str, list[dict]]:
         return "unknown", []
 
 
-def read_catalogs(spark: SparkSession, path: str) -> DataFrame:
-    """Items of all .dat, .xml and .datz files below path, whatever their formats."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{dat,xml,datz}").load(path)
+def parse_catalogs(files: DataFrame) -> DataFrame:
+    """files(path, content) to their items, whatever their formats."""
+    kinds = {"category": pa.list_(pa.string()), "device_ref": pa.list_(pa.string()), "more": pa.map_(pa.string(), pa.string()), "is_disk": pa.bool_(), "ord": pa.int64()}
+    arrow = pa.schema([(c, kinds.get(c, pa.string())) for c in ["path", "format", "ord", *FIELDS]])
 
     def run(batches):
         for b in batches:
-            for where, content in zip(b["path"], b["content"], strict=True):
+            rows: list[dict] = []
+            for where, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 kind, items = parse(content)
-                yield pd.DataFrame([{"path": where, "format": kind, "ord": i, **x} for i, x in enumerate(items)], columns=["path", "format", "ord", *FIELDS])
+                for i, x in enumerate(items):
+                    rows.append({"path": where, "format": kind, "ord": i, **x, "more": list((x["more"] or {}).items()) or None})
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_pylist(rows, arrow)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+def read_catalogs(spark: SparkSession, path: str) -> DataFrame:
+    """Items of all .dat, .xml and .datz files below path, whatever their formats."""
+    return parse_catalogs(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{dat,xml,datz}").load(path))
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -229,29 +262,38 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_large_xml(spark: SparkSession, path: str, row_tag: str = "game") -> DataFrame:
-    """One large XML catalog, split over tasks by Spark's own reader with a fixed schema."""
-    rom = "array<struct<_name:string,_size:string,_crc:string,_sha1:string,_md5:string,_merge:string,_status:string>>"
-    games = spark.read.format("xml").option("rowTag", row_tag).schema(f"_name string, _cloneof string, _romof string, description string, rom {rom}").load(path)
-    each = games.select("_name", "_cloneof", "_romof", "description", F.posexplode("rom").alias("ord", "r"))
-    return each.select(F.col("_name").alias("set_name"), F.col("r._name").alias("name"), *(F.col(f"r._{c}").alias(c) for c in ("size", "crc", "sha1", "md5", "merge", "status")), F.col("_cloneof").alias("cloneof"), F.col("_romof").alias("romof"), "description", "ord")
-
-
-def xml_lines(items: DataFrame) -> DataFrame:
-    """(set_name, value): one game element a set, for write.text between a header and a closing tag. Blank attributes and
-    status good are left out. Sets are made from their own rows alone."""
+    """One large XML catalog, split over tasks by Spark's own reader with a fixed schema. Items without a place of their
+    own in files are numbered within their set, disks after roms."""
+    entry = "array<struct<" + ",".join(f"_{c}:string" for c in _ROM) + ">>"
+    names = {"cloneof": "_cloneof", "romof": "_romof", "id": "_id", "cloneof_id": "_cloneofid", "is_bios": "_isbios", "is_device": "_isdevice", "runnable": "_runnable", "description": "description", "year": "year", "manufacturer": "manufacturer"}
+    schema = "_name string, " + ", ".join(f"{c} string" for c in names.values()) + f", category array<string>, device_ref array<struct<_name:string>>, rom {entry}, disk {entry}"
+    games = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+    none = F.array().cast(entry)
+    tagged = lambda c, disk: F.transform(F.coalesce(c, none), lambda r: F.struct(r.alias("r"), F.lit(disk).alias("is_disk")))
+    each = games.withColumn("all", F.concat(tagged("rom", False), tagged("disk", True))).select("*", F.posexplode("all").alias("ord", "x"))
+    refs = F.transform("device_ref", lambda d: d["_name"]).alias("device_ref")
+    return each.select(F.col("_name").alias("set_name"), *(F.col(f"x.r._{c}").alias(c) for c in _ROM), *(F.col(v).alias(k) for k, v in names.items()), "category", refs, "ord", "x.is_disk")
+
+
+def xml_lines(items: DataFrame, old_style: bool = True) -> DataFrame:
+    """(set_name, value): one element a set (game, or in the new style set and file), for write.text between a header and
+    a closing tag. Disks are disks; blank attributes and status good are left out. Sets are made from their own rows alone."""
+    element, file_tag = ("game", "rom") if old_style else ("set", "file")
 
     def run(batches):
         for b in batches:
             rows = []
             for name, roms in zip(b["set_name"], b["roms"], strict=True):
-                parts = [f"\t<game name={quoteattr(name or '')}>"]
+                parts = [f"\t<{element} name={quoteattr(name or '')}>"]
                 for r in roms:
                     given = {k: r[k] for k in ("name", "size", "crc", "sha1", "md5", "status") if r[k] is not None and str(r[k]) and not (k == "status" and r[k] == "good")}
-                    parts.append("\t\t<rom " + " ".join(f"{k}={quoteattr(str(v))}" for k, v in given.items()) + "/>")
-                rows.append((name, "\n".join([*parts, "\t</game>"])))
+                    tag = "disk" if r["is_disk"] else file_tag
+                    parts.append(f"\t\t<{tag} " + " ".join(f"{k}={quoteattr(str(v))}" for k, v in given.items()) + "/>")
+                rows.append((name, "\n".join([*parts, f"\t</{element}>"])))
             yield pd.DataFrame(rows, columns=["set_name", "value"])
 
-    fields = F.struct("ord", "name", "size", "crc", "sha1", "md5", "status")
+    disk = F.coalesce("is_disk", F.lit(False)) if "is_disk" in items.columns else F.lit(False)
+    fields = F.struct("ord", "name", "size", "crc", "sha1", "md5", "status", disk.alias("is_disk"))
     return items.groupBy("set_name").agg(F.array_sort(F.collect_list(fields)).alias("roms")).mapInPandas(run, "set_name string, value string")
 
 

@@ -12,9 +12,11 @@ _own: list[str] = []
 
 
 def _base(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (local runs)."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own if everything runs in one process."""
     if given := spark.conf.get("spark.checkpoint.dir", None):
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="ledgerlark-"))
     return f"file://{_own[0]}"

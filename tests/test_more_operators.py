@@ -4,8 +4,9 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from ledgerlark.functions import scalars
-from ledgerlark.operators import attributes, cleaning, planning
+from ledgerlark.functions import scalars, sortkeys
+from ledgerlark.operators import attributes, cleaning, planning, state
+from ledgerlark.operators import catalogs as transforms
 from ledgerlark.sources import catalogs, inventory, settings
 
 
@@ -119,3 +120,52 @@ def test_settings_and_actions(spark):
     dirs, children = spark.createDataFrame([("a",), ("b",)], "path string"), spark.createDataFrame([("a", 1)], "parent string, i int")
     assert [r.path for r in cleaning.without_empty_directories(dirs, children).collect()] == ["a"]
     assert cleaning.cleared(nodes, "mtime").first().mtime is None
+
+
+def test_all_fields_of_catalogs(spark, tmp_path):
+    machine = '<?xml version="1.0"?><datafile><dir name="d"><machine name="m" cloneof="p" id="5" cloneofid="6" isdevice="yes" runnable="no" sampleof="s"><year>1990</year><category>A</category><device_ref name="x"/><emuarc><publisher>me</publisher></emuarc><rom name="a" size="1" sha256="ff" mia="yes" date="2000"/><disk name="k" sha1="01"/></machine></dir></datafile>'
+    (tmp_path / "a.xml").write_text(machine)
+    rom, disk = catalogs.read_catalogs(spark, str(tmp_path)).orderBy("ord").collect()
+    assert (rom.set_name, rom.cloneof, rom.id, rom.cloneof_id, rom.is_device, rom.runnable, rom.sampleof, rom.year, rom.category, rom.device_ref, rom.more) == ("d/m", "p", "5", "6", "yes", "no", "s", "1990", ["A"], ["x"], {"publisher": "me"})
+    assert (rom.sha256, rom.mia, rom.date, rom.is_disk, disk.name, disk.is_disk, disk.sha1) == ("ff", "yes", "2000", False, "k", True, "01")
+    big = catalogs.read_large_xml(spark, str(tmp_path / "a.xml"), "machine").orderBy("ord").collect()
+    assert [(r.set_name, r.name, r.is_disk, r.sha256, r.device_ref) for r in big] == [("m", "a", False, "ff", ["x"]), ("m", "k", True, None, ["x"])]
+    lines = [r.value for r in catalogs.xml_lines(catalogs.read_catalogs(spark, str(tmp_path))).collect()]
+    assert lines == ['\t<game name="d/m">\n\t\t<rom name="a" size="1"/>\n\t\t<disk name="k" sha1="01"/>\n\t</game>']
+    assert catalogs.xml_lines(catalogs.read_catalogs(spark, str(tmp_path)), old_style=False).first().value.startswith('\t<set name="d/m">\n\t\t<file name')
+
+
+def test_code_page_names(spark):
+    names = ["plain.bin", "caf\u00e9", "\u4e2d", "a\tb", "", "\u2591", "x[]^-\\"]
+    got = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(scalars.is_cp437(F.col("n")), scalars.cp437_bytes(F.col("n"))).collect()
+    assert [r[0] for r in got] == [True, True, False, False, True, True, True]
+    assert [None if r[1] is None else bytes(r[1]) for r in got] == [n.encode("cp437") if ok else None for n, (ok, _) in zip(names, got, strict=True)]
+
+
+def test_orders_of_lists(spark):
+    df = spark.createDataFrame([("Correct", "b", 1), ("Missing", "a", None), ("Error", "c", 2), ("what", "d", 2)], "s string, n string, x int")
+    assert [r.s for r in df.orderBy(*sortkeys.display(F.col("s"))).collect()] == ["Error", "Missing", "Correct", "what"]
+    assert [r.n for r in df.orderBy(*sortkeys.grid(F.col("x"), F.col("n"), descending=True)).collect()] == ["c", "d", "b", "a"]
+    assert [r.n for r in df.orderBy(*sortkeys.grid(F.col("x"), F.col("n"))).collect()] == ["a", "b", "c", "d"]
+    cats = spark.createDataFrame([("B", 1, True), ("a", 2, False), ("a", 1, True), ("a", 1, False)], "n string, t int, f boolean")
+    assert [tuple(r) for r in cats.orderBy(*sortkeys.catalog(F.col("n"), F.col("t"), F.col("f"))).collect()] == [("a", 1, False), ("a", 1, True), ("a", 2, False), ("B", 1, True)]
+
+
+def test_small_steps(spark):
+    sets = spark.createDataFrame([("c", "a"), ("c", "a/b"), ("c", "x"), ("d", "a")], "cat_id string, name string")
+    items = spark.createDataFrame([("c", "a/b"), ("c", None)], "cat_id string, set_name string")
+    assert {tuple(r) for r in transforms.without_empty_sets(sets, items).collect()} == {("c", "a"), ("c", "a/b")}
+    loose = spark.createDataFrame([(None, "p/q.r.bin"), ("s", "t")], "set_name string, name string")
+    assert [r.set_name for r in transforms.files_as_sets(loose).collect()] == ["q.r", "s"]
+    assert cleaning.without_loose_files(loose).count() == 1
+    stat = spark.createDataFrame([("InDatCollect",), ("InDatMerged",), ("InDatNoDump",)], "dat_status string")
+    assert cleaning.only_collected(stat).count() == 2
+    dev = spark.createDataFrame([("yes", "no"), ("yes", "yes"), (None, None), ("YES", "No")], "isdevice string, runnable string")
+    assert cleaning.without_devices(dev).count() == 2
+    named = spark.createDataFrame([("n", "d", "r", "f"), ("n", " ", "", "f"), ("", None, None, "f")], "n string, d string, r string, f string")
+    assert [r[0] for r in named.select(transforms.auto_directory(F.col("n"), F.col("d"), F.col("r"), F.col("f"), F.lit(True))).collect()] == ["d", "n", "f"]
+    one = spark.range(1)
+    assert tuple(one.select(scalars.yes_no(F.lit(" TRUE ")), scalars.yes_no(F.lit(None).cast("string")), scalars.strip_chd(F.lit("a.ChD")), scalars.dat_path(F.lit("RomVault/a"), "RomVault", "DatRoot"), scalars.thousands(F.lit(1234567))).first()) == (True, False, "a", "DatRoot/a", "1,234,567")
+    files, known = spark.createDataFrame([("a", 1), ("b", 2)], "path string, mtime long"), spark.createDataFrame([("a", 1), ("b", 3)], "path string, mtime long")
+    scan, keep = state.unchanged(files, known)
+    assert [r.path for r in scan.collect()] == ["b"] and [r.path for r in keep.collect()] == ["a"]
