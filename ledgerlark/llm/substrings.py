@@ -5,18 +5,25 @@ goes that is covered by a window whose word sequence also starts in a document w
 on the input.
 
 1. Prefixes. Each word has a symbol of 8 bits (from its first, last and second byte and its length). A first pass over
-   all documents counts the suffixes (of at least `window` words) under each pair of leading symbols.
-2. Groups. The trie of symbols is cut into variable-length prefixes: neighbouring short prefixes share a group until it
-   holds `group_windows` suffixes; a prefix with more is lengthened by two more words and dealt to several groups. So a
-   group's size does not depend on how common its words are.
+   all documents counts the suffixes (of at least `window` words) under each pair of leading symbols, and takes a sample of
+   suffixes, whole windows of symbols, by a fixed stride (SAMPLES_A_GROUP strings for each group to be, which go to the
+   driver); the sample sets where groups begin and nothing else.
+2. Groups. Suffixes are ordered by their symbols. Cells of two symbols share a group until it holds `group_windows`
+   suffixes; a cell with more is cut by prefixes of any length, the shortest that tell neighbouring quantiles of its sample
+   apart. So a group's size does not depend on how common its first words are; only equal windows can't be parted, and they
+   are one suffix a block.
 3. Suffixes go to their group in packed form: the 64-bit label of the path to depth `window` and the place. A path label
    is built by doubling (labels of 1, 2, 4, ... words, each mixed from two of half the length). Before that, each block of
-   documents settles its own repeats: an occurrence that follows a smaller doc_id in the same block is settled there,
-   only the least document's occurrences travel. A passage in a third of all rows thus costs a few rows a block.
+   documents settles its own repeats: an occurrence that follows a smaller doc_id in the same block is settled there, and of
+   the least document's occurrences of a window the first travels, the others follow its fate. A passage in a third of
+   all rows thus costs a row a block.
 4. Subtrees. In a group, suffixes sorted by label are the leaves of its subtree in order; equal labels are the internal
    nodes at depth `window`. At such a node all leaves but those of the least document are repeats. Runs of them along a
    document are the maximal repeats; they go back to their block and become cover per document.
 
+Labels are only compared within a group, and groups differ in words; so n windows have n * group_windows / 2^65 pairs, in
+expectation, that are taken for equal and are not.
+
 Edge cases: null text: no words. A row with a null doc_id takes no part: nothing is removed from it, nor on its account.
 Rows that share a doc_id never remove each other's words and are told apart by a hash of their text. Empty tables give
 empty results. Texts of any length are processed whole (a document is never split; memory follows the longest one).
@@ -33,12 +40,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm._shared import as_bytes, materialise, release_shuffles
+from ledgerlark.llm._shared import as_bytes, discard, materialise, release_shuffles
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_CELLS = 1 << 16
+_CELLS, SAMPLES_A_GROUP = 1 << 16, 32
 
 
 def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -94,53 +101,91 @@ def _from_planes(x: bytes) -> np.ndarray:
 _NAMES = ["part", "block", "kind", "ids", "labels", "places"]
 _SCHEMA = "part int, block long, kind int, ids binary, labels binary, places binary"
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-_SUFFIXES, _TABLE, _SETTLED = 0, 1, 2
+_SUFFIXES, _TABLE, _SETTLED, _COPIES = 0, 1, 2, 3
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
 
-def _windows_by_prefix(docs: DataFrame, window: int) -> np.ndarray:
-    """Suffixes of at least `window` words under each pair of leading symbols, over all documents: 65,536 counts."""
+def _windows_by_prefix(docs: DataFrame, window: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of at least `window` words under each pair of leading symbols, over all documents (65,536 counts), and a
+    sorted sample of them as strings of `window` symbols: every stride-th of a task."""
 
     def run(batches):
-        counts = np.zeros(_CELLS, np.int64)
+        counts, taken, seen = np.zeros(_CELLS, np.int64), [], 0
         for b in batches:
             for x in as_bytes(b.column(0)):
                 if x and len(x) >= 2 * window - 1:
-                    s = symbols(x).astype(np.int32)
+                    s = symbols(x)
                     n = len(s) - window + 1
                     if n > 0:
-                        second = s[1 : n + 1] if window > 1 else np.zeros(n, np.int32)
-                        counts += np.bincount((s[:n] << 8) + second, minlength=_CELLS)
+                        second = s[1 : n + 1] if window > 1 else np.zeros(n, np.uint8)
+                        counts += np.bincount((s[:n].astype(np.int32) << 8) + second, minlength=_CELLS)
+                        taken += [s[i : i + window].tobytes() for i in range(-seen % stride, n, stride)]
+                        seen += n
         full = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(counts[full])], ["cell", "n"])
+        columns = [pa.array(np.append(full, -1).astype(np.int32)), pa.array(np.append(counts[full], 0)), pa.array([None] * len(full) + [b"".join(taken)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["cell", "n", "sample"])
 
-    found = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = materialise(docs.select("text").mapInArrow(run, "cell int, n long, sample binary"))
+    cells = found.where("cell >= 0").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(_CELLS, np.int64)
-    out[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    out[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
+    sample = b"".join(r["sample"] for r in found.where("cell < 0").select("sample").toLocalIterator())
+    discard(found)
+    return out, np.sort(np.frombuffer(sample, f"V{window}").view(f"S{window}")) if sample else np.empty(0, f"S{window}")
+
+
+class Groups:
+    """Where suffixes go: `first` has each cell's group; suffixes of cells in `cut` go on by how many of the sorted prefixes
+    in `bounds` are not above their symbols. `total` is the number of groups."""
+
+    def __init__(self, counts: np.ndarray, sample: np.ndarray, window: int, group_windows: int):
+        self.first, self.cut, bounds = np.zeros(len(counts), np.int32), np.zeros(len(counts), bool), []
+        group, held = 0, 0
+        for cell in np.flatnonzero(counts):
+            n = int(counts[cell])
+            own = []
+            if n > group_windows:
+                low, high = (np.searchsorted(sample, np.array([bytes([c >> 8, c & 255])[: min(window, 2)]], sample.dtype))[0] if c < len(counts) else len(sample) for c in (cell, cell + (1 if window > 1 else 256)))
+                own = _prefixes_at(sample[low:high], -(-n // group_windows))
+            if held and (own or held + n > group_windows):
+                group, held = group + 1, 0
+            self.first[cell] = group
+            if own:
+                self.cut[cell] = True
+                bounds += own
+                group += len(own) + 1
+            else:
+                held += n
+        self.total = group + (held > 0)
+        self.bounds = np.array(sorted(bounds), sample.dtype) if bounds else np.empty(0, sample.dtype)
+
+    def of(self, cell: np.ndarray, windows_at) -> np.ndarray:
+        """Groups of suffixes; windows_at(rows) gives the symbols of some of them."""
+        out = self.first[cell]
+        rows = np.flatnonzero(self.cut[cell])
+        for i in range(0, len(rows), 1 << 16):
+            part = rows[i : i + (1 << 16)]
+            start = np.searchsorted(self.bounds, np.stack([cell[part] >> 8, cell[part] & 255], axis=1).astype(np.uint8).copy().view("S2").ravel().astype(self.bounds.dtype))
+            out[part] += (np.searchsorted(self.bounds, windows_at(part), "right") - start).astype(np.int32)
+        return out
+
+
+def _prefixes_at(sample: np.ndarray, parts: int) -> list[bytes]:
+    """Prefixes that cut a sorted sample into that many parts of about one size, each the shortest that tells its quantile
+    from the string before; fewer, where strings repeat."""
+    out = []
+    for at in np.unique(np.arange(1, parts) * len(sample) // parts):
+        if 0 < at < len(sample) and sample[at] != sample[at - 1]:
+            a, b = bytes(sample[at - 1]), bytes(sample[at])
+            n = next((i for i in range(len(b)) if i >= len(a) or a[i] != b[i]), len(b))
+            out.append(b[: n + 1])
     return out
 
 
-def prefix_groups(counts: np.ndarray, group_windows: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(first group of each cell, groups it is dealt to, groups in all)."""
-    first, split = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32)
-    group, held = 0, 0
-    for cell in np.flatnonzero(counts):
-        n = int(counts[cell])
-        if held and held + n > group_windows:
-            group, held = group + 1, 0
-        first[cell] = group
-        if n > group_windows:
-            split[cell] = -(-n // group_windows)
-            group += int(split[cell])
-        else:
-            held += n
-    return first, split, group + (held > 0)
-
-
-def _block_rows(block: int, ids: list[int], tags: list[int], texts: list[bytes], window: int, first: np.ndarray, split: np.ndarray, parts: int):
+def _block_rows(block: int, ids: list[int], tags: list[int], texts: list[bytes], window: int, groups: Groups, parts: int):
     """The rows that one block of documents sends on."""
     order = np.argsort(np.array(ids, np.int64), kind="stable")
     id_of, tag_of = np.array(ids, np.int64)[order], np.array(tags, np.int64)[order]
@@ -161,22 +206,29 @@ def _block_rows(block: int, ids: list[int], tags: list[int], texts: list[bytes],
     del words
     by_label = np.argsort(label, kind="stable")  # places ascend with doc_id, so each node's first leaf has the least
     sorted_labels, leaf_id = label[by_label], id_of[doc[by_label]]
-    gone = np.zeros(len(label), bool)
-    gone[by_label[_beyond_least(sorted_labels, leaf_id)]] = True
-    del by_label, sorted_labels, leaf_id
+    gone, follows = np.zeros(len(label), bool), np.zeros(len(label), bool)
+    beyond = _beyond_least(sorted_labels, leaf_id)
+    gone[by_label[beyond]] = True
+    new = np.ones(len(label), bool)
+    new[1:] = sorted_labels[1:] != sorted_labels[:-1]
+    again = np.flatnonzero(~new & ~beyond)  # further occurrences in a least document
+    leader = by_label[np.maximum.accumulate(np.where(new, np.arange(len(label)), 0))[again]]
+    again = by_label[again]
+    follows[again] = True
+    del by_label, sorted_labels, leaf_id, beyond, new
     out = [(block % parts, block, _TABLE, np.stack([id_of, tag_of, starts]).astype("<i8").tobytes(), b"", b"")]
     if gone.any():
         out.append((block % parts, block, _SETTLED, b"", b"", _planes(place[gone])))
-    place, label, doc = place[~gone], label[~gone], doc[~gone]
-    at = lambda k, of: sym[np.minimum(place[of] + k, len(sym) - 1)].astype(np.int32)
-    cell = (at(0, slice(None)) << 8) + (at(1, slice(None)) if window > 1 else 0)
-    group = first[cell]
-    several = np.flatnonzero(split[cell] > 1)
-    if len(several):  # the prefix is lengthened; under 4 words, by the label itself
-        longer = (at(2, several) << 8) + at(3, several) if window > 3 else (label[several] >> np.uint64(48)).astype(np.int32)
-        spread = (longer.astype(np.int64) * 40503 + (longer >> 5)) & 0xFFFF
-        group[several] += (spread * split[cell[several]] >> 16).astype(np.int32)
-    del cell, sym
+    if len(again):
+        pairs = np.stack([place[leader], place[again]])
+        out.append((block % parts, block, _COPIES, b"", zstandard.ZstdCompressor(level=1).compress(pairs[:, np.argsort(pairs[1])].astype("<u4").tobytes()), b""))
+    travels = ~(gone | follows)
+    place, label, doc = place[travels], label[travels], doc[travels]
+    at = lambda k: sym[np.minimum(place + k, len(sym) - 1)].astype(np.int32)
+    cell = (at(0) << 8) + (at(1) if window > 1 else 0)
+    every = np.lib.stride_tricks.sliding_window_view(sym, window) if len(sym) >= window else sym.reshape(1, -1)
+    group = groups.of(cell, lambda rows: np.ascontiguousarray(every[place[rows]]).view(f"S{window}").ravel())
+    del cell, sym, every
     by_group = np.argsort(group, kind="stable")
     group, place, label, doc = group[by_group], place[by_group], label[by_group], doc[by_group]
     cuts = np.flatnonzero(np.diff(group, prepend=-1))
@@ -197,14 +249,14 @@ def _beyond_least(labels: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ids > ids[first]
 
 
-def _send(docs: DataFrame, window: int, first: np.ndarray, split: np.ndarray, parts: int, block_bytes: int) -> DataFrame:
+def _send(docs: DataFrame, window: int, groups: Groups, parts: int, block_bytes: int) -> DataFrame:
     def run(batches):
         block, ids, tags, texts, size = TaskContext.get().partitionId() << 24, [], [], [], 0
 
         def flush():
             nonlocal block, ids, tags, texts, size
             if ids:
-                rows = _block_rows(block, ids, tags, texts, window, first, split, parts)
+                rows = _block_rows(block, ids, tags, texts, window, groups, parts)
                 for i in range(0, len(rows), 16):
                     yield _rows(rows[i : i + 16])
                 del rows
@@ -276,11 +328,14 @@ def _cover(grown: DataFrame, window: int) -> DataFrame:
     """grown: sorted by block within partitions. (doc_id, tag, cover): runs of words to remove, as (start, end) pairs."""
     names = ["doc_id", "tag", "cover"]
 
-    def documents(table: bytes, places: list[bytes]):
+    def documents(table: bytes, places: list[bytes], copies: list[bytes]):
         if not places:
             return
         id_of, tag_of, starts = np.frombuffer(table, "<i8").reshape(3, -1)
         place = np.unique(np.concatenate([_from_planes(p) for p in places]))
+        for x in copies:
+            leader, again = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4").reshape(2, -1).astype(np.int64)
+            place = np.union1d(place, again[np.isin(leader, place)])
         doc = np.searchsorted(starts, place, "right") - 1
         place = place - starts[doc]
         new = np.ones(len(place), bool)
@@ -295,18 +350,20 @@ def _cover(grown: DataFrame, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.binary()], strict=True)], names)
 
     def run(batches):
-        block, table, places = None, b"", []
+        block, table, places, copies = None, b"", [], []
         for b in batches:
-            for _, of, kind, ids, _, where in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for _, of, kind, ids, labels, where in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if of != block:
-                    if rows := list(documents(table, places)):
+                    if rows := list(documents(table, places, copies)):
                         yield batch(rows)
-                    block, table, places = of, b"", []
+                    block, table, places, copies = of, b"", [], []
                 if kind == _TABLE:
                     table = ids
+                elif kind == _COPIES:
+                    copies.append(labels)
                 else:
                     places.append(where)
-        if rows := list(documents(table, places)):
+        if rows := list(documents(table, places, copies)):
             yield batch(rows)
 
     return grown.mapInArrow(run, "doc_id long, tag long, cover binary")
@@ -328,10 +385,10 @@ def kept_text(text: bytes, cover: bytes | None) -> tuple[int, int, bytes]:
 def repeated_cover(docs: DataFrame, window: int = 50, group_windows: int = 1_000_000, block_bytes: int = 8_000_000) -> DataFrame:
     """docs: doc_id long, tag long (tells rows with one doc_id apart), text. Returns (doc_id, tag, cover) for each
     document that loses words, as a table in the shared folder."""
-    counts = _windows_by_prefix(docs, window)
-    first, split, groups = prefix_groups(counts, group_windows)
-    parts = max(1, groups)
-    sent = _send(docs, window, first, split, parts, block_bytes).repartition(parts, "part").sortWithinPartitions("part")
+    counts, sample = _windows_by_prefix(docs, window, max(1, group_windows // SAMPLES_A_GROUP))
+    groups = Groups(counts, sample, window, group_windows)
+    parts = max(1, groups.total)
+    sent = _send(docs, window, groups, parts, block_bytes).repartition(parts, "part").sortWithinPartitions("part")
     grown = _grow(sent).repartition(parts, "block").sortWithinPartitions("block")
     out = materialise(_cover(grown, window).dropDuplicates(["doc_id", "tag"]))  # repeated rows lose the same words
     del sent, grown

@@ -170,6 +170,34 @@ def test_substrings(docs, none, window, sizes):
     assert substrings.without_repeats(none).count() == 0
 
 
+def group_sizes(texts, window, group_windows):
+    """Suffixes that travel to each group, all texts in one block."""
+    every = np.concatenate([np.lib.stride_tricks.sliding_window_view(substrings.symbols(t), window) for t in texts])
+    sample = np.sort(np.ascontiguousarray(every[:: max(1, group_windows // substrings.SAMPLES_A_GROUP)]).view(f"S{window}").ravel())
+    counts = np.bincount((every[:, 0].astype(np.int64) << 8) + every[:, 1], minlength=1 << 16)
+    groups = substrings.Groups(counts, sample, window, group_windows)
+    rows = substrings._block_rows(0, list(range(len(texts))), [0] * len(texts), list(texts), window, groups, max(1, groups.total))
+    return {r[0]: len(r[4]) // 8 for r in rows if r[2] == substrings._SUFFIXES}, groups.total
+
+
+def test_groups_are_bounded():
+    r = random.Random(12)
+    phrase = " ".join(f"w{i}" for i in range(4))
+    same = [(" ".join([phrase] * 500)).encode() for _ in range(50)]
+    sizes, _ = group_sizes(same, 50, 1000)
+    assert sum(sizes.values()) == 4  # equal windows collapse
+    opened = [" ".join(f"{phrase} {phrase} v{r.randrange(10**6)}" for _ in range(200)).encode() for _ in range(50)]
+    sizes, total = group_sizes(opened, 50, 1000)
+    assert sum(sizes.values()) > 80_000 and max(sizes.values()) <= 2000 and total < 300
+
+
+def test_repeats_inside_one_document_follow_their_first(spark):
+    phrase = " ".join(f"w{i}" for i in range(7))
+    rows = [(1, " ".join([phrase] * 40)), (2, "x y " + " ".join([phrase] * 30) + " z"), (3, " ".join([phrase] * 12))]
+    found = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id"), 50, group_windows=20, block_bytes=100)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in found.collect()) == plain_repeats(rows, 50)
+
+
 def test_cut_repeats_keeps_columns(docs):
     cut = substrings.cut_repeats(docs)
     assert cut.columns == docs.columns
