@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.scalars import is_cp437
+from ledgerlark.functions.sortkeys import torrent_zip
 from ledgerlark.operators import attributes, status
+from ledgerlark.sources.archives import EMPTY_ZSTD, FIXED_TIME, STRUCTURES
 
 # For each destination, sources that can be copied raw, in order. _V is verified, _U is not.
 RAW = {
@@ -172,6 +177,31 @@ def archive_structure(members: DataFrame) -> DataFrame:
     return flags.groupBy("archive").agg((F.bit_or("slash").bitwiseOR(F.bit_or("order")).bitwiseOR(F.bit_or("repeat")).bitwiseOR(F.bit_or("dir"))).alias("flags"), F.count("*").alias("n_members"))
 
 
+def valid_structure(members: DataFrame) -> DataFrame:
+    """members as archives.read_members() has them, with `archive`: (archive, structure), the structure that its comment
+    claims if every member keeps to it, else None: method and time of the structure, local headers that agree, UTF-8 just
+    for names outside code page 437, no backslashes, names in order (A-Z folded) and once, no directory entries that the
+    next name implies, and the one right stream for empty members under zstd."""
+    by_kind = lambda i: F.try_element_at(F.create_map(*(F.lit(x) for kind, rule in STRUCTURES.items() for x in (kind, rule[i]))), F.col("claimed"))
+    order = Window.partitionBy("archive").orderBy("place")
+    key = torrent_zip(F.col("name"))[0]
+    after = F.lead(key).over(order)
+    dates = by_kind(2)
+    zstd_zero = (F.col("packed_size") == len(EMPTY_ZSTD) // 2) & (F.lower(F.hex("packed_head")) == EMPTY_ZSTD)
+    kept = [
+        F.col("header_ok"),
+        F.col("method") == by_kind(1),
+        (dates == "any") | (F.col("dos_time") == F.when(dates == "fixed", FIXED_TIME).otherwise(0)),
+        is_cp437(F.col("name")) != F.col("utf8"),
+        ~F.contains("name", F.lit("\\")),
+        after.isNull() | (after > key),
+        ~F.col("claimed").isin("ZipTrrnt", "ZipZSTD") | after.isNull() | ~((key == "") | key.endswith("/")) | ~F.startswith(after, key),
+        (F.col("claimed") != "ZipZSTD") | (F.col("size") > 0) | zstd_zero,
+    ]
+    ruled = members.select("archive", "claimed", F.coalesce(reduce(lambda a, b: a & b, kept), F.lit(False)).alias("kept"))
+    return ruled.groupBy("archive").agg(F.when(F.bool_and("kept"), F.max("claimed")).otherwise("None").alias("structure"))
+
+
 def staging_names(moves: DataFrame) -> DataFrame:
     """moves(node_id, target, name): names in the staging directory; from the second on, _0, _1, ... before the extension."""
     place = F.row_number().over(Window.partitionBy("target", F.lower("name")).orderBy("node_id")) - 2

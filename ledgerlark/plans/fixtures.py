@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import struct
+import zipfile
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 INV = """
     SELECT doc_id AS node_id, source || '/' || lang AS parent_id, source AS set_name, lang,
@@ -105,3 +112,33 @@ def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """The view's rows from the tables of sf_dir."""
     used = {n: table(spark, sf_dir, n) for n in ("documents", "conversations") if f"{{{n}}}" in text}
     return spark.sql(text.replace("{octets}", "octet_length(text)").replace("\\", "\\\\"), **used)
+
+
+def _zip(number: int, text: bytes) -> bytes:
+    """An archive of a document; its number says which rule of the structure that it claims it breaks, if any."""
+    kind, out = number % 10, io.BytesIO()
+    names = ["a/text", "B"] if kind != 1 else ["B", "a/text"]
+    names = {2: ["a/", "a/text"], 3: ["a\\b", "c"], 4: ["A", "a"]}.get(kind, names)
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED if kind == 5 else zipfile.ZIP_DEFLATED) as z:
+        for name, content in zip(names, [b"" if kind == 2 else text, text[::-1]], strict=True):
+            info = zipfile.ZipInfo(name, (1996, 12, 24, 23, 32, 0) if kind != 6 else (2001, 2, 3, 4, 5, 6))
+            info.compress_type = z.compression
+            z.writestr(info, content, compresslevel=1)
+    raw = out.getvalue()
+    size, at = struct.unpack_from("<II", raw, len(raw) - 10)
+    claim = "TDC-" if kind == 7 else "TORRENTZIPPED-"
+    comment = b"" if kind == 8 else f"{claim}{zlib.crc32(raw[at : at + size]):08X}".encode()
+    return raw[:-2] + struct.pack("<H", len(comment)) + comment
+
+
+def zips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): every document as an archive of its text and of its bytes backwards."""
+
+    def run(batches):
+        for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            numbers, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            made = [_zip(n, t or b"") for n, t in zip(numbers, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([str(n) for n in numbers]), pa.array(made, pa.binary())], ["path", "content"])
+
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.col("text").cast("binary"))
+    return docs.mapInArrow(run, "path string, content binary")

@@ -9,7 +9,7 @@ from ledgerlark.functions import scalars, sortkeys
 from ledgerlark.operators import attributes, catalogs, cleaning, matching, planning, rollup, state, status
 from ledgerlark.plans import fixtures as fx
 from ledgerlark.sources import catalogs as sources
-from ledgerlark.sources import inventory, settings
+from ledgerlark.sources import archives, inventory, settings
 from ledgerlark.sources.scratch import written
 
 QUERIES: dict = {}
@@ -569,7 +569,8 @@ def _collation(name: str, keys, order: str | None):
 _collation("sort_torrentzip", sortkeys.torrent_zip, "lower(name), name")
 _collation("sort_directory", sortkeys.directory, "lower(name), name")
 _collation("sort_7z", sortkeys.seven_zip, "regexp_extract(regexp_extract(name, '([^/]*)$', 1), '\\.([^.]*)$', 1), regexp_replace(regexp_extract(name, '([^/]*)$', 1), '\\.[^.]*$', ''), regexp_extract(name, '^(.*/)?[^/]*$', 1)")
-_collation("sort_natural", sortkeys.natural, None)
+_RUNS = "list_transform(regexp_extract_all(name, '[0-9]+|[^0-9]+'), lambda r: CASE WHEN r[1] BETWEEN '0' AND '9' THEN {'run': '0', 'n': CAST(r AS HUGEINT)} ELSE {'run': lower(r), 'n': CAST(0 AS HUGEINT)} END)"
+_collation("sort_natural", sortkeys.natural, f"{_RUNS}, name")
 
 # ---- plans of repairs
 
@@ -652,6 +653,13 @@ def archive_structure(spark, sf_dir):
     return planning.archive_structure(fx.view(spark, sf_dir, fx.MEMBERS))
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 10 IN (0, 9) THEN 'ZipTrrnt' WHEN doc_id % 10 = 7 THEN 'ZipTDC' ELSE 'None' END AS structure FROM documents WHERE doc_id IS NOT NULL")
+def archive_validity(spark, sf_dir):
+    """Archives that claim a structure: which ones keep to it."""
+    members = archives.read_members(fx.zips(spark, sf_dir), deep=False).withColumnRenamed("path", "archive")
+    return planning.valid_structure(members).select(F.col("archive").cast("long").alias("doc_id"), "structure")
+
+
 # ---- sources
 
 @query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
@@ -672,6 +680,16 @@ def header_detect(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", inventory.detect_header(F.concat(head, F.col("text").cast("binary")))["type"].alias("type"))
 
 
+@query(
+    """SELECT doc_id, CAST(0 AS INTEGER) AS place, CASE doc_id % 10 WHEN 1 THEN 'B' WHEN 2 THEN 'a/' WHEN 3 THEN 'a' || chr(92) || 'b' WHEN 4 THEN 'A' ELSE 'a/text' END AS name, 'Got' AS got_status,
+        CAST(octet_length(encode(t)) AS BIGINT) AS size, md5(t) AS md5, sha1(t) AS sha1, sha256(t) AS sha256 FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 2 THEN '' ELSE coalesce(text, '') END AS t FROM documents WHERE doc_id IS NOT NULL)"""
+)
+def archive_scan(spark, sf_dir):
+    """The first member of every archive, unpacked, held against its CRC and hashed."""
+    members = archives.read_members(fx.zips(spark, sf_dir)).where("place = 0").drop("size", "crc")
+    return inventory.scan_hashes(members).select(F.col("path").cast("long").alias("doc_id"), "place", "name", "got_status", "size", "md5", "sha1", "sha256")
+
+
 # ---- scalars
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN lpad(lower(hex(doc_id)), 8, '0') WHEN 1 THEN NULL WHEN 2 THEN md5(text) WHEN 3 THEN NULL ELSE 'abcdef01' END AS hash FROM documents")

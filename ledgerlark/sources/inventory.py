@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.sources.archives import read_members
+
 # Detectors in order: type, least length, bytes to skip, header id, place of the magic bytes, these in hex.
 DETECTORS = [
     ("ZIP", 22, 0, None, 0, "504b0304"),
@@ -80,22 +78,9 @@ def scan_hashes(files: DataFrame) -> DataFrame:
 
 
 def list_archives(files: DataFrame) -> DataFrame:
-    """files(path, content): one row a member of each zip archive, in the order of its central directory. got_status is
-    Corrupt for what isn't a whole archive (one row without a name)."""
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows += [(path, i, m.filename, m.file_size, f"{m.CRC:08x}", m.is_dir(), m.header_offset, "Got") for i, m in enumerate(z.infolist())]
-                except (zipfile.BadZipFile, NotImplementedError, EOFError):
-                    rows.append((path, 0, None, None, None, False, None, "Corrupt"))
-            frame = pd.DataFrame(rows, columns=["path", "place", "name", "size", "crc", "is_directory", "header_offset", "got_status"])
-            yield frame.astype({"size": "Int64", "header_offset": "Int64"})
-
-    return files.select("path", "content").mapInPandas(run, "path string, place int, name string, size long, crc string, is_directory boolean, header_offset long, got_status string")
+    """files(path, content): one row a member of each zip or 7z archive, in the order of its directory, nothing unpacked.
+    got_status is Corrupt for what isn't a whole archive (one row without a name)."""
+    return read_members(files, deep=False).select("path", "place", "name", "size", "crc", "is_directory", "header_offset", "got_status")
 
 
 # Places (from 0) of the fields of disk image headers, by version: length, MD5, MD5 of the parent, SHA1,

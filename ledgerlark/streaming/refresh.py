@@ -17,18 +17,24 @@ def watch(spark: SparkSession, path: str) -> DataFrame:
 
 
 def refresh(stream: DataFrame, table: str, checkpoint: str):
-    """Append each micro-batch's rows that the table lacks. Batches can be repeated without harm."""
+    """Write each micro-batch's rows that the table lacks, as a folder of its own named by the stream and the batch, so a
+    batch that is repeated replaces what it wrote before. Of the table only paths and times are read, and only rows whose
+    time lies in the batch's range."""
 
-    def upsert(batch: DataFrame, _: int) -> None:
+    def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        own = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
         new = batch.dropDuplicates(["path", "mtime"])
+        first, last = batch.agg(F.min("mtime"), F.max("mtime")).first()
+        if first is None:
+            return
         try:
-            known = spark.read.parquet(table).select("path", "mtime")
+            known = spark.read.parquet(table).where((F.col("batch") != own) & F.col("mtime").between(first, last)).select("path", "mtime")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         else:
             new = new.join(known, ["path", "mtime"], "left_anti")
-        new.write.mode("append").parquet(table)
+        new.write.mode("overwrite").parquet(f"{table}/batch={own}")
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -86,6 +86,11 @@ def test_incremental_refresh(tmp_path, spark):
     for _ in range(2):
         refresh.refresh(refresh.watch(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    (tmp_path / "in" / "b").write_bytes(b"2")
+    refresh.refresh(refresh.watch(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
+    refresh.refresh(refresh.watch(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "lost")).awaitTermination(60)
+    found = spark.read.parquet(str(tmp_path / "t"))
+    assert found.count() == 2 and all(r.batch[:4] != "None" for r in found.collect())
 
 
 def test_staging_names_and_empty_directories(spark):
