@@ -5,6 +5,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from ledgerlark.llm import chat, topk
@@ -22,12 +23,32 @@ def test_top_k(spark):
         if q % 20 == 0:
             scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in kept.items() if c != q and len(w) == len(v))
             want += [(q, i, c, -s) for i, (s, c) in enumerate(scored[:20], 1)]
-    for sizes in ({}, {"cand_block": 64, "query_rows": 5, "dim_block": 3}):
+    for sizes in ({}, {"cand_block": 64, "query_rows": 5, "dim_block": 3}, {"cand_block": 16, "query_rows": 7, "growth": 2}):
         got = [(x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(table, **sizes).collect()]
         assert sorted(got) == sorted(want)
     assert topk.top_k(table.limit(0)).count() == 0
 
 
+def test_top_k_of_large_numbers(spark):
+    """Products above 2^53, in several rounds, with near and exact ties."""
+    r = random.Random(5)
+    rows = [(i, [float(r.randrange(2_000_000, 5_000_000)) for _ in range(6)]) for i in range(60)] + [(60 + i, [4e6, 3e6, 4e6, 3e6, 4e6, 3e6 + i % 2]) for i in range(60)]
+    ints = {i: [int(64 * x) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 120, 20):
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], w, strict=True)), c) for c, w in ints.items() if c != q)
+        want += [(q, i, c, -s) for i, (s, c) in enumerate(scored[:4], 1)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, cand_block=16, growth=2, dim_block=2)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_thresholds_of_queries():
+    """A block returns nothing below the score that a query brings along, and equal scores."""
+    cands = np.arange(40)[:, None] * np.ones((1, 4), np.int64)
+    found = topk.search_block(np.array([100, 101]), np.ones((2, 4), np.int64), np.arange(40), cands, 5, 2, 8, np.array([148, 1000]))
+    assert found == [(100, 39, 156), (100, 38, 152), (100, 37, 148)]
+
+
 def test_chat(spark):
     hard = ["\\### Assistant: </turn> ok", "<|turn|>", "<\\|end|>", "<\\\\|text|><", "", None, "é\n<|"]
     rows = [(c, t, r, x) for c in range(5) for t, (r, x) in enumerate((("user", "assistant", "system")[(c + i) % 3], hard[(c + i) % 7]) for i in range(9))]
