@@ -14,7 +14,8 @@ Training takes at most `sample` labelled documents (those with the least hash of
 features are what goes to the driver), in full-batch steps with Adam from fixed zeros, so equal tables give equal
 models. Scoring reads every document where it lies and moves no text.
 
-Null text: an empty one. Labels with a null rating or no document are not used; a document labelled twice counts twice.
+Null text: an empty one. Labels with a null rating or no document are not used; a document with two grades counts for
+both, a repeated label or a repeated row of a document once (of rows that differ in text, the one with the least features).
 With no labelled documents, or only one grade, scores are 0 and the thresholds alone decide: the tail probability is
 then the share of such grades (1 where there are no labels), so everything is kept rather than dropped unseen.
 Only doc_id, text and the labels' columns are read.
@@ -153,7 +154,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, grades: DataFrame, classes: int = 3, sample: int = SAMPLE, bits: int = BITS, **how) -> OrdinalModel:
     """Fit on at most `sample` rows of grades(doc_id, grade)."""
-    chosen = grades.select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
+    chosen = grades.select("doc_id", "grade").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # `sample` rows of two numbers
 
     def run(batches):
@@ -162,8 +163,10 @@ def train(docs: DataFrame, grades: DataFrame, classes: int = 3, sample: int = SA
             got = [features(x or b"", slots) for x in as_bytes(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.int32())], ["doc_id", "grade", "slots", "vals", "seen"])
 
-    rows = joined.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, slots binary, vals binary, seen int").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["grade"], bytes(r["slots"]), bytes(r["vals"])))
+    found = joined.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, slots binary, vals binary, seen int")
+    first = found.groupBy("doc_id", "grade").agg(F.min(F.struct("slots", "vals", "seen")).alias("x"))  # `sample` rows at most, however often a document is there
+    rows = first.select("doc_id", "grade", "x.*").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["grade"]))
     return fit([(np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["vals"], np.float32), r["seen"]) for r in rows], np.array([r["grade"] for r in rows]), classes, bits, **how)
 
 

@@ -418,9 +418,10 @@ def cut_repeats(docs: DataFrame, window: int = 50, **sizes) -> DataFrame:
     """docs with all its columns, repeated passages cut out of text (what stays keeps its white space) and n_chars, if
     there, set anew. Documents that lose every word go."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    cover = repeated_cover(own, window, **sizes).toDF("_of_id", "_of_tag", "_cover").hint("merge")
-    joined = docs.join(cover, (docs["doc_id"].cast("long") == F.col("_of_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_of_tag")), "left").drop("_of_id", "_of_tag")
     names = docs.columns
+    of_id, of_tag, words = (n + "_" * max(map(len, names)) for n in ("id", "tag", "cover"))  # longer than any name there
+    cover = repeated_cover(own, window, **sizes).toDF(of_id, of_tag, words).hint("merge")
+    joined = docs.join(cover, (docs["doc_id"].cast("long") == F.col(of_id)) & (F.xxhash64(docs["text"].cast("string")) == F.col(of_tag)), "left").drop(of_id, of_tag)
     place, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
