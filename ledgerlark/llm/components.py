@@ -18,7 +18,7 @@ def _with_least(edges: DataFrame) -> DataFrame:
     dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
     by_place = dealt.groupBy("u", "salt").agg(F.min("v").alias("m"))
     least = by_place.groupBy("u").agg(F.min("m").alias("m"), F.collect_set("salt").alias("salts"))
-    return dealt.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]).select("u", "v", "m")
+    return dealt.join(least.select("u", "m", F.explode("salts").alias("salt")).hint("merge"), ["u", "salt"]).select("u", "v", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

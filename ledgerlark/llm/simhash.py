@@ -88,7 +88,7 @@ def links(fps: DataFrame) -> DataFrame:
     """fps: distinct values in a column fp. Returns (a, b): edges between fingerprints that differ in 1 or 2 bits,
     enough of them to join all that are joined by such differences."""
     points = grid_points(fps)
-    met = points.groupBy("point").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("point")
+    met = points.groupBy("point").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("point").hint("merge")
     rest = points.join(met, "point")
     segment = F.expr(f"cast(round(log2(abs(point - own))) as int) div {COUNT_BITS}")
     names = F.expr(
@@ -107,9 +107,9 @@ def near_copies(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     own = materialise(fingerprints(docs, words, seed))
     nodes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     of = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    in_group = nodes.join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    in_group = nodes.join(of.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = in_group.groupBy("component").agg(F.min("least").alias("component_id"))
-    return own.join(in_group.join(first, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return own.join(in_group.join(first.hint("merge"), "component").select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -454,3 +454,22 @@ def test_near_duplicates_of_templated_texts(spark, monkeypatch, block):
     got = {x.doc_id: x.stays for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = _groups_by_brute_force(rows)
     assert len(want) == 200 and got == want
+
+NO_BROADCAST_ROWS = 300
+
+
+def _broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Broadcast")
+
+
+def test_near_copies_take_no_broadcast(spark):
+    """The estimates of exploded rows are far too small: a table that Spark takes for 2 MB can fill the driver."""
+    from ledgerlark.llm import components, simhash
+
+    docs = spark.createDataFrame([(i, f"w{i % 97} x{i % 89} y{i % 83} z") for i in range(NO_BROADCAST_ROWS)], "doc_id long, text string")
+    found = simhash.near_copies(docs)
+    edges = spark.range(NO_BROADCAST_ROWS).selectExpr("id % 60 + 60 u", "id % 60 v")
+    fps = docs.selectExpr("doc_id fp")
+    for df in (found, simhash.links(fps), components._large_star(edges), components._small_star(edges)):
+        assert not _broadcasts(df)
+    assert found.count() == NO_BROADCAST_ROWS
