@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm._shared import as_bytes, materialise
+from ledgerlark.llm._shared import KEPT, as_bytes, materialise
 
 PLAN_ROWS = 4_000_000
 
@@ -118,6 +118,9 @@ def run_encoder(path: str) -> RunEncoder:
     return RunEncoder(path)
 
 
+KEPT["packing"] = run_encoder.cache_clear
+
+
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, nth): nth counts this task's pieces of that length from 0."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]

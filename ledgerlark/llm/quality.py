@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm._shared import as_bytes
+from ledgerlark.llm._shared import as_bytes, lean
 
 BITS, SAMPLE, SHARE_SCALE, LEAST = 18, 6000, 6.0, 0.5
 _PUNCTUATION = string.punctuation.encode()
@@ -198,4 +198,4 @@ def selected(docs: DataFrame, model: OrdinalModel, wanted: int = 2, least: float
                 texts = [x or b"" for x in as_bytes(part.column(place).cast(pa.string()))]
                 yield part.filter(pa.array(own.above(own.score(texts, slots))[:, wanted - 1] >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

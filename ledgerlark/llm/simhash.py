@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm._shared import as_bytes, materialise
+from ledgerlark.llm._shared import as_bytes, lean, materialise
 from ledgerlark.llm.components import connected_components
 
 SEGMENTS, SEGMENT_BITS, COUNT_BITS = 16, 4, 3
@@ -153,7 +153,7 @@ def _sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
                 [b.column(0), pa.array(content, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(samples, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "content", "fp", "samples", "size"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, content binary, fp long, samples array<long>, size long")
+    return docs.mapInArrow(lean(run), "doc_id long, content binary, fp long, samples array<long>, size long")
 
 
 def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
             sets = [np.unique(_shingle_set(x or b"", words).astype("<u4")).tobytes() for x in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    return materialise(texts.select("doc_id", "text").mapInArrow(shingle, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+    return materialise(texts.select("doc_id", "text").mapInArrow(lean(shingle), "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
 
 
 def _similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -186,7 +186,7 @@ def _similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
                 keep.append(common >= similarity * (len(merged) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(verify, "a long, b long")
+    return both.mapInArrow(lean(verify), "a long, b long")
 
 
 FEW, BLOCK, BLOCK_SHINGLES, RARE = 8, 1024, 1 << 22, 16
@@ -267,15 +267,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
     sketched = materialise(_sketches(own, words, bands))
     nodes = materialise(sketched.groupBy("content").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("samples").alias("samples"), F.first("size").alias("size")))
     by_fp = nodes.where("size(samples) > 0").groupBy("fp").agg(F.min("node").alias("node"))
-    met = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("a"), F.col("node").alias("of_a")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("node").alias("of_b")), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    met = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("a"), F.col("node").alias("of_a")).hint("merge"), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("node").alias("of_b")).hint("merge"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     sampled = nodes.select("node", "size", F.posexplode("samples").alias("band", "sample"))
     buckets = sampled.groupBy("band", "sample").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
-    agreed = materialise(sampled.join(buckets, ["band", "sample"]))
+    agreed = materialise(sampled.join(buckets.hint("merge"), ["band", "sample"]))
     few = agreed.where(F.col("n") <= FEW).groupBy("band", "sample").agg(F.sort_array(F.collect_list("node")).alias("x"))
     few = few.select("x", F.posexplode("x").alias("i", "a")).select("a", F.explode(F.expr("slice(x, i + 2, size(x))")).alias("b"))
     pairs = materialise(met.union(few).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     crowded = agreed.where(F.col("n") > FEW).select("node", "band", "sample", "n", "shingles")
     sets = _sets(own, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded.select("node")), words)
     same = connected_components(materialise(_similar(sets, pairs, similarity).union(_crowds(sets, crowded, similarity))))
-    of = nodes.select("content", "node").join(same, "node", "left").select("content", F.coalesce("component", "node").alias("stays"))
-    return sketched.select("doc_id", "content").join(of, "content").where("doc_id <> stays").groupBy("doc_id").agg(F.min("stays").alias("stays"))
+    of = nodes.select("content", "node").join(same.hint("merge"), "node", "left").select("content", F.coalesce("component", "node").alias("stays"))
+    return sketched.select("doc_id", "content").join(of.hint("merge"), "content").where("doc_id <> stays").groupBy("doc_id").agg(F.min("stays").alias("stays"))

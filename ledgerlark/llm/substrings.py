@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm._shared import as_bytes, discard, materialise, release_shuffles
+from ledgerlark.llm._shared import as_bytes, discard, lean, materialise, release_shuffles
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -128,7 +128,7 @@ def _windows_by_prefix(docs: DataFrame, window: int, stride: int) -> tuple[np.nd
         columns = [pa.array(np.append(full, -1).astype(np.int32)), pa.array(np.append(counts[full], 0)), pa.array([None] * len(full) + [b"".join(taken)], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["cell", "n", "sample"])
 
-    found = materialise(docs.select("text").mapInArrow(run, "cell int, n long, sample binary"))
+    found = materialise(docs.select("text").mapInArrow(lean(run), "cell int, n long, sample binary"))
     cells = found.where("cell >= 0").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(_CELLS, np.int64)
     out[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
@@ -273,7 +273,7 @@ def _send(docs: DataFrame, window: int, groups: Groups, parts: int, block_bytes:
                         yield from flush()
         yield from flush()
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, _SCHEMA)
+    return docs.select("doc_id", "tag", "text").mapInArrow(lean(run), _SCHEMA)
 
 
 def _subtree(rows: list[tuple]) -> list[tuple]:
@@ -321,7 +321,7 @@ def _grow(sent: DataFrame) -> DataFrame:
         if held and (found := _subtree(held)):
             yield _rows(found)
 
-    return sent.mapInArrow(run, _SCHEMA)
+    return sent.mapInArrow(lean(run), _SCHEMA)
 
 
 def _cover(grown: DataFrame, window: int) -> DataFrame:
@@ -366,7 +366,7 @@ def _cover(grown: DataFrame, window: int) -> DataFrame:
         if rows := list(documents(table, places, copies)):
             yield batch(rows)
 
-    return grown.mapInArrow(run, "doc_id long, tag long, cover binary")
+    return grown.mapInArrow(lean(run), "doc_id long, tag long, cover binary")
 
 
 def kept_text(text: bytes, cover: bytes | None) -> tuple[int, int, bytes]:
@@ -411,7 +411,7 @@ def without_repeats(docs: DataFrame, window: int = 50, **sizes) -> DataFrame:
                 n, gone, kept = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names)
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def cut_repeats(docs: DataFrame, window: int = 50, **sizes) -> DataFrame:
@@ -438,7 +438,7 @@ def cut_repeats(docs: DataFrame, window: int = 50, **sizes) -> DataFrame:
             else:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lean(run), docs.schema)
 
 
 def _cut(text: bytes, cover: bytes) -> bytes:

@@ -473,3 +473,16 @@ def test_near_copies_take_no_broadcast(spark):
     for df in (found, simhash.links(fps), components._large_star(edges), components._small_star(edges)):
         assert not _broadcasts(df)
     assert found.count() == NO_BROADCAST_ROWS
+
+
+def test_near_duplicates_take_no_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 97} x{i % 89} y{i % 83} z") for i in range(NO_BROADCAST_ROWS)], "doc_id long, text string")
+    assert not _broadcasts(simhash.near_duplicates(docs))
+
+
+def test_tasks_of_other_operators_leave_nothing(tmp_path):
+    from ledgerlark.llm._shared import lean
+
+    packing.run_encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert list(lean(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3]
+    assert not packing.run_encoder.cache_info().currsize
